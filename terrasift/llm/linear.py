@@ -1,51 +1,136 @@
-"""Linear text models, fitted on a bounded sample of labelled rows."""
+"""Logistic regression on hashed words and byte shares, fitted on a bounded sample of labelled rows.
+
+The sample's sparse features come to the driver, at most SAMPLE_ROWS rows; the fitted weights are
+a few MB, whatever the input, and go to the tasks that score all rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The most labelled rows that a model is fitted on.
-SAMPLE_ROWS = 20_000
-N_FEATURES = 1 << 18
-_SEPARATORS = r"[\x20\x09-\x0D]+"
-_EDGES = "[^\\p{L}\\p{N}]+"
+from .text import slices, utf8, words
+
+#: The most labelled rows that models are fitted on, and the most distinct words taken of each of them.
+SAMPLE_ROWS = 10_000
+N_WORDS = 1 << 18
+_SYMBOLS = np.zeros(256, bool)
+_SYMBOLS[[ord(c) for c in "#$%&*+/<=>@[\\]^_`{|}~"]] = True
+_GROUPS = (_SYMBOLS, np.array([48 <= i <= 57 for i in range(256)]), np.array([65 <= i <= 90 for i in range(256)]), np.array([i == 10 for i in range(256)]), np.array([i == 32 for i in range(256)]), np.array([i == 124 for i in range(256)]))
+N_SHAPES = len(_GROUPS) + 1
+
 
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, word features of each row, once each; shares of byte groups and log length of each row)."""
+    h, at = words(data, offsets, marks=True)
+    n = len(offsets) - 1
+    row = np.repeat(np.arange(n), np.diff(at))
+    pair = np.unique((row << 18) | (h >> np.uint64(46)).astype(np.int64))
+    size = np.diff(offsets)
+    shapes = np.zeros((n, N_SHAPES))
+    full = np.flatnonzero(size)
+    if len(full):
+        for k, group in enumerate(_GROUPS):
+            shapes[full, k] = np.add.reduceat(group[data].astype(np.int64), offsets[full]) / size[full]
+        shapes[full, -1] = np.log(size[full]) / 10
+    return np.r_[0, np.cumsum(np.bincount(pair >> 18, minlength=n))], pair & (N_WORDS - 1), shapes
 
-def words_of(text) -> F.Column:
-    """Lower-case words of a text without punctuation; none for null."""
-    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _EDGES, " "), " "), lambda w: w != "")
 
+class Sample:
+    """Features and labels of the sample. y: label name to 0/1 array; fold: in which part a row is held out."""
 
-def hashed_words(df: DataFrame, text_col: str, out: str = "features") -> DataFrame:
-    return HashingTF(inputCol="_words", outputCol=out, numFeatures=N_FEATURES, binary=True).transform(df.withColumn("_words", words_of(F.col(text_col)))).drop("_words")
+    def __init__(self, offsets, index, shapes, y, fold):
+        self.offsets, self.index, self.shapes, self.y, self.fold = offsets, index, shapes, y, fold
 
+    def __len__(self) -> int:
+        return len(self.offsets) - 1
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_cols: list[str], bound: int = SAMPLE_ROWS) -> DataFrame:
-    """At most bound rows of docs with all labels, the first in the order of a hash of the id; the same in each run."""
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_cols: list[str], bound: int = SAMPLE_ROWS, folds: int = 3) -> Sample:
+    """At most bound rows with all labels 0 or 1, the first in the order of a hash of the id; the same in each run."""
     known = labels.where(F.col(id_col).isNotNull())
     for c in label_cols:
         known = known.where(F.col(c).isin(0, 1))
-    known = known.groupBy(F.col(id_col).alias("_label_id")).agg(*[F.max(c).cast("double").alias(f"_y_{c}") for c in label_cols])
+    known = known.groupBy(F.col(id_col).alias("_label_id")).agg(*[F.max(c).cast("int").alias(f"_y{i}") for i, c in enumerate(label_cols)])
     known = known.orderBy(F.xxhash64("_label_id"), "_label_id").limit(bound)
     # at most bound ids, so a broadcast of proven size
-    return docs.join(F.broadcast(known), F.col(id_col) == F.col("_label_id"))
+    rows = docs.join(F.broadcast(known), F.col(id_col) == F.col("_label_id")).select("_label_id", F.col(text_col).alias("_text"), *[f"_y{i}" for i in range(len(label_cols))])
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, off in slices(*utf8(batch["_text"])):
+                at, index, shapes = features(data, off)
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part["_label_id"], pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(index.astype(np.int32))), pa.ListArray.from_arrays(pa.array(np.arange(0, shapes.size + 1, N_SHAPES, dtype=np.int32)), pa.array(shapes.ravel())), *(part[f"_y{i}"] for i in range(len(label_cols)))], ["id", "index", "shapes", *(f"y{i}" for i in range(len(label_cols)))])
+
+    got = rows.mapInArrow(extract, f"id {docs.schema[id_col].dataType.simpleString()}, index array<int>, shapes array<double>" + "".join(f", y{i} int" for i in range(len(label_cols)))).toArrow().sort_by("id").combine_chunks()
+    if not got.num_rows:
+        return Sample(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros((0, N_SHAPES)), {c: np.zeros(0) for c in label_cols}, np.zeros(0, np.int64))
+    lists = got["index"].combine_chunks()
+    index = lists.flatten().to_numpy()
+    counts = np.array(lists.value_lengths())
+    y = {c: got[f"y{i}"].to_numpy().astype(float) for i, c in enumerate(label_cols)}
+    return Sample(np.r_[0, np.cumsum(counts)], index, got["shapes"].combine_chunks().flatten().to_numpy().reshape(-1, N_SHAPES), y, np.arange(got.num_rows) % folds)
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
+
+
+class Model:
+    """Weights of words, of dense columns (centred and scaled) and an intercept. Without rows of both classes it gives the share of class 1, or a prior."""
+
+    def __init__(self, prior: float):
+        self.w = np.zeros(N_WORDS, np.float32)
+        self.d, self.centre, self.scale = np.zeros(0), np.zeros(0), np.ones(0)
+        self.b = float(logit(np.array(prior)))
+
+    def __call__(self, offsets: np.ndarray, index: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        n = len(offsets) - 1
+        z = np.bincount(np.repeat(np.arange(n), np.diff(offsets)), self.w[index], n) / np.sqrt(np.maximum(np.diff(offsets), 1))
+        if len(self.d):
+            z += ((dense - self.centre) / self.scale) @ self.d
+        return sigmoid(z + self.b)
 
 
-def fit(sample: DataFrame, label: str, features: str = "features", reg: float = 1e-3, max_iter: int = 40) -> LogisticRegressionModel | None:
-    """A logistic regression, or None without rows of both classes."""
-    got = {r[0] for r in sample.select(label).distinct().limit(3).collect()}
-    if got != {0.0, 1.0}:
-        return None
-    return LogisticRegression(featuresCol=features, labelCol=label, regParam=reg, maxIter=max_iter, rawPredictionCol="_raw", probabilityCol="_prob", predictionCol="_pred", aggregationDepth=2).fit(sample)
+def fit(offsets: np.ndarray, index: np.ndarray, dense: np.ndarray, y: np.ndarray, prior: float = 0.5, l2: float = 1e-5, steps: int = 150, rate: float = 0.3) -> Model:
+    """Adam on the whole sample; rows' word features are scaled to length 1, so long rows don't dominate."""
+    model = Model(prior)
+    if not len(y) or y.min() == y.max():
+        return model
+    counts = np.diff(offsets)
+    row = np.repeat(np.arange(len(y)), counts)
+    used, at = np.unique(index, return_inverse=True)
+    value = (1 / np.sqrt(np.maximum(counts, 1)))[row]
+    centre, scale = dense.mean(axis=0), np.maximum(dense.std(axis=0), 1e-6)
+    x = (dense - centre) / scale
+    n_w, n_d = len(used), x.shape[1]
+    theta = np.zeros(n_w + n_d + 1)
+    theta[-1] = logit(np.array(y.mean()))
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    for t in range(1, steps + 1):
+        z = np.bincount(row, theta[at] * value, len(y)) + x @ theta[n_w : n_w + n_d] + theta[-1]
+        r = (sigmoid(z) - y) / len(y)
+        g = np.r_[np.bincount(at, r[row] * value, n_w), r @ x, r.sum()]
+        g[:-1] += l2 * theta[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        step = rate * (1 - t / (steps + 1))
+        theta -= step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+    model.w[used] = theta[:n_w]
+    model.d, model.b, model.centre, model.scale = theta[n_w : n_w + n_d], float(theta[-1]), centre, scale
+    return model
 
 
-def apply(model: LogisticRegressionModel | None, df: DataFrame, out: str, features: str = "features", prior: float = 0.0) -> DataFrame:
-    """Adds the probability of class 1; the prior where no model could be fitted."""
-    if model is None:
-        return df.withColumn(out, F.lit(float(prior)))
-    model.setFeaturesCol(features)
-    return model.transform(df).withColumn(out, vector_to_array("_prob")[1]).drop("_raw", "_prob", "_pred")
+def pick(sample: Sample, dense: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features of some rows."""
+    counts = np.diff(sample.offsets)
+    return np.r_[0, np.cumsum(counts[rows])], sample.index[np.repeat(rows, counts)], dense[rows]

@@ -2,42 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import settled
-from .linear import SAMPLE_ROWS, apply, fit, hashed_words, labelled_sample
+from .linear import SAMPLE_ROWS, features, fit, labelled_sample
+from .text import slices, utf8
 
 KEEP_AT = 0.5
 #: The least and most pseudo-documents by which a site is drawn to the level above it.
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1000.0
 
 
-def _share(x, n) -> F.Column:
-    return F.coalesce(F.try_divide(x.cast("double"), n.cast("double")), F.lit(0.0))
-
-
-def shape_features(df: DataFrame, text_col: str) -> DataFrame:
-    """Adds _f0.. : shares of symbols, digits, capitals, line ends, very short and symbol-only words, and length."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    n = F.length(text)
-    plain = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}\s.,;:'!?-]", ""))
-    return df.withColumns({
-        "_f0": _share(n - plain, n) * 10, "_f1": _share(n - F.length(F.translate(text, "0123456789", "")), n) * 10,
-        "_f2": _share(F.length(text) - F.length(F.translate(text, "|#$%&*<>{}[]=_~^", "")), n) * 10, "_f3": _share(n - F.length(F.translate(text, "\n", "")), n) * 10,
-        "_f4": F.log1p(n) / 10, "_f5": _share(n - F.length(F.translate(text, " ", "")), n) * 5,
-    })
-
-
-N_SHAPES = 6
-
-
-def _features(df: DataFrame, text_col: str) -> DataFrame:
-    df = shape_features(hashed_words(df, text_col, "_hashed"), text_col)
-    return VectorAssembler(inputCols=["_hashed", *[f"_f{i}" for i in range(N_SHAPES)]], outputCol="features").transform(df).drop("_hashed", *[f"_f{i}" for i in range(N_SHAPES)])
-
-
 def _strength(mean: float, spread: float, inverse_n: float) -> float:
     """Pseudo-documents of a beta prior with that mean, from the spread of site means about it (method of moments)."""
     inside = mean * (1 - mean)
@@ -73,13 +53,21 @@ def quality(docs: DataFrame, labels: DataFrame, host: F.Column, path: F.Column,
     all sites (empirical Bayes), so sparse sites stay near the level above. score adds the
     log-odds by which the path departs from the global mean to those of the document. Sites are
     summed over all documents; a null host or path is a site of its own. Texts that are null or
-    empty get their score from the model's intercept and their site; without labels of both
-    classes all scores are the global mean, 0.5.
+    empty get their score from the model's intercept and their site; with labels of one class only,
+    or none (0.5), all documents score alike.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(host.cast("string"), F.lit("\0")).alias("host"), F.coalesce(path.cast("string"), F.lit("\0")).alias("path"))
-    sample = labelled_sample(rows.select("doc_id", "text"), labels.select(F.col(id_col).alias("doc_id"), label_col), "doc_id", [label_col], bound)
-    model = fit(settled(_features(sample, "text").drop("text")), f"_y_{label_col}")
-    scored = settled(apply(model, _features(rows, "text").drop("text"), "p", prior=0.5).drop("features"))
+    sample = labelled_sample(rows, labels.select(F.col(id_col).alias("doc_id"), label_col), "doc_id", "text", [label_col], bound)
+    y = sample.y[label_col]
+    model = fit(sample.offsets, sample.index, sample.shapes, y, float(np.mean(y)) if len(y) else 0.5)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, off in slices(*utf8(batch["text"])):
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["host"], part["path"], pa.array(model(*features(data, off)))], ["doc_id", "host", "path", "p"])
+
+    scored = settled(rows.mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, host string, path string, p double"))
     sites, mean, host_strength, path_strength = site_posteriors(scored)
     x, one, p = scored.join(sites, ["host", "path"]), F.lit(1.0), F.col("p")
     x = x.withColumn("host_score", (F.col("host_sum") - p + host_strength * mean) / (F.col("host_n") - 1 + host_strength))

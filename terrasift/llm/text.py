@@ -21,8 +21,8 @@ _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
-_BYTE_WORD, _LOWER_WORD = _BYTE.copy(), _LOWER.copy()
-_BYTE_WORD[_SPACE] = _LOWER_WORD[_SPACE] = 0
+#: The same, and all ASCII that is neither letter nor digit.
+_MARKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _C1, _C2, _C3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 _powers: dict[str, np.ndarray] = {}
 
@@ -68,11 +68,14 @@ def slices(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES) -> I
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all rows and the word offsets of the rows."""
+def words(data: np.ndarray, offsets: np.ndarray, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all rows, A to Z in lower case, and the word offsets of the rows.
+
+    marks: punctuation separates words too.
+    """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~(_MARKS if marks else _SPACE)[data]
     start = inside.copy()
     start[1:] &= ~inside[:-1]
     edge = offsets[offsets < len(data)]
@@ -84,7 +87,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     first, last = np.flatnonzero(start), np.flatnonzero(stop) + 1
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER_WORD if lower else _BYTE_WORD)[data] * up[: len(data)], out=total[1:])
+    np.cumsum(_LOWER[data] * up[: len(data)], out=total[1:])
     return mix((total[last] - total[first]) * down[first]), np.searchsorted(first, offsets)
 
 

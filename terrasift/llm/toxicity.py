@@ -2,78 +2,80 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .linear import SAMPLE_ROWS, apply, fit, hashed_words, labelled_sample
-from .cluster import settled
+from .linear import SAMPLE_ROWS, Model, features, fit, labelled_sample, logit, pick
+from .text import slices, utf8
 
 FOLDS = 3
 THRESHOLD = 0.5
 
 
-def _logit(p: str) -> F.Column:
-    x = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
-    return F.log(x / (F.lit(1.0) - x))
-
-
 class ToxicityChain:
     """One linear model per category, in order; each sees the words of the text and the logits of
     all earlier categories.
 
     While training, the earlier probabilities are out of fold: a row's come from models that did
     not see it, so that later models don't trust them too much. When scoring, they come from the
-    models of all sample rows. A category whose sample lacks a class scores 0 for all.
+    models of all sample rows. A category whose sample lacks a class scores near that class for
+    all; without any labels all score 0.
     """
 
     def __init__(self, categories: list[str], folds: int = FOLDS, bound: int = SAMPLE_ROWS):
         self.categories, self.folds, self.bound = list(categories), folds, bound
-        self.models: list = []
-
-    def _with_earlier(self, df: DataFrame, k: int) -> tuple[DataFrame, str]:
-        if k == 0:
-            return df, "features"
-        df = df.withColumns({f"_l{j}": _logit(f"_p{j}") for j in range(k)})
-        return VectorAssembler(inputCols=["features", *[f"_l{j}" for j in range(k)]], outputCol="_chained").transform(df), "_chained"
+        self.models: list[Model] = []
 
     def fit(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ToxicityChain:
-        rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        sample = labelled_sample(rows, labels.select(F.col(id_col).alias("doc_id"), *self.categories), "doc_id", self.categories, self.bound)
-        sample = settled(hashed_words(sample, "text").drop("text").withColumn("_fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(self.folds))))
-        self.models = []
+        sample = labelled_sample(docs, labels, id_col, text_col, self.categories, self.bound, self.folds)
+        dense, self.models = sample.shapes, []
         for k, name in enumerate(self.categories):
-            seen, features = self._with_earlier(sample, k)
-            self.models.append(fit(seen, f"_y_{name}", features))
+            y = sample.y[name]
+            prior = float(y[0]) if len(y) else 0.0
+            self.models.append(fit(sample.offsets, sample.index, dense, y, prior))
             if k + 1 < len(self.categories):
-                parts = []
+                held_out = np.zeros(len(sample))
                 for f in range(self.folds):
-                    model = fit(seen.where(F.col("_fold") != f), f"_y_{name}", features)
-                    parts.append(apply(model, seen.where(F.col("_fold") == f), f"_p{k}", features).drop("_chained", *[f"_l{j}" for j in range(k)]))
-                sample = parts[0]
-                for p in parts[1:]:
-                    sample = sample.unionByName(p)
-                sample = settled(sample)
+                    inside, outside = sample.fold != f, sample.fold == f
+                    if outside.any():
+                        model = fit(*pick(sample, dense, inside), y[inside], prior)
+                        held_out[outside] = model(*pick(sample, dense, outside))
+                dense = np.column_stack([dense, logit(held_out)])
         return self
 
-    def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """docs with p_<category> of each category; null and empty texts get the models' base rates."""
-        df = hashed_words(docs, text_col)
-        for k in range(len(self.categories)):
-            df, features = self._with_earlier(df, k)
-            df = apply(self.models[k], df, f"_p{k}", features).drop("_chained", *[f"_l{j}" for j in range(k)])
-        df = df.drop("features")
-        return df.withColumnsRenamed({f"_p{k}": f"p_{c}" for k, c in enumerate(self.categories)})
+    def predict(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Probabilities, a row per text and a column per category."""
+        at, index, dense = features(data, offsets)
+        out = []
+        for model in self.models:
+            out.append(model(at, index, dense))
+            dense = np.column_stack([dense, logit(out[-1])])
+        return np.column_stack(out)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], decide_by: str, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with p_<category> columns and toxic (p of decide_by at least the threshold).
 
-    Rows without text (null, empty or only separators) are never toxic. Columns of docs named like
-    the new ones are replaced.
+    Rows whose text is null or has no words but separators are never toxic. Columns of docs named like
+    the new ones are replaced. Rows with a null id are scored like others, but can't be in the sample.
     """
     chain = ToxicityChain(categories).fit(docs, labels, id_col, text_col)
-    docs = docs.drop(*[f"p_{c}" for c in categories], "toxic")
-    scored = chain.score(docs, text_col)
-    there = F.length(F.trim(F.coalesce(F.col(text_col), F.lit("")))) > 0
-    return scored.withColumn("toxic", there & (F.col(f"p_{decide_by}") >= threshold))
+    names = [f"p_{c}" for c in categories]
+    docs = docs.drop(*names, "toxic")
+    which = categories.index(decide_by)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, off in slices(*utf8(batch[text_col])):
+                part = batch.slice(lo, hi - lo)
+                p = chain.predict(data, off)
+                there = np.diff(features(data, off)[0]) > 0
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c) for c in p.T), pa.array(there & (p[:, which] >= threshold))], [*part.schema.names, *names, "toxic"])
+
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names], T.StructField("toxic", T.BooleanType())])
+    return docs.mapInArrow(score, schema)
