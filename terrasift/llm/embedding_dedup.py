@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +13,14 @@ from pyspark.sql import functions as F
 from .cluster import block_pairs, connected_components, settled, whole_groups
 
 COSINE = 0.95
-#: Filters that a vector passes on average, blocks of the product code, rows in a block of a bucket.
-FILTERS, BLOCKS, BLOCK_ROWS = 24, 3, 512
+#: Share of pairs at exactly the cosine that share a filter; blocks of the product code; rows in a block of a bucket.
+RECALL, BLOCKS, BLOCK_ROWS = 0.97, 2, 512
+
+
+def _directions(rng: np.random.Generator, words: int, dim: int) -> np.ndarray:
+    """Unit codewords: random orthonormal bases and their opposites, which cover all directions evenly."""
+    bases = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-words // (2 * dim)))]
+    return np.concatenate([x for b in bases for x in (b, -b)])[:words]
 
 
 class CapCode:
@@ -23,22 +28,34 @@ class CapCode:
 
     Vectors are turned by a random rotation and cut into blocks; each block has its own random
     unit codewords. A filter is one codeword per block, and a vector passes all filters for which
-    the sum of its block products is at least the threshold. There are at least 4 filters per vector, and
-    the threshold lets the wanted number pass on average, so buckets keep their size as tables grow.
+    the sum of its block products is at least the threshold. There are about as many filters as
+    vectors, so buckets keep their size as tables grow. The threshold is the quantile of the best
+    filter that simulated pairs at exactly the wanted cosine have in common, so it follows the
+    number of filters and the recall does not fall with the size of the table.
     """
 
-    def __init__(self, dim: int, rows: int, filters: int = FILTERS, blocks: int = BLOCKS, seed: int = 11):
+    def __init__(self, dim: int, rows: int, cosine: float = COSINE, recall: float = RECALL, blocks: int = BLOCKS, seed: int = 11):
         rng = np.random.default_rng([seed, dim])
         blocks = min(blocks, dim)
-        self.words = max(8, math.ceil((4 * max(rows, 1)) ** (1 / blocks)))
+        self.words = max(8, math.ceil(max(rows, 1) ** (1 / blocks)))
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.cuts = np.array_split(np.arange(dim), blocks)
-        self.codes = []
-        for cut in self.cuts:
-            c = rng.standard_normal((self.words, len(cut)))
-            self.codes.append(c / np.linalg.norm(c, axis=1, keepdims=True))
-        share = min(0.5, filters / self.words**blocks)
-        self.threshold = NormalDist().inv_cdf(1 - share) * math.sqrt(blocks / dim)
+        self.codes = [_directions(rng, self.words, len(cut)) for cut in self.cuts]
+        best = [self._best_common(rng, dim, min(cosine, 1.0)) for _ in range(600)]
+        self.threshold = float(np.quantile(best, 1 - recall))
+
+    def _best_common(self, rng: np.random.Generator, dim: int, cosine: float) -> float:
+        """The highest threshold at which a random pair of that cosine shares a filter, by the 48 best codewords of each block."""
+        x, y = rng.standard_normal((2, dim))
+        x /= np.linalg.norm(x)
+        y -= (y @ x) * x
+        y = cosine * x + math.sqrt(1 - cosine**2) * y / max(np.linalg.norm(y), 1e-12)
+        sums = np.zeros((2, 1))
+        for cut, code in zip(self.cuts, self.codes, strict=True):
+            s = np.stack([x[cut], y[cut]]) @ code.T
+            s = s[:, np.argsort(-s.sum(axis=0))[:48]]
+            sums = (sums[:, :, None] + s[:, None, :]).reshape(2, -1)
+        return float(sums.min(axis=0).max())
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of all filters that rows pass, found block by block: what can't reach the
@@ -52,7 +69,8 @@ class CapCode:
             later = rest[b + 1][row] if b + 1 < len(scores) else 0.0
             i, w = np.nonzero(sums >= (self.threshold - later)[:, None] if b + 1 < len(scores) else sums >= self.threshold)
             row, key, total = row[i], key[i] * self.words + w, sums[i, w]
-        return row, key
+        # beyond that many filters some are one bucket, which only makes buckets larger
+        return row, key % (2**31 - 1)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -67,14 +85,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _filter_rows(batches: Iterator[pa.RecordBatch], dim: int, code: CapCode) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        step = max(1, min(128, (1 << 22) // code.words**2))
+        step = max(1, min(128, (1 << 23) // code.words**2))
         for lo in range(0, batch.num_rows, step):
             part = batch.slice(lo, step)
             row, key = code.decode(_unit(_matrix(part["v"], dim)))
-            order = np.lexsort((key, row))
-            row, key = row[order], key[order]
-            bounds = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part["id"], part["copies"], part["v"], pa.ListArray.from_arrays(pa.array(bounds), pa.array(key))], ["id", "copies", "v", "filters"])
+            pairs = np.unique(row << 31 | key)
+            bounds = np.searchsorted(pairs >> 31, np.arange(part.num_rows + 1)).astype(np.int32)
+            filters = pa.array((pairs & (2**31 - 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([part["id"], part["copies"], part["v"], pa.ListArray.from_arrays(pa.array(bounds), filters)], ["id", "copies", "v", "filters"])
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -91,6 +109,22 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _met_before(lists: list[np.ndarray], below: int) -> np.ndarray:
+    """Which pairs of rows share a filter smaller than that."""
+    smaller = [x[: np.searchsorted(x, below)] for x in lists]
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in smaller])
+    _, which, count = np.unique(np.concatenate(smaller), return_inverse=True, return_counts=True)
+    shared = count[which] > 1
+    row, which = row[shared], np.unique(which[shared], return_inverse=True)[1]
+    met = np.zeros((len(lists), len(lists)), np.float32)
+    for lo in range(0, int(which.max(initial=-1)) + 1, 2048):
+        part = (which >= lo) & (which < lo + 2048)
+        has = np.zeros((len(lists), 2048), np.float32)
+        has[row[part], which[part] - lo] = 1
+        met += has @ has.T
+    return met > 0
+
+
 def _links(table: pa.Table, dim: int, cosine: float) -> Iterator[pa.RecordBatch]:
     """For each bucket and pair of blocks: how many vectors each row links to, and a row it is connected with.
 
@@ -109,27 +143,11 @@ def _links(table: pa.Table, dim: int, cosine: float) -> Iterator[pa.RecordBatch]
         close = np.triu(x[s:e] @ x[s:e].T >= cosine, 1)
         if lo[s] != hi[s]:
             close &= own[s:e, None] != own[None, s:e]
-        a, b = np.nonzero(close)
-        if len(a):
-            a, b = a + s, b + s
-            first = np.ones(len(a), bool)
-            # no smaller common filter: lists are sorted, so walk those of a below this bucket's
-            for k in range(int((offsets[a + 1] - offsets[a]).max())):
-                at = offsets[a] + k
-                live = first & (at < offsets[a + 1])
-                value = flat[np.where(live, at, 0)]
-                live &= value < key[s]
-                if not live.any():
-                    break
-                i = np.flatnonzero(live)
-                lo_, hi_ = offsets[b[i]].copy(), offsets[b[i] + 1].copy()
-                end = hi_.copy()
-                while (lo_ < hi_).any():
-                    mid = (lo_ + hi_) // 2
-                    less = (flat[np.minimum(mid, len(flat) - 1)] < value[i]) & (lo_ < hi_)
-                    lo_, hi_ = np.where(less, mid + 1, lo_), np.where(less | (lo_ >= hi_), hi_, mid)
-                first[i[(lo_ < end) & (flat[np.minimum(lo_, len(flat) - 1)] == value[i])]] = False
-            found.append((a[first], b[first]))
+        rows = np.flatnonzero(close.any(axis=0) | close.any(axis=1))
+        if len(rows):
+            close = close[np.ix_(rows, rows)] & ~_met_before([flat[offsets[s + i] : offsets[s + i + 1]] for i in rows], key[s])
+            a, b = np.nonzero(close)
+            found.append((rows[a] + s, rows[b] + s))
     if not found:
         return
     a, b = (np.concatenate(p) for p in zip(*found, strict=True))
@@ -139,14 +157,14 @@ def _links(table: pa.Table, dim: int, cosine: float) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([pa.array(ids[touched]), pa.array(n[touched].astype(np.int64)), pa.array(ids[_roots(len(ids), a, b)[touched]])], ["id", "n", "root"])
 
 
-def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, filters: int = FILTERS) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept; one row per input row with an id.
 
-    Equal vectors become one row with a number of copies. Each of these passes about `filters`
+    Equal vectors become one row with a number of copies. Each of these passes some tens of
     cap filters; rows that share one are compared by cosine in double precision, in pairs of
     blocks where a bucket is large, so no task holds more than two blocks of it. A task returns counts and
-    one connection per row, never its pairs. Links below the cosine are never made; of those at
-    or above it, the filters miss some by chance (README has the measured recall).
+    one connection per row, never its pairs. Links below the cosine are never made; of pairs at
+    exactly the cosine about `recall` are found, of closer ones more (README has measured figures).
 
     Vectors that are null, empty, zero or hold null or non-finite parts link with nothing, nor do
     vectors of different length. Rows with a null id are left out; rows that repeat an id link as copies do.
@@ -158,8 +176,8 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     parts = []
     kind = groups.schema["v"].dataType.simpleString()
     for dim, n in sorted(tuple(r) for r in groups.groupBy(F.size("v")).count().collect()):  # one row per length of vector
-        code = CapCode(dim, n, filters)
-        schema = f"id long, copies long, v {kind}, filters array<long>"
+        code = CapCode(dim, n, cosine, recall)
+        schema = f"id long, copies long, v {kind}, filters array<int>"
         passed = settled(groups.where(F.size("v") == dim).mapInArrow(lambda b, d=dim, c=code: _filter_rows(b, d, c), schema))
         dealt = passed.select("*", F.explode("filters").alias("f"))
         # a bucket of one has no pairs; large ones are cut
