@@ -27,6 +27,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that was written below the shared folder and that no plan reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the shared folder, without their lineage."""
     shared_dir(df.sparkSession)

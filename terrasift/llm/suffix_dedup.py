@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import scratch, settled, whole_groups
+from .cluster import discard, scratch, settled, whole_groups
 from .text import SLICE_BYTES, mix, powers, ragged, slices, utf8
 
 LENGTH, KEY_BYTES = 200, 50
@@ -79,7 +79,8 @@ class SuffixIndex:
     """The family of suffix arrays. Level i holds 2**i batches; two of a level merge into one of the next.
 
     Each batch is merge-scanned, by key, against itself and all levels there are, and the keys that
-    occur again are noted. Everything lies in tables below path, in a folder that all executors share.
+    occur again are noted. Everything lies in tables below path, in a folder that all executors share;
+    levels that were merged are deleted.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -100,10 +101,12 @@ class SuffixIndex:
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (i, a), (_, b) = self.levels.pop(), self.levels.pop()
             merged = self._new("level")
-            self._read(a).unionByName(self._read(b)).repartition("g").sortWithinPartitions("g").write.parquet(merged)
+            self._read(a).unionByName(self._read(b)).repartition("g").sortWithinPartitions("g").write.parquet(merged, compression="zstd")
+            discard(self.spark, a)
+            discard(self.spark, b)
             self.levels.append((i + 1, merged))
         batch = self._new("level")
-        entries.sortWithinPartitions("g").write.parquet(batch)
+        entries.sortWithinPartitions("g").write.parquet(batch, compression="zstd")
         keys = self._read(batch).select("g").groupBy("g").count()
         found = keys.where("count > 1").select("g")
         for _, level in self.levels:
@@ -113,6 +116,11 @@ class SuffixIndex:
         self.repeats.append(note)
         self.levels.append((0, batch))
 
+    def drop(self) -> None:
+        """Deletes the index."""
+        discard(self.spark, self.path)
+        self.levels, self.repeats = [], []
+
     def repeated(self) -> DataFrame:
         """All entries whose key occurs more than once."""
         entries = self.spark.read.parquet(*[p for _, p in self.levels])
@@ -220,12 +228,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     spark = docs.sparkSession
     path = scratch(spark, "suffixes")
-    rows.mapInArrow(lambda b: _entries(b, length, key_bytes), "g long, doc_id long, key long, start int, n int").withColumn("batch", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(batches))).write.partitionBy("batch").parquet(f"{path}/entries")
+    rows.mapInArrow(lambda b: _entries(b, length, key_bytes), "g long, doc_id long, key long, start int, n int").withColumn("batch", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(batches))).write.partitionBy("batch").parquet(f"{path}/entries", compression="zstd")
     index = SuffixIndex(spark, path)
     schema = "g long, doc_id long, key long, start int, n int, batch int"
     for i in range(batches):
         index.add(spark.read.schema(schema).parquet(f"{path}/entries").where(F.col("batch") == i).drop("batch"))
     found = settled(index.repeated())
+    index.drop()
     hot = found.groupBy("g").count().where(F.col("count") > group_rows).select("g", F.ceil(F.col("count") / group_rows).cast("int").alias("parts"))
     by_doc = found.join(hot, "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).groupBy("doc_id", "key").agg(F.collect_list(F.struct("g", "start", "n", "parts")).alias("runs"))
     # several rows of one id and text each bring their runs, and each row has all of them: once is enough
