@@ -5,7 +5,7 @@ are found from a sparse one: of all k-byte substrings that start in a window of
 the one with the smallest hash (the leftmost of equals) is that window's anchor. Equal strings of
 `length` bytes have equal anchors, so suffixes that start at anchors, about one in 75 bytes, meet at
 every long match. An entry of a suffix array is an anchor's key (a hash of the suffix's first k bytes)
-and the run of windows that it stands for; arrays are sorted by key.
+and the run of windows that it stands for, with a hash of the run's bytes; arrays are sorted by key.
 """
 
 from __future__ import annotations
@@ -28,21 +28,26 @@ _PLACE = np.uint64((1 << 28) - 1)
 _BYTE = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _window_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all k-byte substrings."""
-    up, down = powers(len(data) + 1)
+def _totals(data: np.ndarray) -> np.ndarray:
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mix((total[k:] - total[:-k]) * down[: len(data) - k + 1])
+    np.cumsum(_BYTE[data] * powers(len(data) + 1)[0][: len(data)], out=total[1:])
+    return total
+
+
+def _window_hashes(data: np.ndarray, k: int, total: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of all k-byte substrings."""
+    total = _totals(data) if total is None else total
+    return mix((total[k:] - total[:-k]) * powers(len(data) + 1)[1][: len(data) - k + 1])
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = KEY_BYTES) -> tuple[np.ndarray, ...]:
-    """(row, start, n, key): the runs of n windows of each row, from byte start on, with one anchor."""
+    """(row, start, n, key, content): the runs of n windows of each row, from byte start on, with one anchor; a hash of their bytes."""
     sizes = np.maximum(np.diff(offsets) - length + 1, 0)
     empty = np.zeros(0, np.int64)
     if not sizes.any():
-        return empty, empty, empty, empty.astype(np.uint64)
-    h = _window_hashes(data, k)
+        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+    total = _totals(data)
+    h = _window_hashes(data, k, total)
     order = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     w = length - k + 1
     padded = np.full(-(-len(order) // w) * w, np.iinfo(np.uint64).max)
@@ -58,7 +63,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
     new = np.ones(len(start), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
-    return row[first], start[first] - offsets[row[first]], np.diff(np.r_[first, len(start)]), h[anchor[first]]
+    begin, n = start[first], np.diff(np.r_[first, len(start)])
+    content = mix((total[begin + n + length - 1] - total[begin]) * powers(len(data) + 1)[1][begin] + n.astype(np.uint64))
+    return row[first], begin - offsets[row[first]], n, h[anchor[first]], content
 
 
 def _entries(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
@@ -70,9 +77,9 @@ def _entries(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator
             step = SLICE_BYTES
             for at in range(0, max(len(part) - length + 1, 1), step) if hi == lo + 1 else [0]:
                 piece, poff = (part[at : at + step + length - 1], None) if hi == lo + 1 else (part, off)
-                row, start, n, g = anchors(piece, np.array([0, len(piece)]) if poff is None else poff, length, k)
+                row, start, n, g, r = anchors(piece, np.array([0, len(piece)]) if poff is None else poff, length, k)
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(doc[lo + row]), pa.array(key[lo + row]), pa.array((start + at).astype(np.int32)), pa.array(n.astype(np.int32))], ["g", "doc_id", "key", "start", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(r.view(np.int64)), pa.array(doc[lo + row]), pa.array(key[lo + row]), pa.array((start + at).astype(np.int32)), pa.array(n.astype(np.int32))], ["g", "r", "doc_id", "key", "start", "n"])
 
 
 class SuffixIndex:
@@ -97,7 +104,7 @@ class SuffixIndex:
         return self.spark.read.parquet(path)
 
     def add(self, entries: DataFrame) -> None:
-        """Adds a batch of entries (g, doc_id, key, start, n)."""
+        """Adds a batch of entries (g, r, doc_id, key, start, n)."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (i, a), (_, b) = self.levels.pop(), self.levels.pop()
             merged = self._new("level")
@@ -129,8 +136,8 @@ class SuffixIndex:
 
 
 def _runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of the runs of windows whose key is repeated, one row each."""
-    names = ["g", "doc_id", "key", "start", "n", "parts", "part", "bytes"]
+    """The bytes of runs of windows, one row each."""
+    names = ["g", "doc_id", "key", "start", "n", "parts", "once", "part", "bytes"]
     for batch in batches:
         for lo in range(0, batch.num_rows, 64):
             rows = batch.slice(lo, 64)
@@ -139,7 +146,7 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
             at, runs = lists.offsets.to_numpy(), lists.flatten()
             at = at - at[0]
             row = np.repeat(np.arange(rows.num_rows), np.diff(at))
-            g, start, n, parts = (runs.field(c).to_numpy(zero_copy_only=False) for c in ("g", "start", "n", "parts"))
+            g, start, n, parts, once = (runs.field(c).to_numpy(zero_copy_only=False) for c in ("g", "start", "n", "parts", "once"))
             doc, key = rows["doc_id"].to_numpy()[row], rows["key"].to_numpy()[row]
             part = (mix(doc.view(np.uint64) * np.uint64(3) + start.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int32)
             for s in range(0, len(row), 8192):
@@ -147,16 +154,16 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
                 sizes = n[s:e].astype(np.int64) + length - 1
                 body = data[ragged(offsets[row[s:e]] + start[s:e], sizes)]
                 binary = pa.BinaryArray.from_buffers(pa.binary(), e - s, [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.py_buffer(body)])
-                yield pa.RecordBatch.from_arrays([*(pa.array(c[s:e]) for c in (g, doc, key, start, n, parts, part)), binary], names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[s:e]) for c in (g, doc, key, start, n, parts, once, part)), binary], names)
 
 
 def _scan(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
-    """Repeated windows among the runs of the same key.
+    """Windows that runs which occur once share with other runs of the same key, or hold twice.
 
     Rows (doc_id, key, start, stop): bytes to remove. For keys that are dealt to several parts also
     rows with g and h: one for each distinct window, with alone where this part has it once."""
     table = table.combine_chunks()
-    g, doc, key, start, n, parts = (table[c].to_numpy() for c in ("g", "doc_id", "key", "start", "n", "parts"))
+    g, doc, key, start, n, parts, once = (table[c].to_numpy() for c in ("g", "doc_id", "key", "start", "n", "parts", "once"))
     n = n.astype(np.int64)
     column = table["bytes"].combine_chunks() if isinstance(table["bytes"], pa.ChunkedArray) else table["bytes"]
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
@@ -170,7 +177,7 @@ def _scan(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     again = np.zeros(len(h), bool)
     again[order[1:]] |= same
     again[order[:-1]] |= same
-    hit = np.flatnonzero(again)
+    hit = np.flatnonzero(again & once[run])
     names = ["doc_id", "key", "start", "stop", "g", "h", "alone"]
     if len(hit):
         cut = np.flatnonzero(np.r_[True, (run[hit][1:] != run[hit][:-1]) | (hit[1:] != hit[:-1] + 1)])
@@ -183,7 +190,7 @@ def _scan(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     i = np.flatnonzero(one)
     if len(i):
         r = run[i]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(key[r]), pa.array(place[i].astype(np.int64)), pa.array(place[i].astype(np.int64) + length), pa.array(g[r]), pa.array(h[i].view(np.int64)), pa.array(~again[i])], names)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(key[r]), pa.array(place[i].astype(np.int64)), pa.array(place[i].astype(np.int64) + length), pa.array(g[r]), pa.array(h[i].view(np.int64)), pa.array(~again[i] & once[r])], names)
 
 
 def _clean(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
@@ -221,30 +228,32 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     its occurrences; strings overlap, lie within one text and are judged on the input. Null text
     counts as empty. A row that repeats another's text repeats its strings, so both go.
 
-    Only runs of windows whose anchor is repeated travel, as bytes, to where their key is compared;
-    keys of many runs are dealt to several tasks, which pass on each distinct window once, to be
-    counted by its hash. Positions come back by document. A text is shuffled once.
+    A run that occurs again with all its bytes goes whole, by a count. Of the other runs with a repeated
+    anchor, each distinct one travels once, as bytes, to where its key is compared; keys of many
+    distinct runs are dealt to several tasks, which pass on each distinct window once, to be
+    counted by its hash. Positions come back by document.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     spark = docs.sparkSession
     path = scratch(spark, "suffixes")
-    rows.mapInArrow(lambda b: _entries(b, length, key_bytes), "g long, doc_id long, key long, start int, n int").withColumn("batch", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(batches))).write.partitionBy("batch").parquet(f"{path}/entries", compression="zstd")
+    rows.mapInArrow(lambda b: _entries(b, length, key_bytes), "g long, r long, doc_id long, key long, start int, n int").withColumn("batch", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(batches))).write.partitionBy("batch").parquet(f"{path}/entries", compression="zstd")
     index = SuffixIndex(spark, path)
-    schema = "g long, doc_id long, key long, start int, n int, batch int"
+    schema = "g long, r long, doc_id long, key long, start int, n int, batch int"
     for i in range(batches):
         index.add(spark.read.schema(schema).parquet(f"{path}/entries").where(F.col("batch") == i).drop("batch"))
     found = settled(index.repeated())
     index.drop()
-    hot = found.groupBy("g").count().where(F.col("count") > group_rows).select("g", F.ceil(F.col("count") / group_rows).cast("int").alias("parts"))
-    by_doc = found.join(hot, "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).groupBy("doc_id", "key").agg(F.collect_list(F.struct("g", "start", "n", "parts")).alias("runs"))
-    # several rows of one id and text each bring their runs, and each row has all of them: once is enough
-    by_doc = by_doc.withColumn("runs", F.array_sort("runs"))
-    runs = rows.join(by_doc, ["doc_id", "key"]).select("doc_id", "key", "text", "runs").mapInArrow(lambda b: _runs(b, length), "g long, doc_id long, key long, start int, n int, parts int, part int, bytes binary")
+    contents = settled(found.groupBy("g", "r", "n").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "key", "start")).alias("at")))
+    many = contents.groupBy("g").count().where("count > 1").select("g", F.ceil(F.col("count") / group_rows).cast("int").alias("parts"))
+    picked = contents.join(many, "g").select("g", "n", "parts", "at.*", (F.col("c") == 1).alias("once"))
+    by_doc = picked.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("g", "start", "n", "parts", "once"))).alias("runs"))
+    runs = rows.join(by_doc, ["doc_id", "key"]).select("doc_id", "key", "text", "runs").mapInArrow(lambda b: _runs(b, length), "g long, doc_id long, key long, start int, n int, parts int, once boolean, part int, bytes binary")
     dealt = runs.repartition("g", "part").sortWithinPartitions("g", "part")
     scanned = settled(dealt.mapInArrow(lambda b: whole_groups(b, ["g", "part"], lambda t: _scan(t, length), group_rows, "n", 1 << 19), "doc_id long, key long, start long, stop long, g long, h long, alone boolean"))
     windows = scanned.where("g is not null")
     again = windows.groupBy("g", "h").count().where("count > 1").select("g", "h")
-    cuts = scanned.where("g is null").select("doc_id", "key", "start", "stop").unionByName(windows.where("alone").join(again, ["g", "h"]).select("doc_id", "key", "start", "stop"))
+    whole = found.join(contents.where("c > 1").select("g", "r", "n"), ["g", "r", "n"], "left_semi").select("doc_id", "key", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n") + length - 1).cast("long").alias("stop"))
+    cuts = whole.unionByName(scanned.where("g is null").select("doc_id", "key", "start", "stop")).unionByName(windows.where("alone").join(again, ["g", "h"]).select("doc_id", "key", "start", "stop"))
     cuts = cuts.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
     return rows.join(cuts, ["doc_id", "key"], "left").select("doc_id", "text", "cuts").mapInArrow(lambda b: _clean(b, texts), out)
