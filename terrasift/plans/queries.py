@@ -1,0 +1,390 @@
+"""The library's queries by name. Each takes (spark, sf_dir) and runs over whole tables."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns as fx
+from ..operators import components, fill, grid, metrics, nearest, normalize, quality, repair, stencil, tin, voids, windows
+from ..sources import tables
+from ..sources.views import embedding_patches, lineitem_points, synthetic_surface
+from ..streaming import cells as stream
+
+QUERIES: dict = {}
+KEY = ["tile", "row", "col"]
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _r(name: str, c=None, digits: int = 6):
+    """A rounded double without a negative zero."""
+    return (F.round(F.col(name) if c is None else c, digits) + F.lit(0.0)).alias(name)
+
+
+def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.grid_specs(grid.tile_headers(lineitem_points(spark, sf_dir)))
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.cell_bands(lineitem_points(spark, sf_dir), _grids(spark, sf_dir))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches with a prediction: the patch turned by a quarter of its own value where it is masked."""
+    p = embedding_patches(spark, sf_dir)
+    return p.withColumn("gt", F.col("z")).withColumn("pred", F.when(F.col("mask"), F.col("z") * 0.75).otherwise(F.col("z") + 0.125)).withColumn("first", F.col("z") * 0.5)
+
+
+# points to cells
+
+
+@query
+def class_histogram(spark, sf_dir):
+    return grid.class_histogram(lineitem_points(spark, sf_dir))
+
+
+@query
+def class_masks(spark, sf_dir):
+    m = grid.class_masks(lineitem_points(spark, sf_dir), {"ground": 2, "vegetation": 5, "building": 6})
+    return m.groupBy("tile").agg(*[F.count_if(f"is_{k}").alias(f"n_{k}") for k in ("ground", "vegetation", "building")])
+
+
+@query
+def tile_headers(spark, sf_dir):
+    return grid.tile_headers(lineitem_points(spark, sf_dir))
+
+
+@query
+def grid_spec(spark, sf_dir):
+    return _grids(spark, sf_dir)
+
+
+@query
+def cell_stats(spark, sf_dir):
+    return _cells(spark, sf_dir).select(*KEY, "all_density", "ground_density", "vegetation_density", "building_density", _r("dem"), "dsm", _r("mean_intensity"), _r("mean_return_num"), _r("last_return_ratio"), _r("ground_penetration_ratio"), "dem_valid_mask")
+
+
+def _raster(how: str, value: str):
+    def run(spark, sf_dir):
+        return grid.rasterize(lineitem_points(spark, sf_dir).where("cls = 2"), _grids(spark, sf_dir), value, how).select(*KEY, _r("v"))
+
+    return run
+
+
+for _how, _value in (("count", "z"), ("sum", "z"), ("mean", "z"), ("max", "intensity")):
+    QUERIES[f"rasterize_{_how}"] = _raster(_how, _value)
+
+
+@query
+def tile_stats(spark, sf_dir):
+    return grid.tile_stats(_cells(spark, sf_dir)).select("tile", "n_cells", "support", "valid", "surface", "max_dsm", _r("min_dem"), "unresolved")
+
+
+@query
+def source_precedence(spark, sf_dir):
+    """Per tile of a listing with repeats, the reference surface if there is one, else the default."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    listing = p.select((F.col("p_partkey") % 50).cast("string").alias("tile"), F.when(F.col("p_partkey") % 3 == 0, "reference").otherwise("default").alias("source")).distinct()
+    return tables.first_source(listing, ["reference", "default"])
+
+
+@query
+def skip_done(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("tile"))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("tile"))
+    return tables.not_done(c, o, ["tile"])
+
+
+@query
+def nodata_round_trip(spark, sf_dir):
+    p = embedding_patches(spark, sf_dir).withColumn("v", F.when(F.col("mask"), float("nan")).otherwise(F.col("z")))
+    p = p.withColumn("stored", fx.to_nodata(F.col("v")))
+    return p.select(*KEY, _r("stored"), _r("back", fx.from_nodata(F.col("stored"))))
+
+
+@query
+def hole_mask(spark, sf_dir):
+    p = embedding_patches(spark, sf_dir).withColumn("v", fx.from_nodata(F.when(F.col("mask"), -9999.0).otherwise(F.col("z"))))
+    return p.groupBy("tile").agg(F.count_if(F.col("v").isNull()).alias("holes"), F.count_if(F.col("v").isNotNull()).alias("valid"))
+
+
+@query
+def quality_rules(spark, sf_dir):
+    return quality.violations(_cells(spark, sf_dir)).select("tile", "rule", "severity", "raster", _r("value"))
+
+
+@query
+def quality_status(spark, sf_dir):
+    c = _cells(spark, sf_dir)
+    return quality.status(c, quality.violations(c))
+
+
+# neighbourhoods
+
+
+@query
+def slope(spark, sf_dir):
+    return stencil.slope(embedding_patches(spark, sf_dir)).select(*KEY, _r("slope"))
+
+
+@query
+def curvature(spark, sf_dir):
+    return stencil.curvature(embedding_patches(spark, sf_dir)).select(*KEY, _r("curvature"))
+
+
+@query
+def openness_multi(spark, sf_dir):
+    return stencil.openness(embedding_patches(spark, sf_dir), radii=(1, 3)).select(*KEY, _r("openness_s1"), _r("openness_s2"))
+
+
+@query
+def neighbor_count(spark, sf_dir):
+    c = _cells(spark, sf_dir)
+    return stencil.neighbor_count(c, "dem_valid_mask").select(*KEY, "neighbors")
+
+
+@query
+def boundary_band(spark, sf_dir):
+    return stencil.boundary_band(embedding_patches(spark, sf_dir), inner=1, outer=2).select(*KEY, "boundary_band")
+
+
+@query
+def dilate(spark, sf_dir):
+    return stencil.dilate(_cells(spark, sf_dir), "dem_valid_mask", 2, "near_ground").select(*KEY, "near_ground")
+
+
+@query
+def median_filter(spark, sf_dir):
+    return stencil.median3(embedding_patches(spark, sf_dir)).select(*KEY, _r("median"))
+
+
+@query
+def gaussian_filter(spark, sf_dir):
+    return stencil.gaussian(embedding_patches(spark, sf_dir), sigma=0.5).select(*KEY, _r("smooth"))
+
+
+@query
+def terrain_stack(spark, sf_dir):
+    """Slope, curvature, openness and boundary band of the analytic surface, in one plan."""
+    s = stencil.boundary_band(stencil.openness(stencil.curvature(stencil.slope(synthetic_surface(spark))), radii=(3, 7)), inner=2, outer=2)
+    return s.select(*KEY, _r("z"), _r("slope"), _r("curvature"), _r("openness_s1"), _r("openness_s2"), "mask", "boundary_band")
+
+
+# distance, holes, filling
+
+
+@query
+def edt(spark, sf_dir):
+    return nearest.nearest_valid(_cells(spark, sf_dir), "dem").select(*KEY, _r("distance"))
+
+
+@query
+def nearest_fill(spark, sf_dir):
+    return nearest.nearest_fill(_cells(spark, sf_dir), "dem").select(*KEY, _r("filled"))
+
+
+@query
+def idw_fill(spark, sf_dir):
+    return nearest.inverse_distance(_cells(spark, sf_dir), "dem", radius=4).select(*KEY, _r("idw"))
+
+
+@query
+def label_components(spark, sf_dir):
+    c = components.label_components(_cells(spark, sf_dir).withColumn("hole", F.col("dem").isNull()), "hole")
+    return c.where("label is not null").groupBy("tile", "label").agg(F.count("*").alias("area"))
+
+
+@query
+def fill_small_holes(spark, sf_dir):
+    return fill.fill_small_holes(_cells(spark, sf_dir), "dem", 8).select(*KEY, _r("filled"))
+
+
+@query
+def promote_gaps(spark, sf_dir):
+    c = _cells(spark, sf_dir).withColumn("observed", F.col("dem").isNotNull()).withColumn("support", F.col("all_density") > 1)
+    return fill.promote_small_gaps(c).select(*KEY, "promoted")
+
+
+@query
+def tiny_holes(spark, sf_dir):
+    c = _cells(spark, sf_dir).withColumn("domain", F.col("all_density") > 0)
+    return fill.tiny_holes(c, "dem", "domain", least=4).select(*KEY, "tiny_hole")
+
+
+@query
+def reference_dem(spark, sf_dir):
+    return fill.reference_dem(_cells(spark, sf_dir)).select(*KEY, _r("reference"), _r("confidence"), _r("repair_weight"), "low_confidence", "filled", "tiny_hole")
+
+
+@query
+def confidence_map(spark, sf_dir):
+    p = embedding_patches(spark, sf_dir).withColumn("partial", F.when(~F.col("mask"), F.col("z"))).withColumn("dsm", F.col("z") * 2).withColumn("coarse", F.col("z")).withColumn("ratio", F.abs(F.col("z")))
+    return fill.confidence_map(p).select(*KEY, _r("confidence"))
+
+
+@query
+def display_stretch(spark, sf_dir):
+    """Grey values; the doubles behind them are the same in both engines, as the tile's percentiles are."""
+    return fill.display_stretch(embedding_patches(spark, sf_dir)).select(*KEY, "grey")
+
+
+# windows
+
+
+@query
+def sliding_positions(spark, sf_dir):
+    return windows.sample_ids(windows.window_starts(_grids(spark, sf_dir), 32, 24)).select("tile", "top", "left", "sample_id")
+
+
+@query
+def window_validity(spark, sf_dir):
+    c, g = _cells(spark, sf_dir), _grids(spark, sf_dir)
+    return windows.window_validity(windows.cut_windows(c, g, 32, 24), "dsm", 32, 0.5).select("tile", "top", "left", _r("valid_ratio"))
+
+
+@query
+def window_blend(spark, sf_dir):
+    c, g = _cells(spark, sf_dir), _grids(spark, sf_dir)
+    w = windows.cut_windows(c, g, 32, 24).withColumn("v", F.col("dsm") + F.col("i") - F.col("j"))
+    return windows.blend(w, "v").select(*KEY, _r("blended"), "covers")
+
+
+@query
+def flip(spark, sf_dir):
+    return windows.flip(embedding_patches(spark, sf_dir), horizontal=True, vertical=True).select(*KEY, _r("z"))
+
+
+@query
+def block_round_trip(spark, sf_dir):
+    return normalize.from_blocks(normalize.to_blocks(embedding_patches(spark, sf_dir), ["z", "mask"]), ["z", "mask"], 8).select(*KEY, _r("z"), "mask")
+
+
+# voids
+
+
+@query
+def void_strategy(spark, sf_dir):
+    return voids.choose_strategy(embedding_patches(spark, sf_dir).select("tile").distinct())
+
+
+def _void(strategy: str):
+    def run(spark, sf_dir):
+        p = embedding_patches(spark, sf_dir).withColumn("weight", F.floor(F.abs(F.col("z")) * 64))
+        return voids.simulate_voids(p, strategy, shapes=8, radius=(1, 3), weight="weight").select(*KEY, "void")
+
+    return run
+
+
+for _s in voids.STRATEGIES:
+    QUERIES[f"void_{_s}"] = _void(_s)
+
+
+@query
+def void_points_poisson(spark, sf_dir):
+    return voids.void_points(embedding_patches(spark, sf_dir), "z", "mask", 2.0).select(*KEY, "i", _r("x"), _r("y"), _r("z"))
+
+
+# normalisation, metrics, losses
+
+
+@query
+def normalize_dem(spark, sf_dir):
+    p = embedding_patches(spark, sf_dir).withColumn("z", F.when(~F.col("mask"), F.col("z")))
+    return normalize.channel(p, "z", "dem", "out").select(*KEY, _r("out"))
+
+
+@query
+def normalize_density(spark, sf_dir):
+    return normalize.channel(_cells(spark, sf_dir), "all_density", "density", "out").select(*KEY, _r("out"))
+
+
+@query
+def normalize_feature(spark, sf_dir):
+    p = embedding_patches(spark, sf_dir).withColumn("z", F.when(~F.col("mask"), F.col("z") * 8))
+    return normalize.channel(p, "z", "feature", "out").select(*KEY, _r("out"))
+
+
+@query
+def normalize_ratio(spark, sf_dir):
+    return normalize.channel(embedding_patches(spark, sf_dir), "z", "ratio", "out").select(*KEY, _r("out"))
+
+
+@query
+def masked_mae_rmse(spark, sf_dir):
+    return metrics.masked_errors(_pairs(spark, sf_dir)).select("tile", *[_r(c) for c in ("mae", "rmse", "mask_mae", "mask_rmse")])
+
+
+@query
+def slope_rmse(spark, sf_dir):
+    return metrics.slope_rmse(_pairs(spark, sf_dir)).select("tile", _r("slope_rmse"))
+
+
+@query
+def masked_l1(spark, sf_dir):
+    return metrics.masked_l1(_pairs(spark, sf_dir)).select("tile", _r("hole_l1"), _r("valid_l1"), _r("l1"))
+
+
+@query
+def grad_loss(spark, sf_dir):
+    return metrics.grad_loss(_pairs(spark, sf_dir)).select("tile", _r("grad_loss"))
+
+
+@query
+def curvature_loss(spark, sf_dir):
+    return metrics.curvature_loss(_pairs(spark, sf_dir)).select("tile", _r("curvature_loss"))
+
+
+@query
+def total_loss(spark, sf_dir):
+    return metrics.total_loss(_pairs(spark, sf_dir), weights=(1.0, 0.1, 0.2, 0.5)).select("tile", _r("loss"))
+
+
+@query
+def adversarial_losses(spark, sf_dir):
+    p = embedding_patches(spark, sf_dir).select(F.col("z").alias("real"), (F.col("z") / 2).alias("fake"))
+    return metrics.adversarial_losses(p).select(_r("generator_loss"), _r("discriminator_loss"))
+
+
+@query
+def eval_rollup(spark, sf_dir):
+    return metrics.eval_rollup(_pairs(spark, sf_dir), F.floor(F.col("tile") / 16)).select("scope", *[_r(c) for c in ("mae", "rmse", "mask_mae", "mask_rmse")])
+
+
+# without SQL: tested against brute force
+
+
+@query
+def tin_dem(spark, sf_dir):
+    p = lineitem_points(spark, sf_dir).where("cls = 2")
+    return tin.tin(p, _grids(spark, sf_dir), max_edge=6.0, block=16).select(*KEY, _r("z"), "certified")
+
+
+@query
+def repair_regression(spark, sf_dir):
+    p = stencil.slope(embedding_patches(spark, sf_dir)).withColumn("gt", F.col("z"))
+    p = nearest.nearest_fill(p.withColumn("partial", F.when(~F.col("mask"), F.col("z"))), "partial", "coarse")
+    model = repair.fit_residual(p, ["coarse", "slope"])
+    r = repair.residual(model, ["coarse", "slope"])
+    return repair.repair(p, [r, r * 0.5]).select(*KEY, _r("stage1"), _r("stage2"), "mask")
+
+
+@query
+def stream_cell_stats(spark, sf_dir):
+    """The points as a stream of files; the windowed return count isn't needed for these bands."""
+    static = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    table = spark.readStream.schema(static.schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
+    k, p, s, n = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+    x = ((k * 7 + p * 3 + n * 11) % 64).cast("double") + (F.floor("l_quantity").cast("bigint") % 64).cast("double") / 64
+    y = ((k * 5 + s * 13 + n * 17) % 64).cast("double") + (F.round(F.col("l_extendedprice") * 100).cast("bigint") % 64).cast("double") / 64
+    cls = F.when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F") & (n <= 2), 2).when(F.col("l_returnflag") == "N", 5).when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"), 6).otherwise(1)
+    points = table.select(F.when(k % 2 == 0, "001").otherwise("002").alias("tile"), x.alias("x"), y.alias("y"), ((F.floor("l_extendedprice").cast("bigint") % 16384).cast("double") / 64).alias("z"), cls.alias("cls"))
+    surface = points.where(F.col("cls").isin(2, 5, 6)).where(~((F.col("cls") == 2) & ((F.col("x") - 20) * (F.col("x") - 20) + (F.col("y") - 44) * (F.col("y") - 44) < 81)))
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file:///tmp"
+    done = stream.stream_and_merge(surface, _grids(spark, sf_dir), f"{base.rstrip('/')}/spark-stream-{uuid.uuid4().hex}")
+    return done.select(*KEY, "n", "n_ground", _r("dem"), "dsm")
