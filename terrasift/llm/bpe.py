@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ def encoder(rank_file: str, pattern: str):
         with open(rank_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _encoders[rank_file, pattern] = PieceEncoder(lambda new: (np.array(enc.encode_ordinary(t), "<u4").tobytes() for t in new)), enc
+        _encoders[rank_file, pattern] = PieceEncoder(lambda piece: array("I", enc.encode_ordinary(piece)).tobytes()), enc
     return _encoders[rank_file, pattern]
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
-#: Cuts before white space that follows other text. No pre-token of a byte-level BPE pattern
-#: spans such a place, and none looks back over it, so tokens of the pieces are the text's.
-_PIECE = re.compile(r"\s*\S+|\s+")
+#: Cuts before white space that follows other text, and between a Latin word and the punctuation after it. No
+#: pre-token of a byte-level BPE pattern spans such a place, and none looks back over it, so tokens of the
+#: pieces are the text's.
+_PIECE = re.compile(r'\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?)"])|\s*\S+|\s+')
 #: White space to Python, but not to the tokenizers.
 _ODD = "\x1c\x1d\x1e\x1f"
 
@@ -17,21 +18,28 @@ def cut(text: str) -> list[str]:
 
 
 class PieceEncoder(dict):
-    """Maps pieces of text to their ids as bytes; holds at most about most_bytes of them."""
+    """Maps pieces of text to their ids as bytes; holds about most_bytes of them.
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], most_bytes: int = 96 << 20):
+    One is kept in each worker process, so later tasks find the words of earlier ones.
+    """
+
+    def __init__(self, encode_one: Callable[[str], bytes], most_bytes: int = 160 << 20):
         super().__init__()
-        self._encode_many, self._most, self._held = encode_many, most_bytes, 0
+        self._encode_one, self._most, self._held = encode_one, most_bytes, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self._encode_one(piece)
+        # words recur, long pieces hardly do
+        if len(piece) <= 64:
+            self[piece] = ids
+            self._held += 200 + len(piece) + len(ids)
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        rows = [cut(t) for t in texts]
-        if self._held > self._most:
-            self.clear()
-            self._held = 0
-        new = list(set().union(*rows).difference(self)) if rows else []
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            self.update(zip(part, self._encode_many(part), strict=True))
-        self._held += sum(map(len, new)) * 4 + 150 * len(new)
-        get = self.__getitem__
-        return [b"".join(map(get, r)) for r in rows]
+        out, get = [], self.__getitem__
+        for t in texts:
+            if self._held > self._most:
+                self.clear()
+                self._held = 0
+            out.append(b"".join(map(get, cut(t))))
+        return out

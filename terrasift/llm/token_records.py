@@ -12,6 +12,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ from .pieces import PieceEncoder
 
 _HEAD, _CRC = struct.Struct("<QI"), struct.Struct("<I")
 _WIDTHS = {2: "<u2", 4: "<u4"}
+_encoders: dict[tuple[str, int], tuple[PieceEncoder, int]] = {}
 
 
 def masked_crc(data: bytes) -> int:
@@ -50,6 +52,19 @@ def unframe(record: bytes) -> bytes:
     return payload
 
 
+def _encoder(tokenizer_file: str, end_id: int) -> tuple[PieceEncoder, int]:
+    """The encoder of a tokenizer file and the bytes of an id; made once in each worker."""
+    if (tokenizer_file, end_id) not in _encoders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(tokenizer_file)
+        width = 2 if tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
+        kind = {2: "H", 4: "I"}[width]
+        _encoders[tokenizer_file, end_id] = PieceEncoder(lambda piece: array(kind, tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()), width
+    return _encoders[tokenizer_file, end_id]
+
+
 def _open(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri)
 
@@ -66,14 +81,8 @@ def write_token_records(docs: DataFrame, out: str, tokenizer_file: str, end_id:
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        width = 2 if tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-        kind = _WIDTHS[width]
-        encoder = PieceEncoder(lambda new: (np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)))
-        end = np.array([end_id], kind).tobytes()
+        encoder, width = _encoder(tokenizer_file, end_id)
+        end = np.array([end_id], _WIDTHS[width]).tobytes()
         sink, at, name = None, 0, ""
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
