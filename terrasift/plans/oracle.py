@@ -58,6 +58,7 @@ def _areas(hole: str) -> str:
   labels as (select tile, id, min(label) as label from walk group by all), areas as (select tile, label, count(*) as area from labels group by all) """
 
 
+_GAPS = _PATCH.replace("with ", "with recursive ", 1) + ', cells as (select tile, "row", col, case when z <= 0 then z end as dem from patch)'
 _HOLES = ", flagged as (select * from cells)" + _areas("dem is null")
 _AROUND = """, flagged as (select a.tile, a."row", a.col, any_value(a.dem) as dem, any_value(a.all_density) as density, count(b.dem) as near, count(*) filter (b.all_density > 1) as supported
     from cells a join cells b on a.tile = b.tile and b."row" between a."row" - 1 and a."row" + 1 and b.col between a.col - 1 and a.col + 1 group by 1, 2, 3)"""
@@ -148,10 +149,10 @@ ORACLE_SQL = {
     "gaussian_filter": _smooth(),
     "edt": _CELLS + ', v as (select tile, "row", col, dem as v from cells)' + _near("v") + f"select {_K}, {_r('sqrt(d2)', 'distance')} from near",
     "nearest_fill": _CELLS + ', v as (select tile, "row", col, dem as v from cells)' + _near("v") + f"select {_K}, {_r('v', 'filled')} from near",
-    "idw_fill": _CELLS + f""", w as (select a.tile, a."row", a.col, sum(b.dem / ((a."row" - b."row")**2 + (a.col - b.col)**2)) / sum(1 / ((a."row" - b."row")**2 + (a.col - b.col)**2)) as v from cells a join cells b on a.tile = b.tile and a.dem is null and b.dem is not null
-        and b."row" between a."row" - 4 and a."row" + 4 and (a."row" - b."row")**2 + (a.col - b.col)**2 <= 16 group by 1, 2, 3) select c.tile, c."row", c.col, {_r('coalesce(c.dem, w.v, 0)', 'idw')} from cells c left join w on c.tile = w.tile and c."row" = w."row" and c.col = w.col""",
-    "label_components": _RCELLS + _HOLES + "select * from areas",
-    "fill_small_holes": _RCELLS + _HOLES + ', v as (select tile, "row", col, dem as v from cells)' + _near("v") + f"""select c.tile, c."row", c.col, {_r('coalesce(c.dem, case when a.area <= 8 then n.v end)', 'filled')} from cells c join near n on c.tile = n.tile and c."row" = n."row" and c.col = n.col
+    "idw_fill": _GAPS + f""", w as (select a.tile, a."row", a.col, sum(b.dem / ((a."row" - b."row")**2 + (a.col - b.col)**2)) / sum(1 / ((a."row" - b."row")**2 + (a.col - b.col)**2)) as v from cells a join cells b on a.tile = b.tile and a.dem is null and b.dem is not null
+        and b."row" between a."row" - 2 and a."row" + 2 and (a."row" - b."row")**2 + (a.col - b.col)**2 <= 4 group by 1, 2, 3) select c.tile, c."row", c.col, {_r('coalesce(c.dem, w.v, 0)', 'idw')} from cells c left join w on c.tile = w.tile and c."row" = w."row" and c.col = w.col""",
+    "label_components": _GAPS + _HOLES + "select * from areas",
+    "fill_small_holes": _GAPS + _HOLES + ', v as (select tile, "row", col, dem as v from cells)' + _near("v") + f"""select c.tile, c."row", c.col, {_r('coalesce(c.dem, case when a.area <= 8 then n.v end)', 'filled')} from cells c join near n on c.tile = n.tile and c."row" = n."row" and c.col = n.col
         left join labels l on l.tile = c.tile and l.id = c."row"::bigint * 4294967296 + c.col left join areas a on a.tile = l.tile and a.label = l.label""",
     "promote_gaps": _RCELLS + _AROUND + _areas("density <= 1 and near >= 3 and supported >= 3") + """select f.tile, f."row", f.col, density > 1 or coalesce(a.area <= 8, false) as promoted from flagged f
         left join labels l on l.tile = f.tile and l.id = f."row"::bigint * 4294967296 + f.col left join areas a on a.tile = l.tile and a.label = l.label""",

@@ -189,20 +189,25 @@ def nearest_fill(spark, sf_dir):
     return nearest.nearest_fill(_cells(spark, sf_dir), "dem").select(*KEY, _r("filled"))
 
 
+def _holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches that miss their positive cells."""
+    return embedding_patches(spark, sf_dir).withColumn("dem", F.when(F.col("z") <= 0, F.col("z")))
+
+
 @query
 def idw_fill(spark, sf_dir):
-    return nearest.inverse_distance(_cells(spark, sf_dir), "dem", radius=4).select(*KEY, _r("idw"))
+    return nearest.inverse_distance(_holes(spark, sf_dir), "dem", radius=2).select(*KEY, _r("idw"))
 
 
 @query
 def label_components(spark, sf_dir):
-    c = components.label_components(_cells(spark, sf_dir).withColumn("hole", F.col("dem").isNull()), "hole")
+    c = components.label_components(_holes(spark, sf_dir).withColumn("hole", F.col("dem").isNull()), "hole")
     return c.where("label is not null").groupBy("tile", "label").agg(F.count("*").alias("area"))
 
 
 @query
 def fill_small_holes(spark, sf_dir):
-    return fill.fill_small_holes(_cells(spark, sf_dir), "dem", 8).select(*KEY, _r("filled"))
+    return fill.fill_small_holes(_holes(spark, sf_dir), "dem", 8).select(*KEY, _r("filled"))
 
 
 @query
