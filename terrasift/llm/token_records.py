@@ -61,7 +61,7 @@ def _encoder(tokenizer_file: str, end_id: int) -> tuple[PieceEncoder, int]:
         tokenizer = Tokenizer.from_file(tokenizer_file)
         width = 2 if tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         kind = {2: "H", 4: "I"}[width]
-        _encoders[tokenizer_file, end_id] = PieceEncoder(lambda piece: array(kind, tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()), width
+        _encoders[tokenizer_file, end_id] = PieceEncoder(lambda piece: array(kind, tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids).tobytes()), width
     return _encoders[tokenizer_file, end_id]
 
 
