@@ -2,8 +2,10 @@
 
 1. Every text becomes its set of word shingles, ordered by their hashes, the same order everywhere.
 2. Candidates: a class of set sizes fixes how many shingles two linked sets can differ in. The
-   order is cut into more stretches than that, so linked sets agree in one whole stretch of it.
-   Hashes of the stretches meet in an aggregated minimum, which joins the sets to candidate groups.
+   order is cut into more stretches than that, so linked sets agree in as many whole stretches as
+   there are spare ones. All but that many of a set's stretches, the most frequent ones left out,
+   meet in an aggregated minimum, which joins the sets to candidate groups: passages that
+   many texts share make few of a set's stretches, and those are frequent.
 3. Each candidate group is joined by a trie of its ordered sets: every set walks the trie of those
    after it, sets with a common start share the overlap counted so far, and subtrees go whose
    remaining length can't reach the wanted similarity.
@@ -42,14 +44,15 @@ def size_classes(percent: int, most: int = 1 << 31) -> np.ndarray:
 def stretches(top: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(differences, stretches) of a class whose largest size is top, its sets being compared with ones of up to top * 100 / percent."""
     differ = (top + top * 100 // percent) * (100 - percent) // (100 + percent)
-    return differ, differ + 2 + (differ + 1) // 64
+    # the lower the similarity, the shorter the stretches, and the more of them must agree
+    return differ, differ + 2 + (differ + 1) // 64 + differ * max(0, 90 - percent) // 20
 
 
-def stretch_hashes(tokens: np.ndarray, offsets: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row): those stretches of each row's set by which a set that links with it can be met.
+def stretch_hashes(tokens: np.ndarray, offsets: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, ...]:
+    """(hash, row, class, least): the stretches of each row's set by which a set that links with it can be met.
 
-    Linked sets agree in more stretches than the spare ones of the class. If a row has at most that many
-    empty ones, they agree in one that isn't empty; else its empty ones are passed on too.
+    Sets that link in a class have at least `least` hashes in common, counted from either. Empty stretches
+    that may be among those that agree lower it; where they could be all of them, they are passed on too.
     """
     bounds = size_classes(percent)
     n = np.diff(offsets)
@@ -64,7 +67,8 @@ def stretch_hashes(tokens: np.ndarray, offsets: np.ndarray, percent: int = PERCE
     counts = n[row]
     at = ragged(offsets[row], counts)
     if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none
     which = np.repeat(np.arange(len(row)), counts)
     value = tokens[at]
     seg = ((value >> np.uint64(32)) * k[which].astype(np.uint64)) >> np.uint64(32)
@@ -72,14 +76,15 @@ def stretch_hashes(tokens: np.ndarray, offsets: np.ndarray, percent: int = PERCE
     first = np.flatnonzero(new)
     total = np.add.reduceat(mix(value ^ _SEED), first)
     place = (cls[which[first]].astype(np.uint64) << np.uint64(40)) | seg[first]
-    out, rows = mix(total + mix(place)), row[which[first]]
-    empty = k - np.bincount(which[first], minlength=len(row))
-    for i in np.flatnonzero(empty > k - differ - 1):
-        there = seg[first[which[first] == i]].astype(np.int64)
+    out, emission = mix(total + mix(place)), which[first]
+    empty = k - np.bincount(emission, minlength=len(row))
+    least = k - differ - empty
+    for i in np.flatnonzero(least < 1):
+        there = seg[first[emission[: len(first)] == i]].astype(np.int64)
         gaps = np.setdiff1d(np.arange(k[i]), there).astype(np.uint64)
         out = np.r_[out, mix(mix((np.uint64(cls[i]) << np.uint64(40)) | gaps) + _SEED)]
-        rows = np.r_[rows, np.full(len(gaps), row[i])]
-    return out, rows
+        emission = np.r_[emission, np.full(len(gaps), i)]
+    return out, row[emission], cls[emission], np.maximum(least, 1)[emission]
 
 
 def _set_hash(tokens: np.ndarray, offsets: np.ndarray, seed: int) -> np.ndarray:
@@ -111,9 +116,9 @@ def _stretch_rows(batches: Iterator[pa.RecordBatch], width: int, percent: int) -
             if len(seen) > 1 << 20:
                 seen.clear()
             seen.update(node[fresh].tolist())
-            h, row = stretch_hashes(tokens, at, percent)
+            h, row, cls, least = stretch_hashes(tokens, at, percent)
             keep = fresh[row]
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(node[row[keep]].view(np.int64))], ["h", "a"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(node[row[keep]].view(np.int64)), pa.array(cls[keep].astype(np.int32)), pa.array(least[keep].astype(np.int32))], ["h", "a", "cls", "least"])
 
 
 def trie_links(tokens: np.ndarray, offsets: np.ndarray, group: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -254,9 +259,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sets = settled(rows.mapInArrow(lambda b: _sets(b, width), "doc_id long, n long, a long, b long"))
     firsts = sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("first"))
-    met = rows.mapInArrow(lambda b: _stretch_rows(b, width, percent), "h long, a long")
-    least = met.groupBy("h").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least < most").select("h", "least")
-    edges = met.join(least, "h").where("a != least").select("a", F.col("least").alias("b"))
+    met = rows.mapInArrow(lambda b: _stretch_rows(b, width, percent), "h long, a long, cls int, least int")
+    common = met.groupBy("h").agg(F.count("*").alias("df"), F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("h", "df")
+    # of a set's stretches, as many as a document is long, all but the least - 1 most frequent
+    own = met.join(common, "h").groupBy("a", "cls", "least").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("t")).where(F.size("t") >= F.col("least"))
+    kept = settled(own.select("a", F.explode(F.slice("t", F.lit(1), F.size("t") - F.col("least") + 1)).alias("x")).select("a", "x.h"))
+    hubs = kept.groupBy("h").agg(F.min("a").alias("b"), F.max("a").alias("hi")).where("b < hi").select("h", "b")
+    edges = kept.join(hubs, "h").where("a != b").select("a", "b")
     groups = connected_components(edges.distinct())
     members = settled(firsts.join(groups, F.col("a") == F.col("node")).select(F.col("first").alias("doc_id"), F.col("component").alias("cluster"), "n"))
     blocks = members.groupBy("cluster").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
