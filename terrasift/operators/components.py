@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stencil import WC, WR
+from .stencil import wc, wr
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -42,9 +42,9 @@ def label_components(cells: DataFrame, flag: str, out: str = "label") -> DataFra
     an area of n x n cells is a graph of n nodes.
     """
     place = (F.col("row").cast("long") * F.lit(1 << 32) + F.col("col")).cast("long")
-    begins = F.col(flag) & ~F.coalesce(F.lag(flag).over(WR), F.lit(False))
-    c = cells.withColumn("_run", F.when(F.col(flag), F.last(F.when(begins, place), True).over(WR.rowsBetween(Window.unboundedPreceding, 0))))
-    c = c.withColumn("_above", F.lag("_run").over(WC))
+    begins = F.col(flag) & ~F.coalesce(F.lag(flag).over(wr()), F.lit(False))
+    c = cells.withColumn("_run", F.when(F.col(flag), F.last(F.when(begins, place), True).over(wr().rowsBetween(Window.unboundedPreceding, 0))))
+    c = c.withColumn("_above", F.lag("_run").over(wc()))
     c = settled(c)
     nodes = c.where("_run is not null").select("tile", F.col("_run").alias("node")).distinct()
     edges = c.where("_run is not null and _above is not null").select("tile", F.col("_run").alias("a"), F.col("_above").alias("b")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stencil import WC, WR, laplacian
+from .stencil import wc, wr, laplacian
 
 
 def weighted(value: Column, weight: Column) -> Column:
@@ -23,9 +23,9 @@ def _corner(cells: DataFrame, pred: str, gt: str, mask: str) -> DataFrame:
     """Forward differences of both bands at cells that have a neighbour on either side, with the mask one step down and right."""
     c = cells
     for b in (pred, gt):
-        c = c.withColumn(f"_x{b}", F.lead(b).over(WR) - F.col(b)).withColumn(f"_y{b}", F.lead(b).over(WC) - F.col(b))
-    c = c.withColumn("_mr", F.lead(F.col(mask).cast("double")).over(WR))
-    return c.withColumn("_m", F.lead("_mr").over(WC))
+        c = c.withColumn(f"_x{b}", F.lead(b).over(wr()) - F.col(b)).withColumn(f"_y{b}", F.lead(b).over(wc()) - F.col(b))
+    c = c.withColumn("_mr", F.lead(F.col(mask).cast("double")).over(wr()))
+    return c.withColumn("_m", F.lead("_mr").over(wc()))
 
 
 def slope_rmse(cells: DataFrame, pred: str = "pred", gt: str = "gt", mask: str = "mask") -> DataFrame:
@@ -45,7 +45,7 @@ def grad_loss(cells: DataFrame, pred: str = "pred", gt: str = "gt", mask: str =
     """L1 of forward differences, weighted by the larger mask of the two cells, summed over both directions."""
     m = F.col(mask).cast("double")
     c = cells
-    for axis, w in (("x", WR), ("y", WC)):
+    for axis, w in (("x", wr()), ("y", wc())):
         c = c.withColumn(f"_d{axis}", F.abs((F.lead(pred).over(w) - F.col(pred)) - (F.lead(gt).over(w) - F.col(gt)))).withColumn(f"_w{axis}", F.when(F.lead(m).over(w).isNotNull(), F.greatest(m, F.lead(m).over(w))))
     part = lambda a: F.coalesce(F.sum(F.col(f"_d{a}") * F.col(f"_w{a}")), F.lit(0.0)) / F.greatest(F.coalesce(F.sum(f"_w{a}"), F.lit(0.0)), F.lit(1.0))
     return c.groupBy("tile").agg((part("x") + part("y")).alias("grad_loss"))

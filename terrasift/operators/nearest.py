@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stencil import WC
+from .stencil import wc
 
 
 def nearest_valid(cells: DataFrame, band: str, out: str = "near", distance: str = "distance") -> DataFrame:
     """Adds the value of the nearest cell whose band isn't NULL (ties: least row, then col) and the distance; NULL if the tile has none."""
     row, source = F.col("row"), F.when(F.col(band).isNotNull(), F.struct(F.col("row").alias("r"), F.col(band).alias("v")))
-    up = F.last(source, True).over(WC.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(source, True).over(WC.rowsBetween(0, Window.unboundedFollowing))
+    up = F.last(source, True).over(wc().rowsBetween(Window.unboundedPreceding, 0))
+    down = F.first(source, True).over(wc().rowsBetween(0, Window.unboundedFollowing))
     c = cells.withColumn("_up", up).withColumn("_down", down)
     nearer = F.when(F.col("_up").isNull(), F.col("_down")).when(F.col("_down").isNull() | (row - F.col("_up.r") <= F.col("_down.r") - row), F.col("_up")).otherwise(F.col("_down"))
     c = c.withColumn("_s", nearer).drop("_up", "_down")

@@ -8,11 +8,18 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-WR = Window.partitionBy("tile", "row").orderBy("col")
-WC = Window.partitionBy("tile", "col").orderBy("row")
+
+def wr() -> WindowSpec:
+    """Along a row of a tile."""
+    return Window.partitionBy("tile", "row").orderBy("col")
+
+
+def wc() -> WindowSpec:
+    """Along a column of a tile."""
+    return Window.partitionBy("tile", "col").orderBy("row")
 
 
 def _along(z: Column, w, r: float) -> Column:
@@ -23,7 +30,7 @@ def _along(z: Column, w, r: float) -> Column:
 
 def gradient(cells: DataFrame, band: str, dx: str, dy: str, resolution: float = 1.0) -> DataFrame:
     z = F.col(band)
-    return cells.withColumn(dx, _along(z, WR, resolution)).withColumn(dy, _along(z, WC, resolution))
+    return cells.withColumn(dx, _along(z, wr(), resolution)).withColumn(dy, _along(z, wc(), resolution))
 
 
 def slope(cells: DataFrame, band: str = "z", out: str = "slope", resolution: float = 1.0) -> DataFrame:
@@ -34,34 +41,34 @@ def slope(cells: DataFrame, band: str = "z", out: str = "slope", resolution: flo
 def curvature(cells: DataFrame, band: str = "z", out: str = "curvature", resolution: float = 1.0) -> DataFrame:
     """The gradient of the gradient, summed over both axes."""
     g = gradient(cells, band, "_gx", "_gy", resolution)
-    return g.withColumn("_xx", _along(F.col("_gx"), WR, resolution)).withColumn("_yy", _along(F.col("_gy"), WC, resolution)).withColumn(out, F.col("_xx") + F.col("_yy")).drop("_gx", "_gy", "_xx", "_yy")
+    return g.withColumn("_xx", _along(F.col("_gx"), wr(), resolution)).withColumn("_yy", _along(F.col("_gy"), wc(), resolution)).withColumn(out, F.col("_xx") + F.col("_yy")).drop("_gx", "_gy", "_xx", "_yy")
 
 
 def openness(cells: DataFrame, band: str = "z", radii=(3, 7, 15, 31)) -> DataFrame:
     """openness_s1, ...: height above the middle of the extremes of a square, one column per radius."""
     out = cells
     for i, r in enumerate(radii, 1):
-        out = out.withColumn(f"_a{i}", F.max(band).over(WR.rowsBetween(-r, r))).withColumn(f"_b{i}", F.min(band).over(WR.rowsBetween(-r, r)))
+        out = out.withColumn(f"_a{i}", F.max(band).over(wr().rowsBetween(-r, r))).withColumn(f"_b{i}", F.min(band).over(wr().rowsBetween(-r, r)))
     for i, r in enumerate(radii, 1):
-        w = WC.rowsBetween(-r, r)
+        w = wc().rowsBetween(-r, r)
         out = out.withColumn(f"openness_s{i}", F.col(band) - (F.max(f"_a{i}").over(w) + F.min(f"_b{i}").over(w)) / 2)
     return out.drop(*[f"_{k}{i}" for k in "ab" for i in range(1, len(radii) + 1)])
 
 
 def neighbor_count(cells: DataFrame, flag: str, out: str = "neighbors") -> DataFrame:
     """How many of the 3 x 3 cells around a cell, itself included, are flagged."""
-    n = cells.withColumn("_beside", F.sum(F.col(flag).cast("int")).over(WR.rowsBetween(-1, 1)))
-    return n.withColumn(out, F.sum("_beside").over(WC.rowsBetween(-1, 1))).drop("_beside")
+    n = cells.withColumn("_beside", F.sum(F.col(flag).cast("int")).over(wr().rowsBetween(-1, 1)))
+    return n.withColumn(out, F.sum("_beside").over(wc().rowsBetween(-1, 1))).drop("_beside")
 
 
 def step_distance(cells: DataFrame, flag: str, out: str) -> DataFrame:
     """Steps along rows and columns to the nearest flagged cell, NULL if the tile has none; exact, by running minima."""
     row, col = F.col("row"), F.col("col")
-    up = row - F.last(F.when(F.col(flag), row), True).over(WC.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(F.when(F.col(flag), row), True).over(WC.rowsBetween(0, Window.unboundedFollowing)) - row
+    up = row - F.last(F.when(F.col(flag), row), True).over(wc().rowsBetween(Window.unboundedPreceding, 0))
+    down = F.first(F.when(F.col(flag), row), True).over(wc().rowsBetween(0, Window.unboundedFollowing)) - row
     d = cells.withColumn("_d", F.least(up, down))
-    left = F.min(F.col("_d") - col).over(WR.rowsBetween(Window.unboundedPreceding, 0)) + col
-    right = F.min(F.col("_d") + col).over(WR.rowsBetween(0, Window.unboundedFollowing)) - col
+    left = F.min(F.col("_d") - col).over(wr().rowsBetween(Window.unboundedPreceding, 0)) + col
+    right = F.min(F.col("_d") + col).over(wr().rowsBetween(0, Window.unboundedFollowing)) - col
     return d.withColumn(out, F.least(left, right)).drop("_d")
 
 
@@ -75,7 +82,7 @@ def boundary_band(cells: DataFrame, mask: str = "mask", inner: int = 1, outer: i
     inner, outer = max(inner, 1), max(outer, 1)
     c = cells.withColumn("_not", ~F.col(mask))
     c = step_distance(step_distance(c, "_not", "_in"), mask, "_out")
-    whole_row, whole_col = WR.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), WC.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole_row, whole_col = wr().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), wc().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     edge = F.least(F.col("col") + 1, F.max("col").over(whole_row) + 1 - F.col("col"), F.col("row") + 1, F.max("row").over(whole_col) + 1 - F.col("row"))
     c = c.withColumn("_edge", edge)
     return c.withColumn(out, F.when(F.col(mask), F.least("_in", "_edge") <= inner).otherwise(F.coalesce(F.col("_out") <= outer, F.lit(False)))).drop("_not", "_in", "_out", "_edge")
@@ -84,9 +91,9 @@ def boundary_band(cells: DataFrame, mask: str = "mask", inner: int = 1, outer: i
 def median3(cells: DataFrame, band: str = "z", out: str = "median") -> DataFrame:
     """Median of 3 x 3 cells; at the border the edge cells count again."""
     z = F.col(band)
-    c = cells.withColumn("_row", F.array(F.coalesce(F.lag(z).over(WR), z), z, F.coalesce(F.lead(z).over(WR), z)))
+    c = cells.withColumn("_row", F.array(F.coalesce(F.lag(z).over(wr()), z), z, F.coalesce(F.lead(z).over(wr()), z)))
     own = F.col("_row")
-    nine = F.concat(F.coalesce(F.lag(own).over(WC), own), own, F.coalesce(F.lead(own).over(WC), own))
+    nine = F.concat(F.coalesce(F.lag(own).over(wc()), own), own, F.coalesce(F.lead(own).over(wc()), own))
     return c.withColumn(out, F.get(F.array_sort(nine), F.lit(4))).drop("_row")
 
 
@@ -117,5 +124,5 @@ def gaussian(cells: DataFrame, band: str = "z", sigma: float = 1.0, out: str = "
 
 def laplacian(cells: DataFrame, band: str, out: str) -> DataFrame:
     """Sum of the four neighbours minus four times the cell; 0 outside."""
-    around = [F.coalesce(f(band).over(w), F.lit(0.0)) for w in (WC, WR) for f in (F.lag, F.lead)]
+    around = [F.coalesce(f(band).over(w), F.lit(0.0)) for w in (wc(), wr()) for f in (F.lag, F.lead)]
     return cells.withColumn(out, around[0] + around[1] + around[2] + around[3] - 4 * F.col(band))
