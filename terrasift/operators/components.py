@@ -36,14 +36,14 @@ def _least_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) ->
 
 
 def label_components(cells: DataFrame, flag: str, out: str = "label") -> DataFrame:
-    """Adds to flagged cells the place (row * 2**32 + col) of their component's first cell; NULL to others.
+    """Adds to flagged cells the place (row * 2**32 + col) of their component's first cell; NULL to others.  A column named like the new one is replaced.
 
     The nodes are runs of flagged cells in a row, not cells, and edges join runs that touch vertically, so
     an area of n x n cells is a graph of n nodes.
     """
     place = (F.col("row").cast("long") * F.lit(1 << 32) + F.col("col")).cast("long")
     begins = F.col(flag) & ~F.coalesce(F.lag(flag).over(wr()), F.lit(False))
-    c = cells.withColumn("_run", F.when(F.col(flag), F.last(F.when(begins, place), True).over(wr().rowsBetween(Window.unboundedPreceding, 0))))
+    c = cells.drop(out).withColumn("_run", F.when(F.col(flag), F.last(F.when(begins, place), True).over(wr().rowsBetween(Window.unboundedPreceding, 0))))
     c = c.withColumn("_above", F.lag("_run").over(wc()))
     c = settled(c)
     nodes = c.where("_run is not null").select("tile", F.col("_run").alias("node")).distinct()
