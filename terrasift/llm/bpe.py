@@ -27,7 +27,7 @@ def encoder(rank_file: str, pattern: str):
         with open(rank_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _encoders[rank_file, pattern] = PieceEncoder(lambda piece: array("I", enc.encode_ordinary(piece)).tobytes()), enc
+        _encoders[rank_file, pattern] = PieceEncoder(lambda pieces: [array("I", enc.encode_ordinary(p)).tobytes() for p in pieces]), enc
     return _encoders[rank_file, pattern]
 
 

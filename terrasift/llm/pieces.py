@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+
 #: Cuts before white space that follows other text, and between a Latin word and the punctuation after it. No
 #: pre-token of a byte-level BPE pattern spans such a place, and none looks back over it, so tokens of the
 #: pieces are the text's.
 _PIECE = re.compile(r'\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?)"])|\s*\S+|\s+')
+#: Words that don't fill a pre-token together with a line end.
+_PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?")
 #: White space to Python, but not to the tokenizers.
 _ODD = "\x1c\x1d\x1e\x1f"
 
@@ -20,26 +24,53 @@ def cut(text: str) -> list[str]:
 class PieceEncoder(dict):
     """Maps pieces of text to their ids as bytes; holds about most_bytes of them.
 
-    One is kept in each worker process, so later tasks find the words of earlier ones.
+    encode_many gives the ids of a list of pieces. One encoder is kept in each worker process, so later
+    tasks find the words of earlier ones.
     """
 
-    def __init__(self, encode_one: Callable[[str], bytes], most_bytes: int = 160 << 20):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], most_bytes: int = 160 << 20):
         super().__init__()
-        self._encode_one, self._most, self._held = encode_one, most_bytes, 0
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self._encode_one(piece)
-        # words recur, long pieces hardly do
-        if len(piece) <= 64:
-            self[piece] = ids
-            self._held += 200 + len(piece) + len(ids)
-        return ids
+        self._encode_many, self._most, self._held = encode_many, most_bytes, 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out, get = [], self.__getitem__
-        for t in texts:
-            if self._held > self._most:
-                self.clear()
-                self._held = 0
-            out.append(b"".join(map(get, cut(t))))
+        if self._held > self._most:
+            self.clear()
+            self._held = 0
+        cuts = [cut(t) for t in texts]
+        new = list(set().union(*cuts).difference(self))
+        ids = self._encode_many(new) if new else []
+        self.update(zip(new, ids, strict=True))
+        out = [b"".join(map(self.__getitem__, c)) for c in cuts]
+        for piece, x in zip(new, ids, strict=True):
+            # words recur, long pieces hardly do
+            if len(piece) > 64:
+                del self[piece]
+            else:
+                self._held += 200 + len(piece) + len(x)
         return out
+
+
+def joined(encode: Callable[[str], np.ndarray], line_end: int) -> Callable[[list[str]], list[bytes]]:
+    """encode_many by calls for a thousand words at a time: lines of one text, where line_end is the id of the line
+    end between them. Only plain words, with or without one space before, go that way; no pre-token of them
+    holds the line end. Other pieces are encoded on their own."""
+
+    def many(pieces: list[str]) -> list[bytes]:
+        out = [b""] * len(pieces)
+        plain = []
+        for i, p in enumerate(pieces):
+            if _PLAIN.fullmatch(p):
+                plain.append(i)
+            else:
+                out[i] = encode(p).tobytes()
+        for lo in range(0, len(plain), 1000):
+            part = plain[lo : lo + 1000]
+            ids = encode("\n".join([pieces[i] for i in part]))
+            width, data = ids.itemsize, ids.tobytes()
+            start = 0
+            for i, stop in zip(part, [*(np.flatnonzero(ids == line_end) * width).tolist(), len(data)], strict=True):
+                out[i] = data[start:stop]
+                start = stop + width
+        return out
+
+    return many

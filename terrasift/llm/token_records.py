@@ -12,7 +12,6 @@ import os
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .pieces import PieceEncoder
+from .pieces import PieceEncoder, joined
 
 _HEAD, _CRC = struct.Struct("<QI"), struct.Struct("<I")
 _WIDTHS = {2: "<u2", 4: "<u4"}
@@ -60,8 +59,15 @@ def _encoder(tokenizer_file: str, end_id: int) -> tuple[PieceEncoder, int]:
 
         tokenizer = Tokenizer.from_file(tokenizer_file)
         width = 2 if tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-        kind = {2: "H", 4: "I"}[width]
-        _encoders[tokenizer_file, end_id] = PieceEncoder(lambda piece: array(kind, tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids).tobytes()), width
+
+        def encode(piece: str) -> np.ndarray:
+            return np.array(tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids, _WIDTHS[width])
+
+        def alone(pieces: list[str]) -> list[bytes]:
+            return [encode(p).tobytes() for p in pieces]
+
+        end = encode("\n")
+        _encoders[tokenizer_file, end_id] = PieceEncoder(joined(encode, int(end[0])) if len(end) == 1 else alone), width
     return _encoders[tokenizer_file, end_id]
 
 
