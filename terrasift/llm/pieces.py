@@ -10,7 +10,7 @@ import numpy as np
 #: Cuts before white space that follows other text, and between a Latin word and the punctuation after it. No
 #: pre-token of a byte-level BPE pattern spans such a place, and none looks back over it, so tokens of the
 #: pieces are the text's.
-_PIECE = re.compile(r'\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?)"])|\s*\S+|\s+')
+_PIECE = re.compile(r'\s*[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[.,;:!?)"])|\s*\S+|\s+')
 #: Words that don't fill a pre-token together with a line end.
 _PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?")
 #: White space to Python, but not to the tokenizers.
