@@ -16,6 +16,8 @@ from .pieces import PieceEncoder
 
 #: Characters in a chunk, and by how many the next one overlaps it.
 CHUNK, OVERLAP = 32768, 1024
+#: Of pieces and their ids in each worker, which keeps them while it lives, other stages included.
+CACHE_BYTES = 48 << 20
 _encoders: dict[tuple[str, str], tuple] = {}
 
 
@@ -27,7 +29,7 @@ def encoder(rank_file: str, pattern: str):
         with open(rank_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _encoders[rank_file, pattern] = PieceEncoder(lambda pieces: [array("I", enc.encode_ordinary(p)).tobytes() for p in pieces]), enc
+        _encoders[rank_file, pattern] = PieceEncoder(lambda pieces: [array("I", enc.encode_ordinary(p)).tobytes() for p in pieces], CACHE_BYTES), enc
     return _encoders[rank_file, pattern]
 
 
