@@ -22,9 +22,9 @@ def fill_small_holes(cells: DataFrame, band: str, max_area: int = 32, out: str =
     return c.withColumn(out, F.coalesce(F.col(band), F.when(F.col("_area") <= max_area, F.col("_near")))).drop("_hole", "_label", "_area", "_near", "_d")
 
 
-def interpolate(cells: DataFrame, band: str, method: str = "idw", sigma: float = 0.0, radius: int = 8, out: str = "filled") -> DataFrame:
-    """Fills all missing cells and keeps the valid ones: nearest or idw, and either with a Gaussian filter of what was filled."""
-    kinds = {"nearest": lambda c: nearest_fill(c, band, out), "idw": lambda c: inverse_distance(c, band, radius, out)}
+def interpolate(cells: DataFrame, band: str, method: str = "idw", sigma: float = 0.0, radius: int = 64, out: str = "filled", smoothing: int = 0) -> DataFrame:
+    """Fills all missing cells and keeps the valid ones: nearest or idw (0 beyond the radius), and either with a Gaussian filter of what was filled."""
+    kinds = {"nearest": lambda c: nearest_fill(c, band, out), "idw": lambda c: inverse_distance(c, band, radius, smoothing, out)}
     base, _, smooth = method.partition("_")
     if base not in kinds or smooth not in ("", "gaussian"):
         raise ValueError(f"unknown method {method!r}")
@@ -73,7 +73,7 @@ def reference_dem(cells: DataFrame, dem: str = "dem", support_density: str = "al
     w = clip(F.col("repair_weight") * strength, 0.0, 1.0)
     c = c.withColumn("_z", F.when(F.col("_z").isNotNull(), (1 - w) * F.col("_z") + w * F.col("_median"))).drop("_full", "_median")
     c = tiny_holes(dilate(c, "_support", 1, "_domain"), "_z", "_domain")
-    c = inverse_distance(c, "_z", min(radius, 12), "_idw")
+    c = inverse_distance(c, "_z", min(radius, 12), out="_idw")
     return c.withColumn("reference", F.coalesce(F.col("_z"), F.when(F.col("tiny_hole"), F.col("_idw")))).drop("_observed", "_support", "_source", "_surface", "_z", "_domain", "_idw")
 
 

@@ -7,10 +7,16 @@ raster travels as one array, so its size is bounded by the tile's width.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .stencil import wc
+from .stencil import mean3, wc
+
+#: Lacking cells weighed at once against a block.
+STEP = 64
 
 
 def nearest_valid(cells: DataFrame, band: str, out: str = "near", distance: str = "distance") -> DataFrame:
@@ -40,18 +46,39 @@ def nearest_fill(cells: DataFrame, band: str, out: str = "filled") -> DataFrame:
     return nearest_valid(cells, band, "_near", "_d").withColumn(out, F.coalesce(F.col(band), F.col("_near"), F.lit(0.0))).drop("_near", "_d")
 
 
-def inverse_distance(cells: DataFrame, band: str, radius: int = 8, out: str = "idw") -> DataFrame:
+@F.pandas_udf(T.StructType([T.StructField(k, T.ArrayType(T.DoubleType())) for k in ("w", "s")]))
+def _weigh(lr: pd.Series, lc: pd.Series, hr: pd.Series, hc: pd.Series, hv: pd.Series, radius: pd.Series) -> pd.DataFrame:
+    """For each lacking cell of a block the sum of 1 / squared distance over the valid cells of another within the radius, and that of the values so weighted."""
+    w, s = [], []
+    for a, b, r, c, v, most in zip(lr, lc, hr, hc, hv, radius, strict=True):
+        ws, ss = np.zeros(len(a)), np.zeros(len(a))
+        for i in range(0, len(a), STEP):
+            d2 = (a[i : i + STEP, None] - r[None]) ** 2 + (b[i : i + STEP, None] - c[None]) ** 2
+            k = np.where(d2 <= most * most, 1.0 / d2, 0.0)
+            ws[i : i + STEP], ss[i : i + STEP] = k.sum(1), (k * v[None]).sum(1)
+        w.append(ws)
+        s.append(ss)
+    return pd.DataFrame({"w": w, "s": s})
+
+
+def inverse_distance(cells: DataFrame, band: str, radius: int = 64, smoothing: int = 0, out: str = "idw") -> DataFrame:
     """Missing cells from all valid ones within the radius, weighted by 1 / squared distance; 0 where there is none.
 
-    Each raster row with valid cells goes, as one array, to the rows within the radius that miss some; the
-    partial sums of a cell meet in an aggregation.
+    Then so many smoothing passes: what was filled becomes the mean of the 3 x 3 cells that have a value. The
+    cells of a tile go in square blocks no smaller than the radius; a block that misses some meets its own valid
+    cells and those of the eight blocks around it, and the partial sums of a cell meet in an aggregation.
     """
-    have = cells.where(F.col(band).isNotNull()).groupBy("tile", "row").agg(F.collect_list(F.struct("col", F.col(band).alias("v"))).alias("have"))
-    lack = cells.where(F.col(band).isNull()).groupBy("tile", "row").agg(F.collect_list("col").alias("lack"))
-    lack = lack.withColumn("dr", F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).withColumn("other", F.col("row") + F.col("dr"))
-    met = lack.join(have.select("tile", F.col("row").alias("other"), "have"), ["tile", "other"])
-    weight = lambda c, x: F.lit(1.0) / ((c - x["col"]) * (c - x["col"]) + F.col("dr") * F.col("dr"))
-    near = lambda c: F.filter("have", lambda x: (c - x["col"]) * (c - x["col"]) + F.col("dr") * F.col("dr") <= radius * radius)
-    sums = F.transform("lack", lambda c: F.struct(c.alias("col"), F.aggregate(near(c), F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("s")), lambda a, x: F.struct((a["w"] + weight(c, x)).alias("w"), (a["s"] + weight(c, x) * x["v"]).alias("s"))).alias("p")))
-    per = met.select("tile", "row", F.explode(sums).alias("x")).groupBy("tile", "row", F.col("x.col").alias("col")).agg(F.sum("x.p.s").alias("_s"), F.sum("x.p.w").alias("_w"))
-    return cells.join(per, ["tile", "row", "col"], "left").withColumn(out, F.coalesce(F.col(band), F.when(F.col("_w") > 0, F.col("_s") / F.col("_w")), F.lit(0.0))).drop("_s", "_w")
+    side = max(radius, 8)
+    block = [F.floor(F.col(k) / side).alias(f"_{k}") for k in ("row", "col")]
+    some = lambda c, **lists: cells.where(c).groupBy("tile", *block).agg(*[F.collect_list(k).alias(n) for n, k in lists.items()])
+    have = some(F.col(band).isNotNull(), hr="row", hc="col", hv=band)
+    lack = some(F.col(band).isNull(), lr="row", lc="col")
+    for k in ("_row", "_col"):
+        lack = lack.withColumn(k, F.explode(F.array(F.col(k) - 1, F.col(k), F.col(k) + 1)))
+    met = lack.join(have, ["tile", "_row", "_col"]).select("tile", "lr", "lc", _weigh("lr", "lc", "hr", "hc", "hv", F.lit(radius)).alias("p"))
+    per = met.select("tile", F.explode(F.arrays_zip("lr", "lc", F.col("p.w").alias("w"), F.col("p.s").alias("s"))).alias("x"))
+    per = per.groupBy("tile", F.col("x.lr").alias("row"), F.col("x.lc").alias("col")).agg(F.sum("x.s").alias("_s"), F.sum("x.w").alias("_w"))
+    c = cells.join(per, ["tile", "row", "col"], "left").withColumn(out, F.coalesce(F.col(band), F.when(F.col("_w") > 0, F.col("_s") / F.col("_w")))).drop("_s", "_w")
+    for _ in range(smoothing):
+        c = mean3(c, out, "_mean").withColumn(out, F.when(F.col(band).isNull() & F.col(out).isNotNull(), F.col("_mean")).otherwise(F.col(out))).drop("_mean")
+    return c.withColumn(out, F.coalesce(F.col(out), F.lit(0.0)))

@@ -97,6 +97,14 @@ def median3(cells: DataFrame, band: str = "z", out: str = "median") -> DataFrame
     return c.withColumn(out, F.get(F.array_sort(nine), F.lit(4))).drop("_row")
 
 
+def mean3(cells: DataFrame, band: str = "z", out: str = "mean") -> DataFrame:
+    """Mean of those of the 3 x 3 cells that aren't NULL."""
+    w = wr().rowsBetween(-1, 1)
+    c = cells.withColumn("_sum", F.sum(band).over(w)).withColumn("_n", F.count(band).over(w))
+    w = wc().rowsBetween(-1, 1)
+    return c.withColumn(out, F.sum("_sum").over(w) / F.nullif(F.sum("_n").over(w), F.lit(0))).drop("_sum", "_n")
+
+
 def _smooth_line(cells: DataFrame, keys: list[str], at: str, band: str, weights: list[float]) -> DataFrame:
     """A weighted sum along lines of cells; beyond an end the line is mirrored, end cell included."""
     r = len(weights) // 2
