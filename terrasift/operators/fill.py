@@ -22,7 +22,7 @@ def fill_small_holes(cells: DataFrame, band: str, max_area: int = 32, out: str =
     return c.withColumn(out, F.coalesce(F.col(band), F.when(F.col("_area") <= max_area, F.col("_near")))).drop("_hole", "_label", "_area", "_near", "_d")
 
 
-def interpolate(cells: DataFrame, band: str, method: str = "idw", sigma: float = 0.0, radius: int = 64, out: str = "filled", smoothing: int = 0) -> DataFrame:
+def interpolate(cells: DataFrame, band: str, method: str = "idw", sigma: float = 0.0, radius: float = 64, out: str = "filled", smoothing: int = 0) -> DataFrame:
     """Fills all missing cells and keeps the valid ones: nearest or idw (0 beyond the radius), and either with a Gaussian filter of what was filled."""
     kinds = {"nearest": lambda c: nearest_fill(c, band, out), "idw": lambda c: inverse_distance(c, band, radius, smoothing, out)}
     base, _, smooth = method.partition("_")
@@ -50,13 +50,13 @@ def tiny_holes(cells: DataFrame, band: str, domain: str, max_area: int = 8, leas
     return c.join(per, ["tile", "_label"], "left").withColumn(out, F.coalesce((F.col("_area") <= max_area) & (F.col("_most") >= least), F.lit(False))).drop("_ok", "_n", "_hole", "_label", "_area", "_most")
 
 
-def reference_dem(cells: DataFrame, dem: str = "dem", support_density: str = "all_density", ground_density: str = "ground_density", ratio: str = "ground_penetration_ratio", max_distance: float = 48.0, low_at: float = 0.55, method: str = "nearest", radius: int = 8, gap_area: int = 8, strength: float = 0.75) -> DataFrame:
+def reference_dem(cells: DataFrame, dem: str = "dem", support_density: str = "all_density", ground_density: str = "ground_density", ratio: str = "ground_penetration_ratio", max_distance: float = 48.0, low_at: float = 0.55, method: str = "idw", smoothing: int = 1, hole_distance: int = 12, gap_area: int = 8, strength: float = 0.75) -> DataFrame:
     """The repaired elevation of supported cells with how far to trust it.
 
     Adds reference, confidence, repair_weight, low_confidence, filled, tiny_hole. Confidence is 0.7 of a ramp over the
     ground density and 0.3 of one over the penetration. Cells of low confidence are no sources, and are blended
-    with the surface; what was filled or blended is drawn to its local median; tiny holes are
-    filled last.
+    with the surface, which is filled over max_distance; what was filled or blended is drawn to its local median; tiny
+    holes are filled last, over hole_distance. Inverse-distance fills have the smoothing passes.
     """
     z = F.col(dem)
     c = cells.withColumn("_observed", z.isNotNull()).withColumn("_support", (F.col(support_density) > 0) | z.isNotNull())
@@ -65,7 +65,7 @@ def reference_dem(cells: DataFrame, dem: str = "dem", support_density: str = "al
     c = c.withColumn("confidence", F.when(F.col("_support"), trust).otherwise(0.0))
     c = c.withColumn("low_confidence", F.col("_observed") & (F.col("confidence") < low_at)).withColumn("_source", F.when(~F.col("low_confidence"), z))
     c = nearest_valid(c, dem, "_n", "_distance").withColumn("filled", F.col("_support") & ~F.col("_observed") & F.coalesce(F.col("_distance") <= max_distance, F.lit(False))).drop("_n", "_distance")
-    c = interpolate(c, "_source", method, radius=radius, out="_surface")
+    c = interpolate(c, "_source", method, radius=max_distance, out="_surface", smoothing=smoothing)
     k = F.col("confidence")
     c = c.withColumn("_z", F.when(F.col("low_confidence"), k * z + (1 - k) * F.col("_surface")).when(F.col("filled"), F.col("_surface")).otherwise(z))
     c = c.withColumn("repair_weight", F.when(F.col("filled"), 1.0).when(F.col("low_confidence"), 1 - k).otherwise(0.0))
@@ -73,7 +73,7 @@ def reference_dem(cells: DataFrame, dem: str = "dem", support_density: str = "al
     w = clip(F.col("repair_weight") * strength, 0.0, 1.0)
     c = c.withColumn("_z", F.when(F.col("_z").isNotNull(), (1 - w) * F.col("_z") + w * F.col("_median"))).drop("_full", "_median")
     c = tiny_holes(dilate(c, "_support", 1, "_domain"), "_z", "_domain")
-    c = inverse_distance(c, "_z", min(radius, 12), out="_idw")
+    c = inverse_distance(c, "_z", hole_distance, smoothing, "_idw")
     return c.withColumn("reference", F.coalesce(F.col("_z"), F.when(F.col("tiny_hole"), F.col("_idw")))).drop("_observed", "_support", "_source", "_surface", "_z", "_domain", "_idw")
 
 

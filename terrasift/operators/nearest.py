@@ -61,7 +61,7 @@ def _weigh(lr: pd.Series, lc: pd.Series, hr: pd.Series, hc: pd.Series, hv: pd.Se
     return pd.DataFrame({"w": w, "s": s})
 
 
-def inverse_distance(cells: DataFrame, band: str, radius: int = 64, smoothing: int = 0, out: str = "idw") -> DataFrame:
+def inverse_distance(cells: DataFrame, band: str, radius: float = 64, smoothing: int = 0, out: str = "idw") -> DataFrame:
     """Missing cells from all valid ones within the radius, weighted by 1 / squared distance; 0 where there is none.
 
     Then so many smoothing passes: what was filled becomes the mean of the 3 x 3 cells that have a value. The

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terrasift.operators import fill, nearest
 
@@ -44,3 +45,16 @@ def test_wide_void_is_filled_to_its_middle(spark):
 def test_inverse_distance_by_brute_force(spark, radius, smoothing):
     z = void((41, 37), (20, 18), 14, step=3)
     assert np.allclose(grid_of(nearest.inverse_distance(frame(spark, z), "z", radius, smoothing), "idw", z.shape), brute(z, radius, smoothing))
+
+
+def test_reference_dem_takes_the_weighted_surface(spark):
+    z = void((31, 31), (15, 15), 11)
+    c = frame(spark, z).withColumnRenamed("z", "dem").withColumn("all_density", F.lit(6.0))
+    c = c.withColumn("ground_density", F.when(F.col("dem").isNotNull(), 6.0).otherwise(0.0)).withColumn("ground_penetration_ratio", F.col("ground_density") / 6)
+    done = fill.reference_dem(c).select("row", "col", "reference", "filled").toPandas()
+    got = done.pivot(index="row", columns="col", values="reference").to_numpy()
+    surface = brute(z, 48, 1)
+    near = np.pad(surface, 1, mode="edge")
+    median = np.median([near[i : i + 31, j : j + 31] for i in range(3) for j in range(3)], axis=0)
+    assert done["filled"].sum() == np.isnan(z).sum()
+    assert np.allclose(got, np.where(np.isnan(z), 0.25 * surface + 0.75 * median, z))
