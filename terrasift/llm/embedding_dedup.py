@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .cluster import block_pairs, connected_components, settled, whole_groups
 
 COSINE = 0.95
-#: Share of pairs at exactly the cosine that share a filter; blocks of the product code; rows in a block of a bucket.
-RECALL, BLOCKS, BLOCK_ROWS = 0.97, 2, 512
+#: Share of pairs at exactly the cosine that share a filter of one code; codes, each with a rotation of its own; blocks of a product code; rows in a block of a bucket.
+RECALL, CODES, BLOCKS, BLOCK_ROWS = 0.97, 2, 2, 512
 
 
 def _directions(rng: np.random.Generator, words: int, dim: int) -> np.ndarray:
@@ -83,13 +83,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _filter_rows(batches: Iterator[pa.RecordBatch], dim: int, code: CapCode) -> Iterator[pa.RecordBatch]:
+def _filter_rows(batches: Iterator[pa.RecordBatch], dim: int, codes: list[CapCode]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        step = max(1, min(128, (1 << 23) // code.words**2))
+        step = max(1, min(128, (1 << 23) // codes[0].words ** 2))
         for lo in range(0, batch.num_rows, step):
             part = batch.slice(lo, step)
-            row, key = code.decode(_unit(_matrix(part["v"], dim)))
-            pairs = np.unique(row << 31 | key)
+            unit = _unit(_matrix(part["v"], dim))
+            passed = [(row, (key * len(codes) + i) % (2**31 - 1)) for i, code in enumerate(codes) for row, key in [code.decode(unit)]]
+            pairs = np.unique(np.concatenate([row << 31 | key for row, key in passed]))
             bounds = np.searchsorted(pairs >> 31, np.arange(part.num_rows + 1)).astype(np.int32)
             filters = pa.array((pairs & (2**31 - 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([part["id"], part["copies"], part["v"], pa.ListArray.from_arrays(pa.array(bounds), filters)], ["id", "copies", "v", "filters"])
@@ -163,8 +164,10 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Equal vectors become one row with a number of copies. Each of these passes some tens of
     cap filters; rows that share one are compared by cosine in double precision, in pairs of
     blocks where a bucket is large, so no task holds more than two blocks of it. A task returns counts and
-    one connection per row, never its pairs. Links below the cosine are never made; of pairs at
-    exactly the cosine about `recall` are found, of closer ones more (README has measured figures).
+    one connection per row, never its pairs. Links below the cosine are never made. Of pairs at
+    exactly the cosine about `recall` share a filter of one code, of closer ones more; what one code
+    misses, as in a direction that it covers badly, the other with its own rotation finds but for
+    about (1 - recall)² (README has measured figures).
 
     Vectors that are null, empty, zero or hold null or non-finite parts link with nothing, nor do
     vectors of different length. Rows with a null id are left out; rows that repeat an id link as copies do.
@@ -176,9 +179,9 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     parts = []
     kind = groups.schema["v"].dataType.simpleString()
     for dim, n in sorted(tuple(r) for r in groups.groupBy(F.size("v")).count().collect()):  # one row per length of vector
-        code = CapCode(dim, n, cosine, recall)
+        codes = [CapCode(dim, n, cosine, recall, seed=11 + i) for i in range(CODES)]
         schema = f"id long, copies long, v {kind}, filters array<int>"
-        passed = settled(groups.where(F.size("v") == dim).mapInArrow(lambda b, d=dim, c=code: _filter_rows(b, d, c), schema))
+        passed = settled(groups.where(F.size("v") == dim).mapInArrow(lambda b, d=dim, c=codes: _filter_rows(b, d, c), schema))
         dealt = passed.select("*", F.explode("filters").alias("f"))
         # a bucket of one has no pairs; large ones are cut
         full = passed.select(F.explode("filters").alias("f")).groupBy("f").count().where("count > 1").select("f", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"))
