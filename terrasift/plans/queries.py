@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as fx
 from ..operators import components, fill, grid, metrics, nearest, normalize, quality, repair, stencil, tin, voids, windows
 from ..sources import tables
-from ..sources.views import embedding_patches, lineitem_points, synthetic_surface
+from ..sources.views import embedding_patches, lineitem_points
 from ..streaming import cells as stream
 
 QUERIES: dict = {}
@@ -171,9 +171,10 @@ def gaussian_filter(spark, sf_dir):
 
 @query
 def terrain_stack(spark, sf_dir):
-    """Slope, curvature, openness and boundary band of the analytic surface, in one plan."""
-    s = stencil.boundary_band(stencil.openness(stencil.curvature(stencil.slope(synthetic_surface(spark))), radii=(3, 7)), inner=2, outer=2)
-    return s.select(*KEY, _r("z"), _r("slope"), _r("curvature"), _r("openness_s1"), _r("openness_s2"), "mask", "boundary_band")
+    """Slope, curvature, openness and boundary band of the filled cells, masked where they were missing, in one plan."""
+    c = nearest.nearest_fill(_cells(spark, sf_dir), "dem", "z").withColumn("mask", F.col("dem").isNull()).select(*KEY, "z", "mask")
+    s = stencil.boundary_band(stencil.openness(stencil.curvature(stencil.slope(c)), radii=(3, 7, 15, 31)), inner=2, outer=2)
+    return s.select(*KEY, _r("z"), _r("slope"), _r("curvature"), *[_r(f"openness_s{i}") for i in range(1, 5)], "mask", "boundary_band")
 
 
 # distance, holes, filling
