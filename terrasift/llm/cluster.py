@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,15 +14,28 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where it is unset (tests on one machine), a local one is set."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a local one is set, but only on one machine; elsewhere that is an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Those names, each with as many underscores before it as keep it apart from the columns of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -69,6 +83,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index that each of n can reach by the pairs."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def block_pairs(df: DataFrame, blocks: str, salt: str) -> DataFrame:
     """Deals each group out to pairs of blocks, so that any two of its rows meet in exactly one
     pair that can decide about them.
@@ -113,18 +141,3 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], work: Calla
                 heavy = int(np.sum(table[weight].to_numpy())) if weight else 0
     if count:
         yield from work(pa.concat_tables(held))
-
-
-def running_total(df: DataFrame, order: str, value: str, name: str, parts: int = 64) -> DataFrame:
-    """Adds the sum of value over all rows before a row in the order of a unique column.
-
-    Rows are range partitioned; only one total per range meets in one task, and there are as
-    many ranges as parts, whatever the input.
-    """
-    ranged = settled(df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()))
-    from pyspark.sql import Window
-
-    sums = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
-    base = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    within = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn(name, within).join(F.broadcast(base), "_part").withColumn(name, F.col(name) + F.col("_base")).drop("_part", "_base")
