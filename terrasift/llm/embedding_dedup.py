@@ -1,4 +1,15 @@
-"""Embedding near-dedup by spherical-cap filters."""
+"""Embedding near-dedup by spherical-cap filters.
+
+1. Each distinct vector is decoded to all filters that it passes, by two product codes with rotations of their own.
+2. Filters are joined on ids and sketches: half of the turned parts of a vector, a byte each. A sketch never
+   makes two vectors seem farther apart than they are by more than a known error, so vectors of one filter
+   that can reach the wanted cosine are put into one candidate group.
+3. Vectors go once to their group (a large one to pairs of blocks), where all pairs are verified in double precision.
+
+A filter with many vectors is dealt to blocks. There, leaders stand for all within a radius of them; only the leaders
+of different blocks meet, with both radii added to the distance wanted, so near copies of one vector cost
+their number, not its square.
+"""
 
 from __future__ import annotations
 
@@ -10,11 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import block_pairs, connected_components, settled, whole_groups
+from .cluster import block_pairs, connected_components, roots, settled, whole_groups
 
 COSINE = 0.95
-#: Share of pairs at exactly the cosine that share a filter of one code; codes, each with a rotation of its own; blocks of a product code; rows in a block of a bucket.
-RECALL, CODES, BLOCKS, BLOCK_ROWS = 0.97, 2, 2, 512
+#: Share of pairs at exactly the cosine that share a filter of one code; codes, each with a rotation of its own; blocks of a product code.
+RECALL, CODES, BLOCKS = 0.93, 2, 2
+#: Rows of a filter, and of a candidate group, that one block takes.
+FILTER_ROWS, GROUP_ROWS = 4096, 4096
+#: Filters and groups that are cut into blocks have more than that share of all rows, so a list of them is bounded by its inverse.
+HOT_SHARE = 1 / 65536
+#: Leaders of a block stand for sketches within this distance of them.
+RADIUS = 0.1
+_STRIP = 512
 
 
 def _directions(rng: np.random.Generator, words: int, dim: int) -> np.ndarray:
@@ -83,6 +101,22 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _sketch(turned: np.ndarray) -> np.ndarray:
+    """The first half of each row as signed bytes after their unit, a 4-byte float."""
+    part = turned[:, : (turned.shape[1] + 1) // 2]
+    unit = (np.abs(part).max(axis=1) / 127 + 1e-12).astype("<f4")
+    values = np.rint(part / unit[:, None].astype(float)).clip(-127, 127).astype(np.int8)
+    return np.hstack([unit[:, None].view(np.uint8), values.view(np.uint8)])
+
+
+def _unsketch(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The sketches as a matrix, and by how much each row may be off in distance."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    unit = np.ascontiguousarray(raw[:, :4]).view("<f4").astype(np.float64)
+    x = raw[:, 4:].view(np.int8) * unit
+    return x, unit[:, 0] * (0.5 * math.sqrt(x.shape[1])) + 1e-9
+
+
 def _filter_rows(batches: Iterator[pa.RecordBatch], dim: int, codes: list[CapCode]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         step = max(1, min(128, (1 << 23) // codes[0].words ** 2))
@@ -93,107 +127,151 @@ def _filter_rows(batches: Iterator[pa.RecordBatch], dim: int, codes: list[CapCod
             pairs = np.unique(np.concatenate([row << 31 | key for row, key in passed]))
             bounds = np.searchsorted(pairs >> 31, np.arange(part.num_rows + 1)).astype(np.int32)
             filters = pa.array((pairs & (2**31 - 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([part["id"], part["copies"], part["v"], pa.ListArray.from_arrays(pa.array(bounds), filters)], ["id", "copies", "v", "filters"])
-
-
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index that each of n can reach by the pairs."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
-def _met_before(lists: list[np.ndarray], below: int) -> np.ndarray:
-    """Which pairs of rows share a filter smaller than that."""
-    smaller = [x[: np.searchsorted(x, below)] for x in lists]
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in smaller])
-    _, which, count = np.unique(np.concatenate(smaller), return_inverse=True, return_counts=True)
-    shared = count[which] > 1
-    row, which = row[shared], np.unique(which[shared], return_inverse=True)[1]
-    met = np.zeros((len(lists), len(lists)), np.float32)
-    for lo in range(0, int(which.max(initial=-1)) + 1, 2048):
-        part = (which >= lo) & (which < lo + 2048)
-        has = np.zeros((len(lists), 2048), np.float32)
-        has[row[part], which[part] - lo] = 1
-        met += has @ has.T
-    return met > 0
+            sketch = pa.array([r.tobytes() for r in _sketch(unit @ codes[0].rotation.T)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part["id"], sketch, pa.ListArray.from_arrays(pa.array(bounds), filters)], ["id", "q", "filters"])
 
 
-def _links(table: pa.Table, dim: int, cosine: float) -> Iterator[pa.RecordBatch]:
-    """For each bucket and pair of blocks: how many vectors each row links to, and a row it is connected with.
+def _groups(table: pa.Table, keys: list[str]) -> Iterator[tuple[int, int]]:
+    """The stretches of rows with equal keys."""
+    new = np.zeros(table.num_rows + 1, bool)
+    new[[0, -1]] = True
+    for k in keys:
+        c = table[k].to_numpy()
+        new[1:-1] |= c[1:] != c[:-1]
+    edges = np.flatnonzero(new)
+    yield from zip(edges[:-1], edges[1:], strict=True)
+
+
+def _leaders(x: np.ndarray, off: np.ndarray, radius: float) -> np.ndarray:
+    """Indices of rows so that each row is within the radius of one of them; of rows near a leader, none leads."""
+    found, left = [], np.arange(len(x))
+    while len(left):
+        i = left[0]
+        found.append(i)
+        d = np.sqrt(((x[left] - x[i]) ** 2).sum(1)) + off[left] + off[i]
+        left = left[(d > radius) & (left != i)]
+    return np.array(found)
 
-    A pair counts only in the smallest filter that both pass, so once in the whole table."""
+
+def _near(table: pa.Table, keys: list[str], reach: float, radius: float | None) -> Iterator[pa.RecordBatch]:
+    """(id, root, f, q): a connection of each row to the smallest index of those that it is near to in any filter of the table;
+    with a radius, also the leaders of the blocks of filters with several, which have their f and q."""
     table = table.combine_chunks()
-    key, lo, hi, own, ids, copies = (table[c].to_numpy() for c in ("f", "lo", "hi", "own", "id", "copies"))
-    x = _unit(_matrix(table["v"].combine_chunks(), dim))
-    lists = table["filters"].combine_chunks()
-    offsets, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy()
-    offsets = offsets - offsets[0]
-    edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), True])
+    ids, f = table["id"].to_numpy(), table["f"].to_numpy()
+    sketches = table["q"].combine_chunks() if isinstance(table["q"], pa.ChunkedArray) else table["q"]
+    x, off = _unsketch(sketches)
+    blocks = table["blocks"].to_numpy()
+    known, at = np.unique(ids, return_inverse=True)
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for s, e in zip(edges[:-1], edges[1:], strict=True):
-        if e - s < 2:
+    lead: list[np.ndarray] = []
+    for s, e in _groups(table, keys):
+        if e - s < 2 and blocks[s] < 2:
             continue
-        close = np.triu(x[s:e] @ x[s:e].T >= cosine, 1)
-        if lo[s] != hi[s]:
-            close &= own[s:e, None] != own[None, s:e]
-        rows = np.flatnonzero(close.any(axis=0) | close.any(axis=1))
-        if len(rows):
-            close = close[np.ix_(rows, rows)] & ~_met_before([flat[offsets[s + i] : offsets[s + i + 1]] for i in rows], key[s])
+        y, o = x[s:e], off[s:e]
+        norm = (y * y).sum(1)
+        for lo in range(0, e - s, _STRIP):
+            z = slice(lo, lo + _STRIP)
+            d2 = norm[z, None] + norm[None, lo:] - 2 * (y[z] @ y[lo:].T)
+            a, b = np.nonzero(d2 <= (reach + o[z, None] + o[None, lo:]) ** 2)
+            up = a < b
+            found.append((at[a[up] + s + lo], at[b[up] + s + lo]))
+        if radius is not None and blocks[s] > 1:
+            lead.append(_leaders(y, o, radius) + s)
+    if found:
+        root = roots(len(known), *(np.concatenate(p) for p in zip(*found, strict=True)))
+        i = np.flatnonzero(root != np.arange(len(known)))
+        yield pa.RecordBatch.from_arrays([pa.array(known[i]), pa.array(known[root[i]]), pa.nulls(len(i), pa.int32()), pa.nulls(len(i), pa.binary())], ["id", "root", "f", "q"])
+    if lead:
+        i = np.concatenate(lead)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[i]), pa.array(f[i]), sketches.take(pa.array(i))], ["id", "root", "f", "q"])
+
+
+def _links(table: pa.Table, dim: int, cosine: float) -> Iterator[pa.RecordBatch]:
+    """(id, n, root): for each group and pair of blocks, how many vectors each row links to and the smallest index that it is connected with."""
+    table = table.combine_chunks()
+    ids, copies, own = (table[c].to_numpy() for c in ("id", "copies", "own"))
+    x = _unit(_matrix(table["v"].combine_chunks(), dim))
+    n, found = np.zeros(len(ids)), []
+    for s, e in _groups(table, ["cluster", "lo", "hi"]):
+        one = two = np.arange(s, e)
+        crossed = table["lo"][s] != table["hi"][s]
+        if crossed:
+            one, two = one[own[s:e] == own[s]], two[own[s:e] != own[s]]
+        for lo in range(0, len(one), _STRIP):
+            strip = one[lo : lo + _STRIP]
+            close = x[strip] @ x[two].T >= cosine
+            if not crossed:
+                close &= strip[:, None] != two[None]
+            n[strip] += close @ copies[two].astype(np.float64)
             a, b = np.nonzero(close)
-            found.append((rows[a] + s, rows[b] + s))
-    if not found:
-        return
-    a, b = (np.concatenate(p) for p in zip(*found, strict=True))
-    # rows of different buckets don't pair, so all buckets are connected at once
-    n = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
+            if crossed:
+                n[two] += copies[strip].astype(np.float64) @ close
+            else:
+                up = a + lo < b
+                a, b = a[up], b[up]
+            found.append((strip[a], two[b]))
     touched = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(ids[touched]), pa.array(n[touched].astype(np.int64)), pa.array(ids[_roots(len(ids), a, b)[touched]])], ["id", "n", "root"])
+    if len(touched):
+        root = roots(len(ids), *(np.concatenate(p) for p in zip(*found, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[touched]), pa.array(n[touched].astype(np.int64)), pa.array(ids[root[touched]])], ["id", "n", "root"])
+
+
+def _in_blocks(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """Adds blocks: into how many a key's rows are cut, 1 for most. Those that are cut have over HOT_SHARE of all rows, so
+    there are fewer than 1 / HOT_SHARE of them, which bounds the broadcast."""
+    sizes = df.groupBy(key).count()
+    least = max(rows, int(df.count() * HOT_SHARE))
+    hot = sizes.where(F.col("count") > least).select(key, F.ceil(F.col("count") / rows).cast("int").alias("blocks"))
+    return df.join(F.broadcast(hot), key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+
+
+def _candidates(passed: DataFrame, cosine: float) -> DataFrame:
+    """(node, component): groups of ids that hold all pairs which share a filter and have at least the cosine."""
+    reach = math.sqrt(max(2 - 2 * cosine, 0.0)) + 1e-9
+    schema = "id long, root long, f int, q binary"
+    dealt = _in_blocks(passed.select("id", "q", F.explode("filters").alias("f")), "f", FILTER_ROWS)
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")).repartition("f", "own").sortWithinPartitions("f", "own")
+    near = settled(dealt.mapInArrow(lambda b: whole_groups(b, ["f", "own"], lambda t: _near(t, ["f", "own"], reach, RADIUS), 8192), schema))
+    edges = near.where("f is null").select("id", "root")
+    leaders = _in_blocks(near.where("f is not null").select("id", "q", "f"), "f", FILTER_ROWS)
+    dealt = block_pairs(leaders, "blocks", "id").withColumn("blocks", F.lit(1)).repartition("f", "lo", "hi").sortWithinPartitions("f", "lo", "hi")
+    keys, wide = ["f", "lo", "hi"], reach + 2 * RADIUS
+    edges = edges.unionByName(dealt.mapInArrow(lambda b: whole_groups(b, keys, lambda t: _near(t, keys, wide, None), 8192), schema).select("id", "root"))
+    return connected_components(edges.select(F.col("id").alias("a"), F.col("root").alias("b")))
 
 
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept; one row per input row with an id.
 
-    Equal vectors become one row with a number of copies. Each of these passes some tens of
-    cap filters; rows that share one are compared by cosine in double precision, in pairs of
-    blocks where a bucket is large, so no task holds more than two blocks of it. A task returns counts and
-    one connection per row, never its pairs. Links below the cosine are never made. Of pairs at
-    exactly the cosine about `recall` share a filter of one code, of closer ones more; what one code
-    misses, as in a direction that it covers badly, the other with its own rotation finds but for
-    about (1 - recall)² (README has measured figures).
+    Equal vectors become one row with a number of copies. Of pairs at exactly the cosine about `recall` share
+    a filter of one code, of closer ones more; what one code misses, as in a direction that it covers badly, the other with
+    its own rotation finds but for about (1 - recall)². All pairs of a candidate group are compared, so
+    many of the rest are found there. Links below the cosine are never made. A task returns counts and one
+    connection per row, never its pairs.
 
     Vectors that are null, empty, zero or hold null or non-finite parts link with nothing, nor do
     vectors of different length. Rows with a null id are left out; rows that repeat an id link as copies do.
+    Other columns aren't looked at.
     """
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    good = rows.where(F.col("v").isNotNull() & (F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0))
+    fit = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
+    good = rows.where(fit)
     groups = settled(good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
-    parts = []
-    kind = groups.schema["v"].dataType.simpleString()
+    counts = groups.select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("root"))
     for dim, n in sorted(tuple(r) for r in groups.groupBy(F.size("v")).count().collect()):  # one row per length of vector
+        own = groups.where(F.size("v") == dim)
         codes = [CapCode(dim, n, cosine, recall, seed=11 + i) for i in range(CODES)]
-        schema = f"id long, copies long, v {kind}, filters array<int>"
-        passed = settled(groups.where(F.size("v") == dim).mapInArrow(lambda b, d=dim, c=codes: _filter_rows(b, d, c), schema))
-        dealt = passed.select("*", F.explode("filters").alias("f"))
-        # a bucket of one has no pairs; large ones are cut
-        full = passed.select(F.explode("filters").alias("f")).groupBy("f").count().where("count > 1").select("f", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"))
-        blocks = block_pairs(dealt.join(full, "f"), "blocks", "id").drop("blocks").repartition("f", "lo", "hi").sortWithinPartitions("f", "lo", "hi")
-        parts.append(blocks.mapInArrow(lambda b, d=dim: whole_groups(b, ["f", "lo", "hi"], lambda t: _links(t, d, cosine), 2048), "id long, n long, root long"))
-    counts = groups.select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("root"))
-    for p in parts:
-        counts = counts.unionByName(p)
+        passed = settled(own.select("id", "v").mapInArrow(lambda b, d=dim, c=codes: _filter_rows(b, d, c), "id long, q binary, filters array<int>"))
+        candidates = settled(_candidates(passed, cosine).select(F.col("node").alias("id"), F.col("component").alias("cluster")))
+        dealt = block_pairs(_in_blocks(candidates, "cluster", GROUP_ROWS), "blocks", "id").drop("blocks")
+        dealt = dealt.join(own, "id").repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
+        links = dealt.mapInArrow(lambda b, d=dim: whole_groups(b, ["cluster", "lo", "hi"], lambda t: _links(t, d, cosine), 4096), "id long, n long, root long")
+        counts = counts.unionByName(links)
     counts = settled(counts)
     component = connected_components(counts.select(F.col("id").alias("a"), F.col("root").alias("b")))
     summed = counts.groupBy("id").agg(F.sum("n").alias("n"))
     per = groups.join(summed, "id").join(component, F.col("id") == F.col("node"), "left").select("v", (F.col("n") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     linked = good.join(per, "v").select("vec_id", "n_links", "component_id")
-    rest = rows.where(~(F.col("v").isNotNull() & (F.size("v") > 0) & ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False)))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    rest = rows.where(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -1,6 +1,8 @@
 """Pairs at exactly the cosine share a filter, also in a direction that one code covers badly."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from terrasift.llm import embedding_dedup
@@ -20,3 +22,43 @@ def test_pairs_at_the_cosine_are_linked(spark):
     got = embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     # of even pairs one code finds about 97 in 100
     assert got.where(F.col("n_links") > 0).count() >= 0.99 * len(rows)
+
+
+@pytest.mark.parametrize("rows", [20_000, 1_000_000])
+def test_codes_of_large_tables(rows):
+    """Of pairs at the cosine, each code has a filter in common for about its recall, both codes for nearly all."""
+    x, y = pairs_at(np.random.default_rng(4), 400, 0.9501)
+    met = []
+    for seed in (11, 12):
+        code = embedding_dedup.CapCode(64, rows, seed=seed)
+        (r, f), (s, g) = code.decode(x), code.decode(y)
+        common = np.intersect1d(r * (code.words**2 + 1) + f, s * (code.words**2 + 1) + g)
+        met.append(np.isin(np.arange(len(x)), common // (code.words**2 + 1)))
+    assert min(m.mean() for m in met) > embedding_dedup.RECALL - 0.05
+    assert (met[0] | met[1]).mean() >= 0.97
+
+
+def test_sketches_never_part_near_vectors():
+    x, y = pairs_at(np.random.default_rng(5), 500, 0.95)
+    turn = np.linalg.qr(np.random.default_rng(6).standard_normal((64, 64)))[0]
+    sketches = [embedding_dedup._unsketch(pa.array([r.tobytes() for r in embedding_dedup._sketch(v @ turn)], pa.binary())) for v in (x, y)]
+    (a, off_a), (b, off_b) = sketches
+    assert (np.linalg.norm(a - b, axis=1) <= np.sqrt(2 - 2 * 0.95) + off_a + off_b + 1e-9).all()
+
+
+def test_hot_cluster_in_blocks(spark, monkeypatch):
+    """A third of all vectors near one another, dealt to blocks in every filter and in their group; all counts exact."""
+    monkeypatch.setattr(embedding_dedup, "FILTER_ROWS", 40)
+    monkeypatch.setattr(embedding_dedup, "GROUP_ROWS", 50)
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(64)
+    x = np.vstack([centre + 0.12 * rng.standard_normal((300, 64)), rng.standard_normal((600, 64))])
+    x = x[rng.permutation(len(x))]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.95
+    np.fill_diagonal(close, False)
+    got = embedding_dedup.embedding_dedup(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    by = {r.vec_id: r for r in got.collect()}
+    assert [by[i].n_links for i in range(len(x))] == close.sum(1).tolist() and close.sum() > 50_000
+    hot = np.flatnonzero(close.any(1))
+    assert {by[i].component_id for i in hot.tolist()} == {int(hot[0])}

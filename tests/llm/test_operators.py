@@ -289,7 +289,8 @@ def vectors(seed=0):
 
 @pytest.mark.parametrize("block", [512, 20])
 def test_embedding_dedup(spark, monkeypatch, block):
-    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", block)
+    monkeypatch.setattr(embedding_dedup, "FILTER_ROWS", block)
+    monkeypatch.setattr(embedding_dedup, "GROUP_ROWS", block)
     data = vectors()
     schema = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("v", T.IntegerType())])
     got = {r.vec_id: r for r in embedding_dedup.embedding_dedup(spark.createDataFrame([(i, v, 0) for i, v in [*data, (None, [1.0] * 64)]], schema)).collect()}
