@@ -1,7 +1,8 @@
 """Logistic regression on hashed words and byte shares, fitted on a bounded sample of labelled rows.
 
-The sample's sparse features come to the driver, at most SAMPLE_ROWS rows; the fitted weights are
-a few MB, whatever the input, and go to the tasks that score all rows.
+The sample's sparse features come to the driver, of at most SAMPLE_ROWS rows with at most SAMPLE_BYTES of text
+(a word takes no less text than its feature takes memory, or nearly); the fitted weights are a few MB, whatever the input, and go to
+the tasks that score all rows.
 """
 
 from __future__ import annotations
@@ -10,13 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import slices, utf8, words
 
-#: The most labelled rows that models are fitted on, and the most distinct words taken of each of them.
-SAMPLE_ROWS = 10_000
+#: The most labelled rows that models are fitted on, and the most text that these have together.
+SAMPLE_ROWS, SAMPLE_BYTES = 10_000, 64 << 20
+#: Values of the hash of a word.
 N_WORDS = 1 << 18
 #: Standard deviations from the class shares at which a word has a weight.
 LEAST_EVIDENCE = 4.0
@@ -52,24 +54,39 @@ class Sample:
         return len(self.offsets) - 1
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_cols: list[str], bound: int = SAMPLE_ROWS, folds: int = 3) -> Sample:
-    """At most bound rows with all labels 0 or 1, the first in the order of a hash of the id; the same in each run."""
-    known = labels.where(F.col(id_col).isNotNull())
-    for c in label_cols:
-        known = known.where(F.col(c).isin(0, 1))
-    known = known.groupBy(F.col(id_col).alias("_label_id")).agg(*[F.max(c).cast("int").alias(f"_y{i}") for i, c in enumerate(label_cols)])
-    known = known.orderBy(F.xxhash64("_label_id"), "_label_id").limit(bound)
-    # at most bound ids, so a broadcast of proven size
-    rows = docs.join(F.broadcast(known), F.col(id_col) == F.col("_label_id")).select("_label_id", F.col(text_col).alias("_text"), *[f"_y{i}" for i in range(len(label_cols))])
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, off in slices(*utf8(batch["_text"])):
-                at, index, shapes = features(data, off)
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part["_label_id"], pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(index.astype(np.int32))), pa.ListArray.from_arrays(pa.array(np.arange(0, shapes.size + 1, N_SHAPES, dtype=np.int32)), pa.array(shapes.ravel())), *(part[f"_y{i}"] for i in range(len(label_cols)))], ["id", "index", "shapes", *(f"y{i}" for i in range(len(label_cols)))])
-
-    got = rows.mapInArrow(extract, f"id {docs.schema[id_col].dataType.simpleString()}, index array<int>, shapes array<double>" + "".join(f", y{i} int" for i in range(len(label_cols)))).toArrow().sort_by("id").combine_chunks()
+def _extract(batches: Iterator[pa.RecordBatch], n_labels: int) -> Iterator[pa.RecordBatch]:
+    y = [f"y{i}" for i in range(n_labels)]
+    for batch in batches:
+        for lo, hi, data, off in slices(*utf8(batch["text"])):
+            at, index, shapes = features(data, off)
+            part = batch.slice(lo, hi - lo)
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(index.astype(np.int32)))
+            dense = pa.ListArray.from_arrays(pa.array(np.arange(0, shapes.size + 1, N_SHAPES, dtype=np.int32)), pa.array(shapes.ravel()))
+            yield pa.RecordBatch.from_arrays([part["id"], lists, dense, *(part[c] for c in y)], ["id", "index", "shapes", *y])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_cols: list[str], bound: int = SAMPLE_ROWS, folds: int = 3, most_bytes: int = SAMPLE_BYTES) -> Sample:
+    """At most bound rows of docs with all labels 0 or 1 and at most most_bytes of text together, the first in the order of a
+    hash of the id; the same in each run.
+
+    Labels of ids that docs lack don't count. A label that repeats counts with its larger value. An id that
+    repeats in docs counts once, with one of its texts, always the same. Other columns of either table aren't looked at.
+    """
+    y = [f"y{i}" for i in range(len(label_cols))]
+    known = labels.select(F.col(id_col).alias("id"), *[F.col(c).cast("int").alias(n) for c, n in zip(label_cols, y, strict=True)]).where("id is not null")
+    for n in y:
+        known = known.where(F.col(n).isin(0, 1))
+    known = known.groupBy("id").agg(*[F.max(n).alias(n) for n in y])
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
+    sizes = texts.groupBy("id").agg(F.max(F.octet_length("text")).alias("size"))
+    order = F.xxhash64("id"), F.col("id")
+    # at most bound ids from here on: one task for a running sum, and a broadcast of proven size
+    known = known.join(sizes, "id").orderBy(*order).limit(bound)
+    known = known.withColumn("total", F.sum("size").over(Window.orderBy(*order))).where(F.col("total") <= most_bytes).drop("size", "total")
+    rows = texts.join(F.broadcast(known), "id").groupBy("id", *y).agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("least")).select("id", "least.text", *y)
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"id {kind}, index array<int>, shapes array<double>" + "".join(f", {n} int" for n in y)
+    got = rows.mapInArrow(lambda b: _extract(b, len(y)), schema).toArrow().sort_by("id").combine_chunks()
     if not got.num_rows:
         return Sample(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros((0, N_SHAPES)), {c: np.zeros(0) for c in label_cols}, np.zeros(0, np.int64))
     lists = got["index"].combine_chunks()

@@ -1,6 +1,6 @@
 """Vectorised text helpers that run inside Arrow tasks.
 
-All work is on the UTF-8 bytes of whole Arrow batches, cut into slices of a few MB so
+All work is on the UTF-8 bytes of whole Arrow batches, cut into slices of about a MB so
 that a task's memory does not follow the size of its partition.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: The word separators of every operator here: space and U+0009 to U+000D.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

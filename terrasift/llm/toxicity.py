@@ -50,21 +50,22 @@ class ToxicityChain:
                 dense = np.column_stack([dense, logit(held_out)])
         return self
 
-    def predict(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Probabilities, a row per text and a column per category."""
+    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities, a row per text and a column per category, and which texts have words."""
         at, index, dense = features(data, offsets)
         out = []
         for model in self.models:
             out.append(model(at, index, dense))
             dense = np.column_stack([dense, logit(out[-1])])
-        return np.column_stack(out)
+        return np.column_stack(out), np.diff(at) > 0
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], decide_by: str, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with p_<category> columns and toxic (p of decide_by at least the threshold).
 
     Rows whose text is null or has no words but separators are never toxic. Columns of docs named like
-    the new ones are replaced. Rows with a null id are scored like others, but can't be in the sample.
+    the new ones are replaced. Rows with a null id are scored like others, but can't be in the sample. Every row is scored by its own
+    whole text, however long: rows that repeat an id or text come back as often. A text right at the threshold is toxic.
     """
     chain = ToxicityChain(categories).fit(docs, labels, id_col, text_col)
     names = [f"p_{c}" for c in categories]
@@ -75,8 +76,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], decide_b
         for batch in batches:
             for lo, hi, data, off in slices(*utf8(batch[text_col])):
                 part = batch.slice(lo, hi - lo)
-                p = chain.predict(data, off)
-                there = np.diff(features(data, off)[0]) > 0
+                p, there = chain.predict(data, off)
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c) for c in p.T), pa.array(there & (p[:, which] >= threshold))], [*part.schema.names, *names, "toxic"])
 
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names], T.StructField("toxic", T.BooleanType())])
