@@ -102,7 +102,8 @@ def long_pieces(long: DataFrame, pattern: str, chunk: int = CHUNK, overlap: int
 def bpe_digest(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row with an id; null text counts as empty.
 
-    Texts of one chunk are encoded where they are. Of longer ones, equal rows are encoded once.
+    Texts of one chunk are encoded where they are. Longer ones, of any length, go in chunks to several tasks; of these, equal
+    rows are encoded once and returned as often as they are there. Empty tables give none. Other columns aren't looked at.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -116,9 +117,3 @@ def bpe_digest(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
     whole = whole.select("doc_id", "h", joined("ids").alias("ids"), joined("decoded").alias("decoded"))
     whole = whole.join(copies, ["doc_id", "h"]).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return short.unionByName(whole.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")))
-
-
-def encode_texts(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids binary, decoded binary): the ids as little-endian unsigned 32-bit integers and the bytes they decode to."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(lambda b: _encode(b, rank_file, pattern, ["doc_id"]), "doc_id long, ids binary, decoded binary")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cluster import unused
+
 WINDOW = 3
 
 
@@ -30,15 +32,17 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with the text of each row cut to the lines that stay, and n_removed lines.
 
-    All other columns are as they were. Rows with a null id or null text are unchanged; texts of
-    fewer lines than a window have none. Of rows that repeat one id and text, none counts as the
-    later one.
+    All other columns are as they were; one named n_removed is replaced. Rows with a null id or null text are unchanged;
+    texts of fewer lines than a window have none, and long ones count whole. Of rows that repeat one id and text, none counts
+    as the later one; of rows that repeat an id with different texts, the one with the smaller text hash comes first.
     """
-    gone = repeated_lines(docs, id_col, text_col, window).select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key"), F.col("gone").alias("_gone"))
-    text = F.col(text_col)
-    lines = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    cut = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
-    joined = docs.join(gone, (F.col(id_col) == F.col("_gone_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_gone_key")), "left").withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines))
-    out = [F.when(F.col("_gone").isNull(), text).otherwise(cut).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*out, F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    docs = docs.drop("n_removed")
+    gone_id, gone_key, gone, lines = unused(docs, "gone_id", "gone_key", "gone", "lines")
+    found = repeated_lines(docs, id_col, text_col, window).select(F.col("doc_id").alias(gone_id), F.col("key").alias(gone_key), F.col("gone").alias(gone))
+    text = F.col(f"`{text_col}`")
+    same = (F.col(f"`{id_col}`") == F.col(gone_id)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(gone_key))
+    joined = docs.join(found, same, "left").withColumn(lines, F.when(F.col(gone).isNotNull(), F.split(text, "\n")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    cut = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    out = [F.when(F.col(gone).isNull(), text).otherwise(cut).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*out, F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))

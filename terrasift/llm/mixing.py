@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import settled
+from .cluster import settled, unused
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -103,13 +103,22 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix in whole documents, with the columns of docs: each as often as the words taken of it
-    make copies, rounded. Only the one document of a source at which its last round stops is
-    taken in part, so each source's words are within half a document of its target.
+    """The mix in whole documents, with the columns of docs, in the order of the schedule: each as often as the words
+    taken of it make copies, rounded, and its copies at its first slot, its last and evenly between. Only the one
+    document of a source at which its last round stops is taken in part, so each source's words are within half
+    a document of its target; a source that is one document may go wholly or be taken whole.
 
-    Documents without words stay once: they cost nothing. Rows with a null id or of which
-    nothing is taken go. Repeated rows of one id are each taken alike.
+    Documents without words stay once, at the end: they cost nothing. Rows with a null id or of which
+    nothing is taken go. Repeated rows of one id are each taken alike. Columns of docs may have any names.
     """
-    digest = mixture(docs, id_col, **options)[0].groupBy("doc_id").agg(F.sum("taken").alias("_t"), F.sum("size").alias("_s"))
-    copies = digest.select(F.col("doc_id").alias("_mix_id"), F.when(F.col("_s") == 0, 1).otherwise(F.floor(F.col("_t") / F.greatest(F.col("_s"), F.lit(1)) + 0.5)).cast("int").alias("_copies")).where("_copies > 0")
-    return docs.join(copies, F.col(id_col) == F.col("_mix_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    mix_id, copies, copy, slot = unused(docs, "mix_id", "copies", "copy", "slot")
+    digest, pieces = mixture(docs, id_col, **options)
+    digest = digest.groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    slots = pieces.groupBy("doc_id").agg(F.min("slot").alias("first"), F.max("slot").alias("last"))
+    whole = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5)).cast("int")
+    plan = digest.select("doc_id", whole.alias("copies")).where("copies > 0").join(slots, "doc_id", "left")
+    plan = plan.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    at = F.col("first") + F.floor((F.col("last") - F.col("first")) * F.col("copy") / F.greatest(F.col("copies") - 1, F.lit(1)))
+    plan = plan.select(F.col("doc_id").alias(mix_id), F.col("copy").alias(copy), at.alias(slot))
+    mixed = docs.join(plan, F.col(f"`{id_col}`") == F.col(mix_id))
+    return mixed.orderBy(F.col(slot).asc_nulls_last(), mix_id, copy).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -54,7 +54,8 @@ def quality(docs: DataFrame, labels: DataFrame, host: F.Column, path: F.Column,
     log-odds by which the path departs from the global mean to those of the document. Sites are
     summed over all documents; a null host or path is a site of its own. Texts that are null or
     empty get their score from the model's intercept and their site; with labels of one class only,
-    or none (0.5), all documents score alike.
+    or none (0.5), all documents score alike. Long texts count whole. Rows that repeat an id are scored and counted each; a score
+    right at keep_at keeps. Other columns aren't looked at. The strengths lie between LEAST_STRENGTH and MOST_STRENGTH.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(host.cast("string"), F.lit("\0")).alias("host"), F.coalesce(path.cast("string"), F.lit("\0")).alias("path"))
     sample = labelled_sample(rows, labels.select(F.col(id_col).alias("doc_id"), label_col), "doc_id", "text", [label_col], bound)

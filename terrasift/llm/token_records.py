@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from .pieces import PieceEncoder, joined
 
+#: Bytes that a reader fetches at once of records that follow one another.
+RANGE_BYTES = 4 << 20
 _HEAD, _CRC = struct.Struct("<QI"), struct.Struct("<I")
 _WIDTHS = {2: "<u2", 4: "<u4"}
 _encoders: dict[tuple[str, int], tuple[PieceEncoder, int]] = {}
@@ -81,7 +83,8 @@ def write_token_records(docs: DataFrame, out: str, tokenizer_file: str, end_id:
 
     Each task writes one file under a name of its own and only then reports its records, so a task
     that is lost or repeated leaves at most a file to which no index row points. Null text counts
-    as empty, rows with a null id are left out, and empty input makes an empty index.
+    as empty, rows with a null id are left out, and empty input makes an empty index. A record holds a whole text, however
+    long; rows that repeat an id have a record each, next to each other. Other columns aren't written.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
@@ -125,11 +128,20 @@ def _records(batches: Iterator[pa.RecordBatch], out: str, digest: bool) -> Itera
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
             found = []
-            for file, offset, n in zip(part["file"].to_pylist(), part["offset"].to_pylist(), part["n_bytes"].to_pylist(), strict=True):
+            files, offset, size = part["file"].to_pylist(), part["offset"].to_numpy(), part["n_bytes"].to_numpy()
+            ends = offset + size
+            first = last = 0  # the records first to last - 1 are in data
+            for i, file in enumerate(files):
                 if file != name:
                     fs, path = _open(f"{out}/{file}")
                     name, source = file, fs.open_input_file(path)
-                payload = unframe(source.read_at(n, offset))
+                if i >= last:
+                    first, last = i, i + 1
+                    while last < len(files) and files[last] == file and offset[last] == ends[last - 1] and ends[last] - offset[first] <= RANGE_BYTES:
+                        last += 1
+                    data = source.read_at(int(ends[last - 1] - offset[first]), int(offset[first]))
+                at = int(offset[i] - offset[first])
+                payload = unframe(data[at : at + int(size[i])])
                 found.append(np.frombuffer(payload, "<u2" if file.endswith("-u16.rec") else "<u4").astype("<u4"))
             same = [part["file"], part["part"], part["offset"], part["doc_id"]]
             names = ["file", "part", "offset", "doc_id"]
