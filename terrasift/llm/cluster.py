@@ -47,6 +47,20 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def written(spark: SparkSession, path: str) -> list[str]:
+    """The names of the tables right below path whose writing is complete."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(n for n in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """The rows, written as a table below the shared folder and read from there."""
+    df.write.parquet(path, compression="zstd")
+    return df.sparkSession.read.parquet(path)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the shared folder, without their lineage."""
     shared_dir(df.sparkSession)

@@ -1,6 +1,7 @@
 """The operators against brute force, on small tables with nulls, ties, repeats and odd texts."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -132,7 +133,7 @@ def test_suffix_dedup_long_rows_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 97)
     data = np.frombuffer((corpus(4)[3][1] * 3).encode(), np.uint8)
     whole = list(suffix_dedup._entries(_text_batch([data.tobytes().decode()]), 60, 20))
-    flat = lambda bs: sorted((g, s + i) for b in bs for g, s, n in zip(b["g"].to_pylist(), b["start"].to_pylist(), b["n"].to_pylist(), strict=True) for i in range(n))
+    flat = lambda bs: sorted((g, s + i) for b in bs for g, s, n in zip(b["suffix"].to_pylist(), b["start"].to_pylist(), b["n"].to_pylist(), strict=True) for i in range(n))
     monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 1 << 20)
     assert flat(whole) == flat(suffix_dedup._entries(_text_batch([data.tobytes().decode()]), 60, 20))
 
@@ -140,7 +141,40 @@ def test_suffix_dedup_long_rows_in_pieces(spark, monkeypatch):
 def _text_batch(texts):
     import pyarrow as pa
 
-    return [pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "key", "text"])]
+    return [pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int32()), pa.array(texts)], ["doc_id", "key", "text"])]
+
+
+def test_suffix_index_is_kept_and_grows(spark):
+    """Batches added in several calls, the index opened again between them; arrays in the order of the suffixes."""
+    rows = corpus(11, 70)
+    docs = frame(spark, rows).selectExpr("doc_id", "hash(coalesce(text, '')) as key", "coalesce(text, '') as text")
+    path = cluster.scratch(spark, "index")
+    sizes = []
+    for i in range(5):
+        index = suffix_dedup.SuffixIndex(spark, path, 60, 20)
+        index.add(docs.where(f"doc_id % 5 = {i}"))
+        sizes.append([b - a + 1 for a, b, _ in index.levels])
+    assert sizes == [[1], [2], [2, 1], [4], [4, 1]]
+    index = suffix_dedup.SuffixIndex(spark, path, 60, 20)
+    cuts = suffix_dedup.repeated_bytes(docs, index, cluster.scratch(spark, "cuts")).collect()
+    gone = {}
+    for c in cuts:
+        gone.setdefault(c.doc_id, set()).update(range(c.start, c.stop))
+    want = repeats(rows, 60)
+    assert {i: len(gone.get(i, ())) for i in want} == {i: w[1] for i, w in want.items()}
+    array = spark.read.parquet(f"{path}/{index.levels[0][2]}").where("lcp is not null").collect()
+    known = {(r.suffix, r.doc_id, r.key, r.start) for r in array}
+    assert len(known) == len(array) > 100 and all(len(r.suffix) == 20 and 0 <= r.lcp <= 20 for r in array)
+    inner = sorted((r.suffix for r in array))
+    shared = {b: max(sum(1 for _ in itertools.takewhile(lambda p: p[0] == p[1], zip(a, b, strict=True))), 0) for a, b in itertools.pairwise(inner) if a != b}
+    assert sum(r.lcp in (20, shared.get(bytes(r.suffix), r.lcp)) for r in array) >= 0.9 * len(array)
+
+
+def test_suffix_windows_are_compared_by_bytes():
+    data = np.frombuffer(b"abcdefgh--abcdefgh--abcdxfgh", np.uint8)
+    p, q = np.array([0, 1, 0, 1, 4, 0]), np.array([10, 11, 20, 21, 14, 1])
+    assert suffix_dedup._equal(data, p, q, 4).tolist() == [True, True, True, False, True, False]
+    assert suffix_dedup._equal(data, p, q, 4, most=3).tolist() == [True, True, True, False, True, False]
 
 
 def test_exact_dedup(spark):
