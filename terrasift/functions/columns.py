@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,13 +61,13 @@ def uniform(*keys: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def poisson(u: Column, mean: float, most: int = 20) -> Column:
-    """The Poisson quantile of u, at most `most`."""
-    term, total, cdf = 2.718281828459045 ** -mean, 0.0, []
-    for k in range(most):
-        total += term
+def poisson(u: Column, mean: float) -> Column:
+    """The Poisson quantile of u, exact for numbers of 32 bits: the table goes on until less than 2**-32 is left."""
+    total, cdf, k = 0.0, [], 0
+    while 1 - total >= 2.0**-32 and k < mean + 20 * math.sqrt(mean) + 40:
+        total += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) if mean > 0 else 1.0
         cdf.append(total)
-        term *= mean / (k + 1)
+        k += 1
     return F.size(F.filter(F.array(*[F.lit(x) for x in cdf]), lambda x: x <= u))
 
 

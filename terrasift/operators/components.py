@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .stencil import wc, wr
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, a local one is set, but only on one machine; elsewhere that is an error."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the folder of spark.checkpoint.dir (a local one where unset, as in tests)."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    """The rows, computed once and kept in the folder of spark.checkpoint.dir."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -9,6 +9,7 @@ from ..functions.columns import clip, ramp
 from .components import component_sizes, label_components
 from .nearest import inverse_distance, nearest_fill, nearest_valid
 from .stencil import dilate, gaussian, median3, neighbor_count
+from .tiles import with_tiles
 
 KEY = ["tile", "row", "col"]
 
@@ -82,7 +83,7 @@ def confidence_map(cells: DataFrame, mask: str = "mask", partial: str = "partial
     c = cells.withColumn("_valid", F.when(~F.col(mask), F.col(partial)))
     c = nearest_valid(c, "_valid", "_n", "_d").withColumn("_h", F.abs(F.col(dsm) - F.col(coarse)))
     span = c.groupBy("tile").agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
-    c = c.join(span, "tile")
+    c = with_tiles(c, span)
     height = F.coalesce((F.col("_h") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)), F.lit(0.0))
     near = F.coalesce(F.exp(-F.col("_d") / F.lit(max(scale, 1e-6))), F.lit(0.0))
     score = 0.5 * near + 0.35 * clip(F.coalesce(F.col(ratio), F.lit(1.0)), 0.0, 1.0) + 0.15 * (1 - height)
@@ -93,4 +94,4 @@ def display_stretch(cells: DataFrame, band: str = "z", out: str = "grey") -> Dat
     """0 to 255 between the 2nd and the 98th percentile of the tile."""
     span = cells.groupBy("tile").agg(F.percentile(band, 0.02).alias("_lo"), F.percentile(band, 0.98).alias("_hi"))
     share = clip((F.col(band) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)), 0.0, 1.0)
-    return cells.join(span, "tile").withColumn(out, F.floor(F.coalesce(share, F.lit(0.0)) * 255).cast("int")).drop("_lo", "_hi")
+    return with_tiles(cells, span).withColumn(out, F.floor(F.coalesce(share, F.lit(0.0)) * 255).cast("int")).drop("_lo", "_hi")

@@ -81,6 +81,16 @@ def eval_rollup(per_cell: DataFrame, batch: Column, pred: str = "pred", gt: str
     return rolled.unionByName(masked_errors(c, pred, gt, mask, by=[]).withColumn("scope", F.lit("global")))
 
 
+def dem_metrics(cells: DataFrame, pred: str = "pred", gt: str = "gt", mask: str = "mask") -> DataFrame:
+    """(tile, mae, rmse, mask_mae, mask_rmse, slope_rmse)."""
+    return masked_errors(cells, pred, gt, mask).join(slope_rmse(cells, pred, gt, mask), "tile")
+
+
+def mask_coverage(cells: DataFrame, mask: str = "mask") -> DataFrame:
+    """(tile, coverage): the share of masked cells."""
+    return cells.groupBy("tile").agg(F.avg(F.col(mask).cast("double")).alias("coverage"))
+
+
 def best_epoch(history: DataFrame, metric: str) -> DataFrame:
     """History with the best value so far, and whether the epoch improved on it. One row per epoch."""
     from pyspark.sql import Window

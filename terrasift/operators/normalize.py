@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import normalize_dem, normalize_density, normalize_feature, normalize_ratio
+from .tiles import with_tiles
 
 
 def dem_scale(cells: DataFrame, band: str) -> DataFrame:
@@ -29,11 +30,11 @@ def channel(cells: DataFrame, band: str, kind: str, out: str) -> DataFrame:
     if kind == "ratio":
         return cells.withColumn(out, normalize_ratio(F.col(band)))
     if kind == "dem":
-        return cells.join(dem_scale(cells, band), "tile").withColumn(out, normalize_dem(F.col(band), F.col("mean"), F.col("std"), F.col("mean"))).drop("mean", "std")
+        return with_tiles(cells, dem_scale(cells, band)).withColumn(out, normalize_dem(F.col(band), F.col("mean"), F.col("std"), F.col("mean"))).drop("mean", "std")
     if kind == "density":
-        return cells.join(density_scale(cells, band), "tile").withColumn(out, normalize_density(F.col(band), F.coalesce("scale", F.lit(1.0)))).drop("scale")
+        return with_tiles(cells, density_scale(cells, band)).withColumn(out, normalize_density(F.col(band), F.coalesce("scale", F.lit(1.0)))).drop("scale")
     if kind == "feature":
-        return cells.join(feature_scale(cells, band), "tile").withColumn(out, normalize_feature(F.col(band), F.col("fill"), F.coalesce("scale", F.lit(1.0)))).drop("fill", "scale")
+        return with_tiles(cells, feature_scale(cells, band)).withColumn(out, normalize_feature(F.col(band), F.col("fill"), F.coalesce("scale", F.lit(1.0)))).drop("fill", "scale")
     raise ValueError(f"unknown kind {kind!r}")
 
 

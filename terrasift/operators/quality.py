@@ -35,6 +35,17 @@ def violations(cells: DataFrame, core=CORE, auxiliary=AUXILIARY, densities=DENSI
     return s.select("tile", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("v")).select("tile", "v.*")
 
 
+def shape_violations(bands: DataFrame, core: list[str]) -> DataFrame:
+    """(tile, rule, raster) from rows (tile, row, col, band): bands of a tile that aren't there, and bands of another shape than the first of core."""
+    shapes = bands.groupBy("tile", "band").agg(F.struct(F.max("row"), F.max("col")).alias("shape"))
+    tiles = shapes.groupBy("tile").agg(F.map_from_entries(F.collect_list(F.struct("band", "shape"))).alias("has"))
+    of = lambda b: F.element_at("has", F.lit(b))
+    lacking = [F.when(of(b).isNull(), F.struct(F.lit("lacking").alias("rule"), F.lit(b).alias("raster"))) for b in core]
+    odd = [F.when(of(b) != of(core[0]), F.struct(F.lit("shape").alias("rule"), F.lit(b).alias("raster"))) for b in core[1:]]
+    found = F.filter(F.array(*lacking, *odd), lambda x: x.isNotNull())
+    return tiles.select("tile", F.explode(found).alias("v")).select("tile", "v.*")
+
+
 def status(tiles: DataFrame, found: DataFrame) -> DataFrame:
     """(tile, status): FAIL with any error, WARN with any warning, else OK."""
     worst = found.groupBy("tile").agg(F.max((F.col("severity") == "error").cast("int")).alias("e"))

@@ -23,9 +23,10 @@ def wc() -> WindowSpec:
 
 
 def _along(z: Column, w, r: float) -> Column:
-    """Central difference, one-sided at the ends, 0 on a line of one cell."""
+    """Central difference, one-sided at the ends of the raster, 0 on a line of one cell. NULL next to a missing cell."""
     before, after = F.lag(z).over(w), F.lead(z).over(w)
-    return F.when(before.isNull() & after.isNull(), 0.0).when(before.isNull(), after - z).when(after.isNull(), z - before).otherwise((after - before) / 2) / F.lit(float(r))
+    first, last = F.lag(F.lit(1)).over(w).isNull(), F.lead(F.lit(1)).over(w).isNull()
+    return F.when(first & last, 0.0).when(first, after - z).when(last, z - before).otherwise((after - before) / 2) / F.lit(float(r))
 
 
 def gradient(cells: DataFrame, band: str, dx: str, dy: str, resolution: float = 1.0) -> DataFrame:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tiles import with_tiles
+
 
 def delaunay(xy: np.ndarray) -> np.ndarray:
     """Triangles (indices) of a Delaunay triangulation, by adding points in order; each step looks at all circles at once."""
@@ -88,7 +90,8 @@ def tin(points: DataFrame, grids: DataFrame, max_edge: float = 20.0, block: int
     halo is one block). Points at one place count once, with their mean z. Fewer than 3 points make no triangle."""
     halo = 2 * max_edge if max_edge > 0 else block * resolution
     side = block * resolution
-    p = points.groupBy("tile", "x", "y").agg(F.avg("z").alias("z")).join(grids, "tile")
+    p = points.groupBy("tile", "x", "y").agg(F.avg("z").alias("z"))
+    p = with_tiles(p, grids)
     dx, dy = F.col("x") - (F.col("center_min_x") - resolution / 2), (F.col("center_max_y") + resolution / 2) - F.col("y")
     reach = lambda d, n: F.sequence(F.greatest(F.floor((d - halo) / side), F.lit(0)), F.least(F.floor((d + halo) / side), F.floor((F.col(n) - 1) / block)))
     p = p.withColumn("br", F.explode(reach(dy, "height"))).withColumn("bc", F.explode(reach(dx, "width")))

@@ -7,6 +7,8 @@ All draws are md5 of their keys: reruns and other engines agree.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,11 +26,12 @@ def _draw(name: str, seed: int, low: float, high: float):
     return F.lit(low) + F.floor(uniform(F.lit(seed), F.lit(name), F.col("tile"), F.col("k")) * F.lit(high - low))
 
 
-def _centres(cells: DataFrame, shapes: int, seed: int, weight: str | None) -> DataFrame:
-    """(tile, k, at_row, at_col): centres drawn evenly, or in proportion to a weight by its running sum."""
-    k = F.explode(F.sequence(F.lit(1), F.lit(shapes))).alias("k")
+def _centres(cells: DataFrame, shapes: DataFrame, seed: int, weight: str | None) -> DataFrame:
+    """(tile, k, at_row, at_col): centres drawn evenly, or in proportion to a weight by its running sum. shapes: (tile, shapes), how many."""
+    k = F.explode(F.sequence(F.lit(1), F.col("shapes"))).alias("k")
     if weight is None:
-        size = cells.groupBy("tile").agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w")).select("tile", "h", "w", k)
+        size = cells.groupBy("tile").agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"))
+        size = size.join(shapes, "tile").select("tile", "h", "w", k)
         pick = lambda name, n: F.floor(uniform(F.lit(seed), F.lit(name), F.col("tile"), F.col("k")) * F.col(n))
         return size.select("tile", "k", pick("row", "h").cast("int").alias("at_row"), pick("col", "w").cast("int").alias("at_col"))
     # running sums within rows of cells and over rows, so no window holds a tile
@@ -36,28 +39,33 @@ def _centres(cells: DataFrame, shapes: int, seed: int, weight: str | None) -> Da
     before = Window.partitionBy("tile").orderBy("row")
     rows = rows.withColumn("hi", F.sum("n").over(before)).withColumn("lo", F.col("hi") - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("tile")))
     u = F.col("all") * uniform(F.lit(seed), F.lit("weight"), F.col("tile"), F.col("k"))
-    drawn = rows.where("all > 0").groupBy("tile").agg(F.first("all").alias("all")).select("tile", "all", k).withColumn("u", u)
+    drawn = rows.where("all > 0").groupBy("tile").agg(F.first("all").alias("all")).join(shapes, "tile").select("tile", "all", k).withColumn("u", u)
     at = drawn.join(rows.drop("all", "n"), "tile").where("lo <= u and u < hi").select("tile", "k", F.col("row"), (F.col("u") - F.col("lo")).alias("rest"))
     line = cells.withColumn("chi", F.sum(weight).over(Window.partitionBy("tile", "row").orderBy("col"))).withColumn("clo", F.col("chi") - F.col(weight))
     hit = at.join(line.select("tile", "row", "col", "clo", "chi"), ["tile", "row"]).where("clo <= rest and rest < chi")
     return hit.select("tile", "k", F.col("row").alias("at_row"), F.col("col").alias("at_col"))
 
 
-def simulate_voids(cells: DataFrame, strategy: str = "irregular", coverage=(0.05, 0.22), shapes: int = 64, radius=(6, 24), valid: str | None = None, weight: str | None = None, seed: int = 0, out: str = "void") -> DataFrame:
+def simulate_voids(cells: DataFrame, strategy: str = "irregular", coverage=(0.05, 0.22), shapes: int | None = None, radius=(6, 24), valid: str | None = None, weight: str | None = None, seed: int = 0, out: str = "void") -> DataFrame:
     """Adds a boolean: the cells of the first shapes that together cover the sample's target number of valid cells.
 
-    irregular: disks anywhere; block: rectangles with sides in the radius range; vegetation_priority: disks at centres
-    drawn by weight, anywhere where the tile's weight is 0. Cells that aren't valid are never void, and the target is at least
-    one cell and at most 90 % of the valid ones.
+    irregular: disks; block: rectangles with sides in the radius range; vegetation_priority: disks at centres
+    drawn by weight. Centres lie on valid cells where a valid band is given, else anywhere, as where the tile's weight is 0. Cells that
+    aren't valid are never void, and the target is at least one cell and at most 90 % of the valid ones. There are `shapes`
+    candidates; without a number, eight times as many as it takes to cover the target without overlap, and at least 200.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy is one of {STRATEGIES}")
     ok = F.col(valid) if valid else F.lit(True)
     low, high = coverage[0], min(coverage[1], 0.9)
     target = cells.groupBy("tile").agg(F.count_if(ok).alias("n")).withColumn("target", F.greatest(F.floor(F.col("n") * (F.lit(low) + F.lit(high - low) * uniform(F.lit(seed), F.lit("target"), F.col("tile")))), F.lit(1)))
-    even = _centres(cells, shapes, seed, None)
+    mean = sum(r * r if strategy == "block" else math.pi * r * r for r in range(*radius)) / max(len(range(*radius)), 1)
+    many = F.lit(shapes) if shapes else F.greatest(F.ceil(8 * F.col("target") / F.lit(max(mean, 1.0))), F.lit(200)).cast("int")
+    count = target.select("tile", many.alias("shapes"))
+    on = cells.withColumn("_on", ok.cast("double")) if valid else cells
+    even = _centres(on, count, seed, "_on" if valid else None)
     if strategy == "vegetation_priority" and weight:
-        heavy = _centres(cells, shapes, seed, weight)
+        heavy = _centres(cells, count, seed, weight)
         even = heavy.unionByName(even.join(heavy.select("tile").distinct(), "tile", "left_anti"))
     if strategy == "block":
         s = even.withColumn("high", _draw("high", seed, *radius)).withColumn("wide", _draw("wide", seed, *radius))

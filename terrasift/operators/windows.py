@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import positions
+from .tiles import with_tiles
 
 
 def window_starts(grids: DataFrame, size: int, stride: int) -> DataFrame:
@@ -18,7 +19,7 @@ def cut_windows(cells: DataFrame, grids: DataFrame, size: int, stride: int) -> D
     """The cells of each window, with its top and left and the place i, j in it. A cell finds its windows by
     arithmetic on its own coordinates, so there is no range join."""
     inside = lambda at, c: F.filter(at, lambda p: (p <= F.col(c)) & (F.col(c) < p + size))
-    c = cells.join(grids.select("tile", "height", "width"), "tile")
+    c = with_tiles(cells, grids.select("tile", "height", "width"))
     c = c.withColumn("top", F.explode(inside(positions(F.col("height"), size, stride), "row"))).withColumn("left", F.explode(inside(positions(F.col("width"), size, stride), "col")))
     return c.withColumn("i", F.col("row") - F.col("top")).withColumn("j", F.col("col") - F.col("left")).drop("height", "width")
 
@@ -41,7 +42,7 @@ def blend(windows: DataFrame, band: str, out: str = "blended") -> DataFrame:
 def flip(cells: DataFrame, horizontal: bool = False, vertical: bool = False) -> DataFrame:
     """Mirrored cells, by the extent of each tile."""
     size = cells.groupBy("tile").agg(F.max("row").alias("_h"), F.max("col").alias("_w"))
-    c = cells.join(size, "tile")
+    c = with_tiles(cells, size)
     if horizontal:
         c = c.withColumn("col", F.col("_w") - F.col("col"))
     if vertical:

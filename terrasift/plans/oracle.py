@@ -50,6 +50,17 @@ def _near(source: str) -> str:
       arg_min(v.v, {{'d': (c."row" - v."row")**2 + (c.col - v.col)**2, 'r': v."row", 'c': v.col}}) as v from {source} c join (select {_K}, v from {source} where v is not null) v on c.tile = v.tile group by 1, 2, 3) """
 
 
+def _features(radii: tuple[int, ...]) -> str:
+    """felt: the filled cells (near) as z with gradients, second differences, and extremes of squares of each radius."""
+    span = lambda f, c, r, w: f"{f}({c}) over ({w} rows between {r} preceding and {r} following)"
+    line, column = 'partition by tile, "row" order by col', 'partition by tile, col order by "row"'
+    wide = "".join(f", {span('max', 'v', r, line)} as a{r}, {span('min', 'v', r, line)} as b{r}" for r in radii)
+    square = "".join(f", {span('max', f'a{r}', r, column)} as hi{r}, {span('min', f'b{r}', r, column)} as lo{r}" for r in radii)
+    kept = "".join(f", hi{r}, lo{r}" for r in radii)
+    return f""", first as (select {_K}, v as z, {_diff("v", "wr")} as gx, {_diff("v", "wc")} as gy{wide} from near {_WINDOWS}),
+      felt as (select {_K}, z, gx, gy, {_diff("gx", "wr")} as xx, {_diff("gy", "wc")} as yy{square} from first {_WINDOWS}) """
+
+
 def _areas(hole: str) -> str:
     """Components of cells that a condition on flagged picks: areas, and labels of their cells."""
     return f""", hole as (select tile, "row", col, "row"::bigint * 4294967296 + col as id from flagged where {hole}),
@@ -124,7 +135,7 @@ ORACLE_SQL = {
     **{f"rasterize_{how}": f"with {_GRID} select s.tile, s.\"row\", s.col, {_r(f'coalesce(v, {0 if how in ("count", "sum") else "null"})', 'v')} from spine s left join (select tile, \"row\", col, {agg}::double as v from placed where cls = 2 group by all) b on s.tile = b.tile and s.\"row\" = b.\"row\" and s.col = b.col" for how, agg in (("count", "count(*)"), ("sum", "sum(z)"), ("mean", "avg(z)"), ("max", "max(intensity)"))},
     "tile_stats": _CELLS + f"select tile, count(*) as n_cells, count(*) filter (all_density > 0) as support, count(dem) as valid, count(dsm) as surface, max(dsm) as max_dsm, {_r('min(dem)', 'min_dem')}, greatest(count(*) filter (all_density > 0) - count(dem), 0) as unresolved from cells group by tile",
     "source_precedence": "select cast(p_partkey % 50 as varchar) as tile, case when bool_or(p_partkey % 3 = 0) then 'reference' else 'default' end as source from part group by p_partkey % 50",
-    "skip_done": "select c_custkey as tile from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)",
+    "skip_done": "select c_custkey as tile from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null and o_orderkey % 3 = 0)",
     "nodata_round_trip": f"{_PATCH} select {_K}, {_r('case when mask then -9999.0::double else z end', 'stored')}, {_r('case when mask then null else z end', 'back')} from patch",
     "hole_mask": f"{_PATCH} select tile, count(*) filter (mask) as holes, count(*) filter (not mask) as valid from patch group by tile",
     "quality_rules": _CELLS + f""", s as (select tile, count(*)::double as n, sum((dem is null)::int) as dem0, sum((dsm is null)::int) as dsm0, sum((mean_intensity is null)::int) as int0, sum((mean_return_num is null)::int) as ret0,
@@ -188,4 +199,51 @@ ORACLE_SQL = {
     "eval_rollup": _PAIRS + f""", b as (select tile // 16 as batch, count(distinct tile) as n, {_errors('')} from pairs group by 1), r as (select 'batches' as scope, sum(mae * n) / sum(n) as mae, sum(rmse * n) / sum(n) as rmse, sum(mask_mae * n) / sum(n) as mask_mae, sum(mask_rmse * n) / sum(n) as mask_rmse from b
         union all select 'global', {_errors('')} from pairs) select scope, {_ROUNDED} from r""",
     "stream_cell_stats": "with " + _GRID + f" select {_K}, count(*) as n, count(*) filter (cls = 2) as n_ground, {_r('avg(z) filter (cls = 2)', 'dem')}, max(z) as dsm from placed where cls in (2, 5, 6) group by all",
+    "tile_metadata": _CELLS + 'select tile, (max("row") + 1)::int as height, (max(col) + 1)::int as width, 1.0::double as resolution, 2 as bands from cells group by tile',
+    "matched_tiles": "select 't' || p_partkey as tile, 't' || p_partkey || '_dem' as dem, 't' || p_partkey || '_dsm' as dsm from part",
+    "tile_sources": f"""{_PATCH} select {_K}, {_r("case when tile % 2 = 1 then z when not mask then z * 2 end", "z")},
+        case when tile % 3 = 0 then col > 3 else tile % 2 = 1 or not mask end as valid from patch""",
+    "terrain_features": _CELLS + ', v as (select tile, "row", col, dem as v from cells)' + _near("v") + _features((3, 7)) + f"""
+        select {_K}, {_r("sqrt(gx * gx + gy * gy)", "slope")}, {_r("xx + yy", "curvature")}, {_r("z - (hi3 + lo3) / 2", "openness_s1")}, {_r("z - (hi7 + lo7) / 2", "openness_s2")} from felt""",
+    "terrain_stack": _CELLS + ', v as (select tile, "row", col, dem as v from cells)' + _near("v") + _features((3, 7, 15, 31)) + f""",
+        d as (select a.tile, a."row", a.col, any_value(a.v is null) as mask, min(abs(a."row" - b."row") + abs(a.col - b.col)) filter (b.v is not null) as i,
+          min(abs(a."row" - b."row") + abs(a.col - b.col)) filter (b.v is null) as o from v a join v b using (tile) group by 1, 2, 3),
+        edges as (select *, max("row") over (partition by tile) as last_row, max(col) over (partition by tile) as last_col from d)
+        select f.tile, f."row", f.col, {_r("z", "z")}, {_r("sqrt(gx * gx + gy * gy)", "slope")}, {_r("xx + yy", "curvature")},
+          {", ".join(_r(f"z - (hi{r} + lo{r}) / 2", f"openness_s{i}") for i, r in enumerate((3, 7, 15, 31), 1))}, mask,
+          case when mask then least(i, e."row" + 1, e.col + 1, last_row + 1 - e."row", last_col + 1 - e.col) <= 2 else coalesce(o <= 2, false) end as boundary_band
+        from felt f join edges e on e.tile = f.tile and e."row" = f."row" and e.col = f.col""",
+    "patch_missing": _CELLS + ', v as (select tile, "row", col, dsm as v from cells)' + _near("v") + ', v2 as (select tile, "row", col, mean_intensity as v from cells)' + _near("v2").replace("near as", "near2 as") + f"""
+        select tile, 'dsm' as band, (select count(*) from cells c where c.tile = n.tile and dsm is null) as filled, {_r("sum(v)", "total", 3)} from near n group by tile
+        union all select tile, 'mean_intensity', (select count(*) from cells c where c.tile = n.tile and mean_intensity is null), {_r("sum(v)", "total", 3)} from near2 n group by tile""",
+    "band_table": f"{_PATCH} select {_K}, 'z' as band, {_r('z', 'value')} from patch union all select {_K}, 'm', mask::int::double from patch",
+    "shape_rules": "select vec_id as tile, case when vec_id % 7 = 0 then 'lacking' else 'shape' end as rule, 'm' as raster from embeddings where vec_id % 7 = 0 or vec_id % 5 = 0",
+    "mask_coverage": f"{_PATCH} select tile, {_r('avg((mask and z > 0)::int::double)', 'coverage')} from patch group by tile",
+    "mask_ratio_filter": f"{_PATCH} select tile, {_r('q', 'mask_ratio')} from (select tile, avg((mask and z > 0)::int::double) as q from patch group by tile) where q between 0.05 and 0.125",
+    "dem_metrics": _PAIRS + f""", s as (select tile, lead(pred) over wr - pred as px, lead(pred) over wc - pred as py, lead(gt) over wr - gt as gx, lead(gt) over wc - gt as gy, "row", col from pairs {_WINDOWS}),
+        d as (select s.tile, sqrt(px * px + py * py) - sqrt(gx * gx + gy * gy) as d, m.m from s join pairs m on m.tile = s.tile and m."row" = s."row" + 1 and m.col = s.col + 1),
+        e as (select tile, sqrt(sum(d * d * m) / greatest(sum(m), 1)) as slope_rmse from d group by tile), p as (select {_errors('tile,')} from pairs group by tile)
+        select tile, {_ROUNDED}, {_r('slope_rmse', 'slope_rmse')} from p join e using (tile)""",
+    "denormalize_dem": f"{_PATCH}, s as (select tile, avg(z) as m from patch where not mask group by tile) select {_K}, {_r('case when mask then m else m + (z - m) / 2 end', 'back')} from patch join s using (tile)",
+    "channel_stack": f"{_PATCH} select {_K}, {_r('case when mask then z * 2 else z end', 'c0')}, {_r('z * 2', 'c1')}, mask::int::double as c2, 0.0::double as c3 from patch",
+    "padded_windows": _CELLS + f""", starts as (select distinct tile, t as top, l as "left" from (select tile, width, unnest(case when height <= 72 then [0] else list_concat(range(0, height - 71, 40), [height - 72]) end) as t from grids) a,
+          lateral (select unnest(case when width <= 72 then [0] else list_concat(range(0, width - 71, 40), [width - 72]) end) as l) b)
+        select s.tile, top::int as top, "left"::int as "left", 5184::bigint as places, count(all_density) as cells, {_r("sum(dsm)", "dsm", 3)}, (top + 71)::int as last
+        from starts s join cells c on c.tile = s.tile and c."row" between top and top + 71 and c.col between "left" and "left" + 71 group by s.tile, top, "left\"""",
+    "sample_meta": f"""with {_GRID}{_STARTS} select printf('%s_r%05d_c%05d', tile, top, "left") as sample_id,
+        '{{"sample_id":"' || printf('%s_r%05d_c%05d', tile, top, "left") || '","tile_id":"' || tile || '","row":' || top || ',"col":' || "left" || ',"resolution":1.5}}' as meta from starts""",
+    "first_samples": f"with {_GRID}{_STARTS} select printf('%s_r%05d_c%05d', tile, top, \"left\") as sample_id from starts order by 1 limit 3",
+    "best_epoch": """with h as (select (year(o_orderdate) * 12 + month(o_orderdate))::int as epoch, round(avg(o_totalprice), 2) as loss from orders group by 1),
+        b as (select *, min(loss) over (order by epoch rows between unbounded preceding and 1 preceding) as best_before from h)
+        select epoch, loss, best_before, best_before is null or loss < best_before as improved from b""",
+    "split_samples": f"{_PATCH} select {_K}, {_r('z', 'z')} from patch where tile % 10 = 0",
+    "tile_summary": _CELLS + """, p as (select tile, count(*) as total_points, count(*) filter (cls in (2, 5, 6)) as surface_points, count(*) filter (cls = 2) as ground_points from points group by tile)
+        select tile, (max(col) + 1)::int as grid_width, (max("row") + 1)::int as grid_height, count(dem) as observed_cells, count(*) filter (dem is null) as missing_cells,
+          count(*) filter (all_density > 0) as support_cells, count(*) filter (dem is not null and ground_density < 2) as low_confidence_cells,
+          count(*) filter (all_density > 0 and dem is null) as tiny_hole_cells, count(dem) as reference_cells, any_value(total_points) as total_points, any_value(surface_points) as surface_points,
+          any_value(ground_points) as ground_points, greatest(count(*) filter (all_density > 0) - count(dem), 0) as unresolved_cells from cells join p using (tile) group by tile""",
+    "predict_tiles": _CELLS + _STARTS + """, v as (select s.tile || '/' || top || '/' || "left" as tile, c."row" - top as "row", c.col - "left" as col, dem as v, c.tile as t, c."row" as r, c.col as c
+          from starts s join cells c on c.tile = s.tile and c."row" >= top and c."row" < top + 32 and c.col >= "left" and c.col < "left" + 32)""" + _near("v") + _features(()) + f"""
+        select t as tile, r as "row", c as col, {_r("avg(case when v.v is null then f.z + sqrt(gx * gx + gy * gy) * 0.0625 else v.v end)", "predicted")}, count(*) as covers
+        from v join felt f on f.tile = v.tile and f."row" = v."row" and f.col = v.col group by 1, 2, 3""",
 }

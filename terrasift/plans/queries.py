@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
-from ..operators import components, fill, grid, metrics, nearest, normalize, quality, repair, stencil, tin, voids, windows
+from ..operators import components, fill, grid, metrics, nearest, normalize, quality, repair, samples, stencil, tin, voids, windows
 from ..sources import tables
 from ..sources.views import embedding_patches, lineitem_points
 from ..streaming import cells as stream
@@ -96,7 +96,7 @@ def source_precedence(spark, sf_dir):
 
 @query
 def skip_done(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("tile"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("tile"))
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("tile"))
     return tables.not_done(c, o, ["tile"])
 
@@ -362,9 +362,153 @@ def eval_rollup(spark, sf_dir):
     return metrics.eval_rollup(_pairs(spark, sf_dir), F.floor(F.col("tile") / 16)).select("scope", *[_r(c) for c in ("mae", "rmse", "mask_mae", "mask_rmse")])
 
 
+# samples, tiles as models see them
+
+
+@query
+def tile_metadata(spark, sf_dir):
+    return samples.tile_metadata(_cells(spark, sf_dir), ["dem", "dsm"])
+
+
+@query
+def matched_tiles(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    name = lambda end: F.concat(F.lit("t"), F.col("p_partkey").cast("string"), F.lit(end))
+    listing = lambda end: p.select(samples.stem(name(end), end).alias("tile"), name(end).alias(end.strip("_")))
+    return samples.matched_tiles(listing("_dem"), listing("_dsm"))
+
+
+@query
+def tile_sources(spark, sf_dir):
+    """Patches, every second of which has the surface with voids, and every third of which has a valid mask."""
+    p = embedding_patches(spark, sf_dir).withColumn("dem", F.col("z"))
+    p = p.withColumn("dem_raw", F.when((F.col("tile") % 2 == 0) & ~F.col("mask"), F.col("z") * 2))
+    p = p.withColumn("dem_valid_mask", F.when(F.col("tile") % 3 == 0, (F.col("col") > 3).cast("double"))).drop("z")
+    return samples.tile_sources(p).select(*KEY, _r("z"), "valid")
+
+
+@query
+def terrain_features(spark, sf_dir):
+    c = samples.terrain_features(_cells(spark, sf_dir), "dem", radii=(3, 7))
+    return c.select(*KEY, _r("slope"), _r("curvature"), _r("openness_s1"), _r("openness_s2"))
+
+
+@query
+def patch_missing(spark, sf_dir):
+    done, report = samples.patch_missing(_cells(spark, sf_dir).select(*KEY, "dsm", "mean_intensity"), ["dsm", "mean_intensity"])
+    sums = done.groupBy("tile").agg(F.sum("dsm").alias("dsm"), F.sum("mean_intensity").alias("mean_intensity"))
+    return report.join(sums.unpivot(["tile"], ["dsm", "mean_intensity"], "band", "total"), ["tile", "band"]).select("tile", "band", "filled", _r("total", digits=3))
+
+
+@query
+def band_table(spark, sf_dir):
+    return samples.band_table(embedding_patches(spark, sf_dir).withColumn("m", F.col("mask").cast("double")), ["z", "m"]).select(*KEY, "band", _r("value"))
+
+
+@query
+def shape_rules(spark, sf_dir):
+    """Patches of which some lack a band and some its last row."""
+    b = samples.band_table(embedding_patches(spark, sf_dir).withColumn("m", F.col("mask").cast("double")), ["z", "m"])
+    b = b.where("not (band = 'm' and (tile % 7 = 0 or (tile % 5 = 0 and row = 7)))")
+    return quality.shape_violations(b, ["z", "m"])
+
+
+@query
+def mask_coverage(spark, sf_dir):
+    p = embedding_patches(spark, sf_dir).withColumn("mask", F.col("mask") & (F.col("z") > 0))
+    return metrics.mask_coverage(p).select("tile", _r("coverage"))
+
+
+@query
+def mask_ratio_filter(spark, sf_dir):
+    p = embedding_patches(spark, sf_dir).withColumn("mask", F.col("mask") & (F.col("z") > 0))
+    return samples.kept_by_mask_ratio(p, ["tile"], least=0.05, most=0.125).select("tile", _r("mask_ratio"))
+
+
+@query
+def dem_metrics(spark, sf_dir):
+    return metrics.dem_metrics(_pairs(spark, sf_dir)).select("tile", *[_r(c) for c in ("mae", "rmse", "mask_mae", "mask_rmse", "slope_rmse")])
+
+
+@query
+def denormalize_dem(spark, sf_dir):
+    """Normalised by the scale of what isn't masked, halved, and brought back."""
+    p = embedding_patches(spark, sf_dir).withColumn("seen", F.when(~F.col("mask"), F.col("z")))
+    half = normalize.channel(p, "seen", "dem", "t").withColumn("t", F.col("t") / 2)
+    return samples.denormalize(half, normalize.dem_scale(p, "seen"), "t", "back").select(*KEY, _r("back"))
+
+
+@query
+def channel_stack(spark, sf_dir):
+    p = embedding_patches(spark, sf_dir).withColumn("coarse", F.col("z") * 2).withColumn("partial", F.when(~F.col("mask"), F.col("z")))
+    p = samples.channel_stack(p, ["partial", "coarse", "mask", "slope"], absent="zero")
+    return p.select(*KEY, *[_r(f"c{i}", F.get("channels", F.lit(i))) for i in range(4)])
+
+
+@query
+def padded_windows(spark, sf_dir):
+    """Windows wider than the raster: what they have beyond it is missing."""
+    w = samples.padded_windows(_cells(spark, sf_dir), _grids(spark, sf_dir), 72, 40)
+    return w.groupBy("tile", "top", "left").agg(F.count("*").alias("places"), F.count("all_density").alias("cells"), _r("dsm", F.sum("dsm"), 3), F.max("row").alias("last"))
+
+
+@query
+def sample_meta(spark, sf_dir):
+    w = windows.window_starts(_grids(spark, sf_dir), 32, 24)
+    return samples.with_meta(w, resolution=F.lit(1.5)).select("sample_id", "meta")
+
+
+@query
+def first_samples(spark, sf_dir):
+    """The first three samples of all in the order of their ids; a limit is the feature."""
+    return windows.sample_ids(windows.window_starts(_grids(spark, sf_dir), 32, 24)).orderBy("sample_id").limit(3).select("sample_id")
+
+
+@query
+def best_epoch(spark, sf_dir):
+    """Months as epochs with the mean price as their metric."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    month = F.year("o_orderdate") * 12 + F.month("o_orderdate")
+    history = o.groupBy(month.cast("int").alias("epoch")).agg(F.round(F.avg("o_totalprice"), 2).alias("loss"))
+    return metrics.best_epoch(history, "loss").select("epoch", "loss", "best_before", "improved")
+
+
+@query
+def split_samples(spark, sf_dir):
+    """Samples written by split; one split read back."""
+    path = f"{components.shared_dir(spark)}/samples-{uuid.uuid4().hex}"
+    blocks = normalize.to_blocks(embedding_patches(spark, sf_dir), ["z"])
+    tables.write_samples(blocks.withColumn("split", F.when(F.col("tile") % 10 == 0, "val").otherwise("train")), path)
+    return normalize.from_blocks(tables.read_samples(spark, path, "val"), ["z"], 8).select(*KEY, _r("z"))
+
+
+@query
+def tile_summary(spark, sf_dir):
+    c = _cells(spark, sf_dir).withColumn("support", F.col("all_density") > 0).withColumn("reference", F.col("dem"))
+    c = c.withColumn("low_confidence", F.col("dem").isNotNull() & (F.col("ground_density") < 2)).withColumn("tiny_hole", F.col("support") & F.col("dem").isNull())
+    return grid.tile_summary(lineitem_points(spark, sf_dir), c)
+
+
+@query
+def predict_tiles(spark, sf_dir):
+    """Void cells as the coarse surface plus a sixteenth of its slope, in windows of 32 cells."""
+    c = _cells(spark, sf_dir).select(*KEY, F.col("dem").alias("z"))
+    predictor = F.col("coarse") + F.col("slope") * 0.0625
+    done = samples.predict_tiles(c, _grids(spark, sf_dir), predictor, size=32, stride=24, method="nearest", radii=(3,))
+    return done.select(*KEY, _r("predicted"), "covers")
+
+
 # without SQL: tested against brute force
 
 
+@query
+def tin_surface(spark, sf_dir):
+    c, g = _cells(spark, sf_dir), _grids(spark, sf_dir)
+    p = lineitem_points(spark, sf_dir).where("cls = 2")
+    done = samples.tin_surface(p, g, c, max_edge=6.0, distance=12, block=16)
+    return done.select(*KEY, _r("tin"), _r("reference"), "valid", "support", "confidence", "repair_weight")
+
+
 @query
 def tin_dem(spark, sf_dir):
     p = lineitem_points(spark, sf_dir).where("cls = 2")
@@ -391,6 +535,6 @@ def stream_cell_stats(spark, sf_dir):
     cls = F.when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F") & (n <= 2), 2).when(F.col("l_returnflag") == "N", 5).when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"), 6).otherwise(1)
     points = table.select(F.when(k % 2 == 0, "001").otherwise("002").alias("tile"), x.alias("x"), y.alias("y"), ((F.floor("l_extendedprice").cast("bigint") % 16384).cast("double") / 64).alias("z"), cls.alias("cls"))
     surface = points.where(F.col("cls").isin(2, 5, 6)).where(~((F.col("cls") == 2) & ((F.col("x") - 20) * (F.col("x") - 20) + (F.col("y") - 44) * (F.col("y") - 44) < 81)))
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file:///tmp"
-    done = stream.stream_and_merge(surface, _grids(spark, sf_dir), f"{base.rstrip('/')}/spark-stream-{uuid.uuid4().hex}")
+    path = f"{components.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    done = stream.stream_and_merge(surface, _grids(spark, sf_dir), path)
     return done.select(*KEY, "n", "n_ground", _r("dem"), "dsm")

@@ -34,6 +34,19 @@ def write_cells(cells: DataFrame, path: str, bands: list[str], nodata: float | N
     out.repartition("tile", F.floor(F.col("row") / 256)).sortWithinPartitions("row", "col").write.partitionBy("tile").option("compression", "zstd").mode(mode).parquet(path)
 
 
+def write_samples(samples: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Samples (one row each, with a split) as Parquet by split, so that a reader of one prunes the others."""
+    samples.write.partitionBy("split").option("compression", "zstd").mode(mode).parquet(path)
+
+
+def read_samples(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """The samples of a split; ValueError if there is no such split."""
+    found = spark.read.parquet(path).where(F.col("split") == split)
+    if found.isEmpty():
+        raise ValueError(f"no split {split!r}")
+    return found
+
+
 def read_cells(spark: SparkSession, path: str, bands: list[str] | None = None) -> DataFrame:
     df = spark.read.option("basePath", path).parquet(path)
     return df if bands is None else require(df, ["tile", "row", "col", *bands])
