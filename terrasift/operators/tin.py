@@ -17,7 +17,8 @@ from .tiles import with_tiles
 
 
 def delaunay(xy: np.ndarray) -> np.ndarray:
-    """Triangles (indices) of a Delaunay triangulation, by adding points in order; each step looks at all circles at once."""
+    """Triangles (indices) of a Delaunay triangulation, by adding points from left to right. A triangle whose circle lies left of
+    the sweep can't change any more and is set aside, so that a step looks at the open circles only, about as many as the root of the points."""
     n = len(xy)
     if n < 3:
         return np.zeros((0, 3), np.int64)
@@ -25,7 +26,12 @@ def delaunay(xy: np.ndarray) -> np.ndarray:
     p = np.vstack([(xy - mid) / span, [[-3e3, -2e3], [3e3, -2e3], [0.0, 4e3]]])
     tri = np.array([[n, n + 1, n + 2]])
     centre, radius = _circles(p, tri)
-    for i in range(n):
+    closed = []
+    for step, i in enumerate(np.argsort(p[:n, 0], kind="stable")):
+        if step % 16 == 0:
+            behind = centre[:, 0] + np.sqrt(radius) * (1 + 1e-9) + 1e-12 < p[i, 0]
+            closed.append(tri[behind])
+            tri, centre, radius = tri[~behind], centre[~behind], radius[~behind]
         inside = ((centre - p[i]) ** 2).sum(1) < radius * (1 + 1e-12)
         edges = tri[inside][:, [[0, 1], [1, 2], [2, 0]]].reshape(-1, 2)
         code = np.sort(edges, axis=1)
@@ -36,6 +42,7 @@ def delaunay(xy: np.ndarray) -> np.ndarray:
         new = np.column_stack([rim, np.full(len(rim), i)])
         c, r = _circles(p, new)
         tri, centre, radius = np.vstack([tri[~inside], new]), np.vstack([centre[~inside], c]), np.r_[radius[~inside], r]
+    tri = np.vstack([*closed, tri])
     return tri[(tri < n).all(1)]
 
 
@@ -66,6 +73,12 @@ def _block(points: pd.DataFrame, size: int, halo: float, max_edge: float, resolu
         centre, r2 = _circles(xy, t)
         r = np.sqrt(r2)[:, None]
         sure = ((centre - r >= lo) & (centre + r <= hi)).all(1)
+        # only triangles whose bounds hold a cell centre of the block
+        near, far = xy[t].min(1), xy[t].max(1)
+        left, right = np.ceil((near[:, 0] - west) / resolution - 1e-9), np.floor((far[:, 0] - west) / resolution + 1e-9)
+        top, bottom = np.ceil((north - far[:, 1]) / resolution - 1e-9), np.floor((north - near[:, 1]) / resolution + 1e-9)
+        some = (np.maximum(left, bc * size) <= np.minimum(right, (bc + 1) * size - 1)) & (np.maximum(top, br * size) <= np.minimum(bottom, (br + 1) * size - 1))
+        t, sure = t[some], sure[some]
         for k, (a, b, c) in enumerate(xy[t]):
             inv = np.linalg.inv(np.column_stack([b - a, c - a]))
             x0, y0 = np.min([a, b, c], axis=0)
