@@ -6,6 +6,7 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ def encoder(rank_file: str, pattern: str):
         with open(rank_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _encoders[rank_file, pattern] = PieceEncoder(lambda pieces: [array("I", enc.encode_ordinary(p)).tobytes() for p in pieces], CACHE_BYTES), enc
+        _encoders[rank_file, pattern] = PieceEncoder(lambda pieces: [array("I", enc.encode_ordinary(p)).tobytes() for p in pieces], 4, CACHE_BYTES), enc
     return _encoders[rank_file, pattern]
 
 
@@ -64,9 +65,10 @@ def _boundaries(batches: Iterator[pa.RecordBatch], pattern: str, chunk: int, ove
 def _encode(batches: Iterator[pa.RecordBatch], rank_file: str, pattern: str, keys: list[str]) -> Iterator[pa.RecordBatch]:
     pieces, enc = encoder(rank_file, pattern)
     for batch in batches:
+        coded = pieces.encode(batch["text"])
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            ids = pieces.encode(part["text"].to_pylist())
+            ids = list(islice(coded, part.num_rows))
             back = [enc.decode_bytes(np.frombuffer(x, "<u4").tolist()) for x in ids]
             yield pa.RecordBatch.from_arrays([*(part[k] for k in keys), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], [*keys, "ids", "decoded"])
 

@@ -69,7 +69,7 @@ def _encoder(tokenizer_file: str, end_id: int) -> tuple[PieceEncoder, int]:
             return [encode(p).tobytes() for p in pieces]
 
         end = encode("\n")
-        _encoders[tokenizer_file, end_id] = PieceEncoder(joined(encode, int(end[0])) if len(end) == 1 else alone), width
+        _encoders[tokenizer_file, end_id] = PieceEncoder(joined(encode, int(end[0])) if len(end) == 1 else alone, width), width
     return _encoders[tokenizer_file, end_id]
 
 
@@ -94,21 +94,19 @@ def write_token_records(docs: DataFrame, out: str, tokenizer_file: str, end_id:
         end = np.array([end_id], _WIDTHS[width]).tobytes()
         sink, at, name = None, 0, ""
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                if sink is None:
-                    name = f"ids-{part['part'][0].as_py():06d}-{uuid.uuid4().hex}-u{8 * width}.rec"
-                    fs, path = _open(f"{out}/{name}")
-                    fs.create_dir(path.rpartition("/")[0], recursive=True)
-                    sink = fs.open_output_stream(path)
-                offsets, sizes = [], []
-                for ids in encoder.encode(part["text"].to_pylist()):
-                    record = frame(ids + end)
-                    sink.write(record)
-                    offsets.append(at)
-                    sizes.append(len(record))
-                    at += len(record)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(sizes)), part["doc_id"], pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64()), part["part"]], ["file", "doc_id", "offset", "n_bytes", "part"])
+            if sink is None:
+                name = f"ids-{batch['part'][0].as_py():06d}-{uuid.uuid4().hex}-u{8 * width}.rec"
+                fs, path = _open(f"{out}/{name}")
+                fs.create_dir(path.rpartition("/")[0], recursive=True)
+                sink = fs.open_output_stream(path)
+            offsets, sizes = [], []
+            for ids in encoder.encode(batch["text"]):
+                record = frame(ids + end)
+                sink.write(record)
+                offsets.append(at)
+                sizes.append(len(record))
+                at += len(record)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(sizes)), batch["doc_id"], pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64()), batch["part"]], ["file", "doc_id", "offset", "n_bytes", "part"])
         if sink is not None:
             sink.close()
 
