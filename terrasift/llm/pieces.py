@@ -11,7 +11,7 @@ import pyarrow as pa
 from .text import ragged, slices, utf8
 
 #: Bytes of text whose pieces are looked up together; a longer row is one such slice.
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 #: Words that don't fill a pre-token together with a line end.
 _PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?")
 #: Kinds of bytes: white space, what may stand before a cut at white space, letters, punctuation, beyond ASCII.
