@@ -412,3 +412,22 @@ def test_pieces_have_the_ids_of_the_whole_text():
     assert list(pieces.encode([*texts, " ".join(texts)])) == want
     assert list(pieces.encode([*texts, " ".join(texts)])) == want
     assert all(len(p) <= 64 for p in pieces)
+
+
+def test_random_texts_have_the_ids_of_both_libraries():
+    import random
+
+    from terrasift.llm.bpe import encoder
+    from terrasift.llm.token_records import _encoder
+    from tokenizers import Tokenizer
+
+    blanks = [" ", "  ", "\n", "\r\n", "\t", "\x0b", "\x1c", *map(chr, (0x85, 0xA0, 0x1680, 0x180E, 0x2003, 0x200B, 0x2028, 0x202F, 0x205F, 0x3000, 0xFEFF))]
+    others = ["a", "Zed", "é", "×", "÷", "ß", "ж", "中文", "、", "é", "😀", "’", "…", "1", "½", ".", ",", "&&&", "-", "_", '"', "'", "'ll", "<|endoftext|>", "|", "\x00", "\x7f"]
+    r = random.Random(5)
+    texts = ["".join(r.choice(blanks + others) for _ in range(r.randrange(30))) for _ in range(5000)]
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(file).encode_batch(texts, add_special_tokens=False)
+    assert list(_encoder(file, 2)[0].encode(texts)) == [np.array(x.ids, "<u2").tobytes() for x in whole]
+    pieces, enc = encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert list(pieces.encode(texts)) == [np.array(enc.encode_ordinary(t), "<u4").tobytes() for t in texts]
+    assert list(pieces.encode([])) == [] and list(pieces.encode(["", ""])) == [b"", b""]
