@@ -24,28 +24,58 @@ def delaunay(xy: np.ndarray) -> np.ndarray:
         return np.zeros((0, 3), np.int64)
     mid, span = (xy.min(0) + xy.max(0)) / 2, max(float(np.ptp(xy, axis=0).max()), 1e-9)
     p = np.vstack([(xy - mid) / span, [[-3e3, -2e3], [3e3, -2e3], [0.0, 4e3]]])
-    tri = np.array([[n, n + 1, n + 2]])
-    centre, radius = _circles(p, tri)
+    places = p.tolist()
+    # open triangles and their circles (x, y, squared radius) fill the first slots of tri and circle
+    tri, circle, used = np.zeros((256, 3), np.int64), np.zeros((3, 256)), 1
+    tri[0], circle[:, 0] = (n, n + 1, n + 2), _circle(*places[n:])
     closed = []
-    for step, i in enumerate(np.argsort(p[:n, 0], kind="stable")):
+    for step, i in enumerate(np.argsort(p[:n, 0], kind="stable").tolist()):
+        x, y = places[i]
+        cx, cy, r2 = circle[:, :used]
         if step % 16 == 0:
-            behind = centre[:, 0] + np.sqrt(radius) * (1 + 1e-9) + 1e-12 < p[i, 0]
-            closed.append(tri[behind])
-            tri, centre, radius = tri[~behind], centre[~behind], radius[~behind]
-        inside = ((centre - p[i]) ** 2).sum(1) < radius * (1 + 1e-12)
-        edges = tri[inside][:, [[0, 1], [1, 2], [2, 0]]].reshape(-1, 2)
-        code = np.sort(edges, axis=1)
-        _, first, count = np.unique(code[:, 0] * (n + 3) + code[:, 1], return_index=True, return_counts=True)
-        rim = edges[first[count == 1]]
-        a, b = p[rim[:, 0]] - p[i], p[rim[:, 1]] - p[i]
-        rim = rim[np.abs(a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]) > 1e-18]
-        new = np.column_stack([rim, np.full(len(rim), i)])
-        c, r = _circles(p, new)
-        tri, centre, radius = np.vstack([tri[~inside], new]), np.vstack([centre[~inside], c]), np.r_[radius[~inside], r]
-    tri = np.vstack([*closed, tri])
+            behind = cx + np.sqrt(r2) * (1 + 1e-9) + 1e-12 < x
+            closed.append(tri[:used][behind])
+            rest = np.flatnonzero(~behind)
+            used = len(rest)
+            tri[:used], circle[:, :used] = tri[rest], circle[:, rest]
+            cx, cy, r2 = circle[:, :used]
+        inside = np.flatnonzero((cx - x) ** 2 + (cy - y) ** 2 < r2 * (1 + 1e-12))
+        rim: dict[tuple[int, int], tuple[int, int] | None] = {}  # an edge of two triangles inside isn't on the rim
+        for a, b, c in tri[inside].tolist():
+            for edge in ((a, b), (b, c), (c, a)):
+                key = edge if edge[0] < edge[1] else edge[::-1]
+                rim[key] = None if key in rim else edge
+        new = []
+        for edge in rim.values():
+            if edge:
+                (ax, ay), (bx, by) = places[edge[0]], places[edge[1]]
+                if abs((ax - x) * (by - y) - (ay - y) * (bx - x)) > 1e-18:
+                    new.append((*edge, i))
+        # new ones take the slots of those inside, then further ones; a slot left over counts as behind the sweep
+        slots = [*inside.tolist(), *range(used, used + len(new) - len(inside))]
+        used += max(len(new) - len(inside), 0)
+        tri[slots[len(new) :]], circle[:, slots[len(new) :]] = n, [[-np.inf], [0], [0]]
+        slots = slots[: len(new)]
+        if used > len(tri):
+            tri, circle = np.vstack([tri, np.zeros_like(tri)]), np.hstack([circle, np.zeros_like(circle)])
+        if new:
+            tri[slots] = new
+            circle[:, slots] = np.array([_circle(*(places[k] for k in t)) for t in new]).T
+    tri = np.vstack([*closed, tri[:used]])
     return tri[(tri < n).all(1)]
 
 
+def _circle(a: list[float], b: list[float], c: list[float]) -> tuple[float, float, float]:
+    """Centre and squared radius of one triangle; not a number for points on a line, so that nothing lies inside."""
+    bx, by, cx, cy = b[0] - a[0], b[1] - a[1], c[0] - a[0], c[1] - a[1]
+    d = 2 * (bx * cy - by * cx)
+    if d == 0:
+        return (float("nan"),) * 3
+    bb, cc = bx * bx + by * by, cx * cx + cy * cy
+    ux, uy = (cy * bb - by * cc) / d, (bx * cc - cx * bb) / d
+    return a[0] + ux, a[1] + uy, ux * ux + uy * uy
+
+
 def _circles(p: np.ndarray, tri: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Centres and squared radii."""
     a, b, c = (p[tri[:, k]] for k in range(3))
@@ -64,40 +94,39 @@ def _block(points: pd.DataFrame, size: int, halo: float, max_edge: float, resolu
     cols = np.arange(bc * size, min((bc + 1) * size, points["width"].iloc[0]))
     lo = np.array([west + bc * size * resolution - halo, north - (br + 1) * size * resolution - halo])
     hi = lo + 2 * halo + size * resolution
-    out = {k: [] for k in ("row", "col", "z", "certified")}
-    t = delaunay(xy)
-    if len(t):
-        corner = xy[t]
-        longest = np.sqrt(((corner - np.roll(corner, 1, axis=1)) ** 2).sum(2)).max(1)
-        t = t[longest <= max_edge] if max_edge > 0 else t
-        centre, r2 = _circles(xy, t)
-        r = np.sqrt(r2)[:, None]
-        sure = ((centre - r >= lo) & (centre + r <= hi)).all(1)
-        # only triangles whose bounds hold a cell centre of the block
-        near, far = xy[t].min(1), xy[t].max(1)
-        left, right = np.ceil((near[:, 0] - west) / resolution - 1e-9), np.floor((far[:, 0] - west) / resolution + 1e-9)
-        top, bottom = np.ceil((north - far[:, 1]) / resolution - 1e-9), np.floor((north - near[:, 1]) / resolution + 1e-9)
-        some = (np.maximum(left, bc * size) <= np.minimum(right, (bc + 1) * size - 1)) & (np.maximum(top, br * size) <= np.minimum(bottom, (br + 1) * size - 1))
-        t, sure = t[some], sure[some]
-        for k, (a, b, c) in enumerate(xy[t]):
-            inv = np.linalg.inv(np.column_stack([b - a, c - a]))
-            x0, y0 = np.min([a, b, c], axis=0)
-            x1, y1 = np.max([a, b, c], axis=0)
-            ci = cols[(west + cols * resolution >= x0 - 1e-9) & (west + cols * resolution <= x1 + 1e-9)]
-            ri = rows[(north - rows * resolution >= y0 - 1e-9) & (north - rows * resolution <= y1 + 1e-9)]
-            rr, cc = (m.ravel() for m in np.meshgrid(ri, ci, indexing="ij"))
-            w = (np.column_stack([west + cc * resolution, north - rr * resolution]) - a) @ inv.T
-            hit = (w >= -1e-9).all(1) & (w.sum(1) <= 1 + 1e-9)
-            za, zb, zc = z[t[k]]
-            out["row"] += rr[hit].tolist()
-            out["col"] += cc[hit].tolist()
-            out["z"] += (za + w[hit] @ np.array([zb - za, zc - za])).tolist()
-            out["certified"] += [bool(sure[k])] * int(hit.sum())
-    done = pd.DataFrame(out).sort_values(["row", "col", "certified"]).drop_duplicates(["row", "col"], keep="last")
+    corner = delaunay(xy)
+    longest = np.sqrt(((xy[corner] - np.roll(xy[corner], 1, axis=1)) ** 2).sum(2)).max(1, initial=0)
+    t = corner[longest <= max_edge] if max_edge > 0 else corner
+    centre, r2 = _circles(xy, t)
+    r = np.sqrt(r2)[:, None]
+    sure = ((centre - r >= lo) & (centre + r <= hi)).all(1)
+    # the block's cell centres within the bounds of each triangle, as ranges of columns and rows
+    near, far = xy[t].min(1), xy[t].max(1)
+    left = np.maximum(np.ceil((near[:, 0] - west) / resolution - 1e-9), cols[0]).astype(np.int64)
+    right = np.minimum(np.floor((far[:, 0] - west) / resolution + 1e-9), cols[-1]).astype(np.int64)
+    top = np.maximum(np.ceil((north - far[:, 1]) / resolution - 1e-9), rows[0]).astype(np.int64)
+    bottom = np.minimum(np.floor((north - near[:, 1]) / resolution + 1e-9), rows[-1]).astype(np.int64)
+    wide, count = right - left + 1, np.maximum(right - left + 1, 0) * np.maximum(bottom - top + 1, 0)
+    k = np.repeat(np.arange(len(t)), count)
+    j = np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count)
+    row, col = top[k] + j // wide[k], left[k] + j % wide[k]
+    # how far the centre lies along two edges from the first corner; it is inside up to the third
+    a, ab, ac = xy[t[k, 0]], xy[t[k, 1]] - xy[t[k, 0]], xy[t[k, 2]] - xy[t[k, 0]]
+    at = np.column_stack([west + col * resolution, north - row * resolution]) - a
+    area = _cross(ab, ac)
+    u, v = _cross(at, ac) / area, _cross(ab, at) / area
+    height = z[t[k, 0]] + u * (z[t[k, 1]] - z[t[k, 0]]) + v * (z[t[k, 2]] - z[t[k, 0]])
+    hit = (u >= -1e-9) & (v >= -1e-9) & (u + v <= 1 + 1e-9)
+    done = pd.DataFrame({"row": row[hit], "col": col[hit], "z": height[hit], "certified": sure[k[hit]]})
+    done = done.sort_values(["row", "col", "certified"], kind="stable").drop_duplicates(["row", "col"], keep="last")
     done.insert(0, "tile", points["tile"].iloc[0])
     return done.astype({"row": "int32", "col": "int32", "z": "float64", "certified": "bool"})
 
 
+def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]
+
+
 def tin(points: DataFrame, grids: DataFrame, max_edge: float = 20.0, block: int = 32, resolution: float = 1.0) -> DataFrame:
     """(tile, row, col, z, certified) at cell centres within triangles whose edges are at most max_edge (0: any, then the
     halo is one block). Points at one place count once, with their mean z. Fewer than 3 points make no triangle."""
