@@ -137,4 +137,8 @@ def tin(points: DataFrame, grids: DataFrame, max_edge: float = 20.0, block: int
     dx, dy = F.col("x") - (F.col("center_min_x") - resolution / 2), (F.col("center_max_y") + resolution / 2) - F.col("y")
     reach = lambda d, n: F.sequence(F.greatest(F.floor((d - halo) / side), F.lit(0)), F.least(F.floor((d + halo) / side), F.floor((F.col(n) - 1) / block)))
     p = p.withColumn("br", F.explode(reach(dy, "height"))).withColumn("bc", F.explode(reach(dx, "width")))
+    # few bytes, much work: with a number of its own, this shuffle isn't coalesced to a few tasks, and the groups need no other
+    session = points.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    p = p.repartition(tasks, "tile", "br", "bc")
     return p.groupBy("tile", "br", "bc").applyInPandas(lambda g: _block(g.sort_values(["x", "y"]), block, halo, max_edge, resolution), "tile string, row int, col int, z double, certified boolean")
