@@ -169,6 +169,22 @@ def test_tin_heights_equal_one_triangulation(spark):
     assert seen > 300
 
 
+def test_tin_on_a_lattice_and_a_line():
+    """Four points of each square lie on one circle, and points on a line make no triangle: no overlap, nothing left out."""
+    xy = np.array([(x, y) for x in range(7) for y in range(5)], float)
+    a, b, c = (xy[tin.delaunay(xy)[:, k]] for k in range(3))
+    assert np.abs(tin._cross(b - a, c - a)).sum() / 2 == pytest.approx(6 * 4)
+    line = np.column_stack([np.arange(9.0), np.arange(9.0) / 2])
+    assert len(tin.delaunay(line)) == 0
+
+
+def test_tin_deals_blocks_out_once(spark):
+    p = spark.createDataFrame([("a", 0.5, 0.5, 1.0), ("a", 3.5, 2.5, 1.0)], "tile string, x double, y double, z double")
+    plan = tin.tin(p, grid.grid_specs(grid.tile_headers(p)))._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "br#" in line]
+    assert len(dealt) == 1 and "REPARTITION_BY_NUM" in dealt[0]
+
+
 def test_poisson_has_a_long_tail(spark):
     u = spark.range(20_000).select(((F.col("id") + 0.5) / 20_000).alias("u"))
     n = [r.n for r in u.select(poisson(F.col("u"), 30.0).alias("n")).collect()]
