@@ -89,13 +89,27 @@ def boundary_band(cells: DataFrame, mask: str = "mask", inner: int = 1, outer: i
     return c.withColumn(out, F.when(F.col(mask), F.least("_in", "_edge") <= inner).otherwise(F.coalesce(F.col("_out") <= outer, F.lit(False)))).drop("_not", "_in", "_out", "_edge")
 
 
+def median(cells: DataFrame, band: str = "z", size: int = 3, out: str = "median") -> DataFrame:
+    """Median of the size x size cells around a cell; beyond the border the edge cells count again. Missing cells are left out: of n
+    values the one of rank n // 2 counts, and where there is none the median is NULL."""
+    half = range(-(size // 2), size - size // 2)
+
+    def around(value: Column, w: WindowSpec) -> list[Column]:
+        first = F.first(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        last = F.last(value).over(w.rowsBetween(0, Window.unboundedFollowing))
+        # a struct or an array is NULL only beyond the border
+        return [value if k == 0 else F.coalesce(F.lag(value, -k).over(w), first) if k < 0 else F.coalesce(F.lead(value, k).over(w), last) for k in half]
+
+    c = cells.withColumn("_own", F.struct(F.col(band).alias("v")))
+    c = c.withColumn("_line", F.array(*around(F.col("_own"), wr())))
+    c = c.withColumn("_all", F.flatten(F.array(*around(F.col("_line"), wc()))))
+    there = F.array_sort(F.array_compact(F.transform("_all", lambda x: x["v"])))
+    return c.withColumn("_all", there).withColumn(out, F.get("_all", F.floor(F.size("_all") / 2).cast("int"))).drop("_own", "_line", "_all")
+
+
 def median3(cells: DataFrame, band: str = "z", out: str = "median") -> DataFrame:
-    """Median of 3 x 3 cells; at the border the edge cells count again."""
-    z = F.col(band)
-    c = cells.withColumn("_row", F.array(F.coalesce(F.lag(z).over(wr()), z), z, F.coalesce(F.lead(z).over(wr()), z)))
-    own = F.col("_row")
-    nine = F.concat(F.coalesce(F.lag(own).over(wc()), own), own, F.coalesce(F.lead(own).over(wc()), own))
-    return c.withColumn(out, F.get(F.array_sort(nine), F.lit(4))).drop("_row")
+    """Median of 3 x 3 cells."""
+    return median(cells, band, 3, out)
 
 
 def mean3(cells: DataFrame, band: str = "z", out: str = "mean") -> DataFrame:

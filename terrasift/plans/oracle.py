@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import oracle_fill
+
 _POINTS = """points as (select * from (
   select case when l_orderkey % 2 = 0 then '001' else '002' end as tile,
     cast((l_orderkey*7 + l_partkey*3 + l_linenumber*11) % 64 as double) + cast(cast(floor(l_quantity) as bigint) % 64 as double)/64 as x,
@@ -71,8 +73,6 @@ def _areas(hole: str) -> str:
 
 _GAPS = _PATCH.replace("with ", "with recursive ", 1) + ', cells as (select tile, "row", col, case when z <= 0 then z end as dem from patch)'
 _HOLES = ", flagged as (select * from cells)" + _areas("dem is null")
-_AROUND = """, flagged as (select a.tile, a."row", a.col, any_value(a.dem) as dem, any_value(a.all_density) as density, count(b.dem) as near, count(*) filter (b.all_density > 1) as supported
-    from cells a join cells b on a.tile = b.tile and b."row" between a."row" - 1 and a."row" + 1 and b.col between a.col - 1 and a.col + 1 group by 1, 2, 3)"""
 _RCELLS = _CELLS.replace("with ", "with recursive ", 1)
 
 
@@ -150,7 +150,7 @@ ORACLE_SQL = {
     "quality_status": _CELLS + "select tile, case when count(*) > count(dem) or count(*) > count(dsm) then 'FAIL' else 'OK' end as status from cells group by tile",
     "slope": f"{_PATCH}, g as (select {_K}, {_diff('z', 'wr')} as gx, {_diff('z', 'wc')} as gy from patch {_WINDOWS}) select {_K}, {_r('sqrt(gx * gx + gy * gy)', 'slope')} from g",
     "curvature": f"{_PATCH}, g as (select {_K}, {_diff('z', 'wr')} as gx, {_diff('z', 'wc')} as gy from patch {_WINDOWS}), h as (select {_K}, {_diff('gx', 'wr')} as xx, {_diff('gy', 'wc')} as yy from g {_WINDOWS}) select {_K}, {_r('xx + yy', 'curvature')} from h",
-    "openness_multi": f'{_PATCH}, o as (select a.tile, a."row", a.col, any_value(a.z) as z, ' + ", ".join(f'max(b.z) filter (abs(a."row" - b."row") <= {r} and abs(a.col - b.col) <= {r}) as hi{r}, min(b.z) filter (abs(a."row" - b."row") <= {r} and abs(a.col - b.col) <= {r}) as lo{r}' for r in (1, 3)) + f" from patch a join patch b using (tile) group by 1, 2, 3) select {_K}, {_r('z - (hi1 + lo1) / 2', 'openness_s1')}, {_r('z - (hi3 + lo3) / 2', 'openness_s2')} from o",
+    "openness_multi": f'{_PATCH}, o as (select a.tile, a."row", a.col, any_value(a.z) as z, ' + ", ".join(f'max(b.z) filter (abs(a."row" - b."row") <= {r} and abs(a.col - b.col) <= {r}) as hi{r}, min(b.z) filter (abs(a."row" - b."row") <= {r} and abs(a.col - b.col) <= {r}) as lo{r}' for r in (3, 7, 15, 31)) + f" from patch a join patch b using (tile) group by 1, 2, 3) select {_K}, " + ", ".join(_r(f'z - (hi{r} + lo{r}) / 2', f'openness_s{i}') for i, r in enumerate((3, 7, 15, 31), 1)) + " from o",
     "neighbor_count": _CELLS + 'select a.tile, a."row", a.col, count(*) filter (b.ground_density > 0) as neighbors from cells a join cells b on a.tile = b.tile and b."row" between a."row" - 1 and a."row" + 1 and b.col between a.col - 1 and a.col + 1 group by 1, 2, 3',
     "boundary_band": f"""{_PATCH}, d as (select a.tile, a."row", a.col, any_value(a.mask) as mask, min(abs(a."row" - b."row") + abs(a.col - b.col)) filter (not b.mask) as i, min(abs(a."row" - b."row") + abs(a.col - b.col)) filter (b.mask) as o from patch a join patch b using (tile) group by 1, 2, 3)
         select {_K}, case when mask then least(i, "row" + 1, col + 1, 8 - "row", 8 - col) <= 1 else o <= 2 end as boundary_band from d""",
@@ -165,11 +165,6 @@ ORACLE_SQL = {
     "label_components": _GAPS + _HOLES + "select * from areas",
     "fill_small_holes": _GAPS + _HOLES + ', v as (select tile, "row", col, dem as v from cells)' + _near("v") + f"""select c.tile, c."row", c.col, {_r('coalesce(c.dem, case when a.area <= 8 then n.v end)', 'filled')} from cells c join near n on c.tile = n.tile and c."row" = n."row" and c.col = n.col
         left join labels l on l.tile = c.tile and l.id = c."row"::bigint * 4294967296 + c.col left join areas a on a.tile = l.tile and a.label = l.label""",
-    "promote_gaps": _RCELLS + _AROUND + _areas("density <= 1 and near >= 3 and supported >= 3") + """select f.tile, f."row", f.col, density > 1 or coalesce(a.area <= 8, false) as promoted from flagged f
-        left join labels l on l.tile = f.tile and l.id = f."row"::bigint * 4294967296 + f.col left join areas a on a.tile = l.tile and a.label = l.label""",
-    "tiny_holes": _RCELLS + _AROUND + _areas("dem is null and density > 0") + """, most as (select l.tile, l.label, max(near) as most from labels l join flagged f on f.tile = l.tile and f."row"::bigint * 4294967296 + f.col = l.id group by all)
-        select f.tile, f."row", f.col, coalesce(a.area <= 8 and m.most >= 4, false) as tiny_hole from flagged f left join labels l on l.tile = f.tile and l.id = f."row"::bigint * 4294967296 + f.col
-        left join areas a on a.tile = l.tile and a.label = l.label left join most m on m.tile = l.tile and m.label = l.label""",
     "confidence_map": f"""{_PATCH}, d as (select a.tile, a."row", a.col, any_value(a.z) as z, any_value(a.mask) as mask, sqrt(min((a."row" - b."row")**2 + (a.col - b.col)**2)) as d from patch a join patch b on a.tile = b.tile and not b.mask group by 1, 2, 3),
         h as (select *, min(abs(z * 2 - z)) over (partition by tile) as lo, max(abs(z * 2 - z)) over (partition by tile) as hi from d)
         select {_K}, {_r("case when mask then least(greatest(0.5 * exp(-d / 24.0::double) + 0.35 * least(abs(z), 1) + 0.15 * (1 - coalesce((abs(z * 2 - z) - lo) / nullif(hi - lo, 0), 0)), 0), 1) else 1.0::double end", "confidence")} from h""",
@@ -247,3 +242,4 @@ ORACLE_SQL = {
         select t as tile, r as "row", c as col, {_r("avg(case when v.v is null then f.z + sqrt(gx * gx + gy * gy) * 0.0625 else v.v end)", "predicted")}, count(*) as covers
         from v join felt f on f.tile = v.tile and f."row" = v."row" and f.col = v.col group by 1, 2, 3""",
 }
+ORACLE_SQL |= oracle_fill.sql(_RCELLS, _PATCH)

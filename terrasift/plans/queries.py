@@ -140,7 +140,7 @@ def curvature(spark, sf_dir):
 
 @query
 def openness_multi(spark, sf_dir):
-    return stencil.openness(embedding_patches(spark, sf_dir), radii=(1, 3)).select(*KEY, _r("openness_s1"), _r("openness_s2"))
+    return stencil.openness(embedding_patches(spark, sf_dir), radii=(3, 7, 15, 31)).select(*KEY, *[_r(f"openness_s{i}") for i in range(1, 5)])
 
 
 @query
@@ -164,6 +164,17 @@ def median_filter(spark, sf_dir):
     return stencil.median3(embedding_patches(spark, sf_dir)).select(*KEY, _r("median"))
 
 
+def _wide_median(size: int):
+    def run(spark, sf_dir):
+        return stencil.median(_holes(spark, sf_dir), "dem", size).select(*KEY, _r("median"))
+
+    return run
+
+
+for _size in (5, 7):
+    QUERIES[f"median_filter_{_size}"] = _wide_median(_size)
+
+
 @query
 def gaussian_filter(spark, sf_dir):
     return stencil.gaussian(embedding_patches(spark, sf_dir), sigma=0.5).select(*KEY, _r("smooth"))
@@ -200,6 +211,12 @@ def idw_fill(spark, sf_dir):
     return nearest.inverse_distance(_holes(spark, sf_dir), "dem", radius=2).select(*KEY, _r("idw"))
 
 
+@query
+def search_fill(spark, sf_dir):
+    """The wide voids of the cells from the nearest cells of four quarters within 64, smoothed once."""
+    return nearest.search_fill(_cells(spark, sf_dir), "dem", 64, 1).select(*KEY, _r("filled", F.col("idw")))
+
+
 @query
 def label_components(spark, sf_dir):
     c = components.label_components(_holes(spark, sf_dir).withColumn("hole", F.col("dem").isNull()), "hole")
@@ -220,12 +237,13 @@ def promote_gaps(spark, sf_dir):
 @query
 def tiny_holes(spark, sf_dir):
     c = _cells(spark, sf_dir).withColumn("domain", F.col("all_density") > 0)
-    return fill.tiny_holes(c, "dem", "domain", least=4).select(*KEY, "tiny_hole")
+    return fill.tiny_holes(c, "dem", "domain").select(*KEY, "tiny_hole")
 
 
 @query
 def reference_dem(spark, sf_dir):
-    return fill.reference_dem(_cells(spark, sf_dir)).select(*KEY, _r("reference"), _r("confidence"), _r("repair_weight"), "low_confidence", "filled", "tiny_hole")
+    done = fill.reference_dem(_cells(spark, sf_dir), support=F.col("all_density") > 0)
+    return done.select(*KEY, _r("reference"), "valid", "support", "low_confidence", "filled", "tiny_hole", _r("repair_weight"), _r("confidence"))
 
 
 @query
