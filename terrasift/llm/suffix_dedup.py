@@ -24,8 +24,8 @@ from .cluster import discard, scratch, settled, stored, whole_groups, written
 from .text import SLICE_BYTES, mix, powers, ragged, slices, utf8
 
 LENGTH, KEY_BYTES = 200, 40
-#: Batches in which a table is added to the index; distinct runs of one suffix that one task takes.
-BATCHES, GROUP_ROWS = 2, 2048
+#: Batches in which a table is added to the index: four make one level, which the fifth is scanned against. Distinct runs of one suffix that one task takes.
+BATCHES, GROUP_ROWS = 5, 2048
 _PLACE = np.uint64((1 << 28) - 1)
 _BYTES = np.random.default_rng(5).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -124,6 +124,7 @@ def _common(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 
 
 _ENTRY = "suffix binary, r long, doc_id long, key int, start int, n int"
+_ARRAY = _ENTRY + ", lcp int, again boolean"
 _ORDER = ["suffix", "doc_id", "key", "start"]
 
 
@@ -133,7 +134,8 @@ class SuffixIndex:
     A batch comes as the sorted suffixes of each of its tasks. Together with all levels that it makes as
     large as itself, it is merged at once into the next level: their suffixes in one order, with what neighbours have in
     common, which shows all repeats among them. With larger levels it is merge-joined, and the suffixes that both
-    have are noted. Merged levels are deleted. An index that was left can be opened again at its path; a table
+    have are noted. Levels are read in their order, so each task of a merge gets sorted runs, one for each file that its range
+    lies in, and its sort only merges these. Merged levels are deleted. An index that was left can be opened again at its path; a table
     whose writing broke off doesn't count.
     """
 
@@ -145,16 +147,17 @@ class SuffixIndex:
         self.levels: list[tuple[int, int, str]] = sorted(held)
         self.notes = [name for name in written(spark, path) if name.startswith("notes-")]
 
-    def _read(self, *names: str) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.path}/{n}" for n in names])
+    def _read(self, schema: str, *names: str) -> DataFrame:
+        """Tables of the index; one without rows may have no file to tell its columns."""
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{n}" for n in names])
 
     def _merge(self, levels: list[tuple[int, int, str]]) -> tuple[int, int, str]:
         """One suffix array of several levels, which go."""
         first, last = min(x[0] for x in levels), max(x[1] for x in levels)
         name = f"level-{first}-{last}-array"
-        entries = self.spark.read.schema(_ENTRY).parquet(*[f"{self.path}/{x[2]}" for x in levels])
+        entries = self._read(_ENTRY, *[x[2] for x in levels])
         merged = entries.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER)
-        merged.mapInArrow(lambda b, k=self.key_bytes: _common(b, k), _ENTRY + ", lcp int, again boolean").write.parquet(f"{self.path}/{name}", compression="zstd")
+        merged.mapInArrow(lambda b, k=self.key_bytes: _common(b, k), _ARRAY).write.parquet(f"{self.path}/{name}", compression="zstd")
         for x in levels:
             discard(self.spark, f"{self.path}/{x[2]}")
         return first, last, name
@@ -171,21 +174,25 @@ class SuffixIndex:
             like.append(self.levels.pop())
             count *= 2
         if self.levels:
-            suffixes = self._read(batch[2]).select("suffix").distinct()
-            both = [suffixes.join(self._read(x[2]).select("suffix"), "suffix", "left_semi") for x in self.levels]
+            suffixes = self._read("suffix binary", batch[2]).distinct()
+            both = [suffixes.join(self._read("suffix binary", x[2]), "suffix", "left_semi") for x in self.levels]
             functools.reduce(DataFrame.union, both).distinct().write.parquet(f"{self.path}/notes-{n}")
             self.notes.append(f"notes-{n}")
         self.levels.append(self._merge(like) if len(like) > 1 else batch)
 
+    def noted(self) -> DataFrame:
+        """The suffixes that scans of batches found in larger levels."""
+        return self._read("suffix binary", *self.notes).distinct()
+
     def repeated(self) -> DataFrame:
         """All entries whose suffix may occur more than once: all that do, and the ends of partitions."""
         self.levels = [self._merge([x]) if x[2].endswith("runs") else x for x in self.levels]
         if not self.levels:
             return self.spark.createDataFrame([], _ENTRY)
-        entries = self._read(*[x[2] for x in self.levels])
+        entries = self._read(_ARRAY, *[x[2] for x in self.levels])
         found = entries.where("again")
         if self.notes:
-            found = found.unionByName(entries.where("not again").join(self._read(*self.notes).distinct(), "suffix", "left_semi"))
+            found = found.unionByName(entries.where("not again").join(self.noted(), "suffix", "left_semi"))
         return found.drop("lcp", "again")
 
 

@@ -144,6 +144,33 @@ def _text_batch(texts):
     return [pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int32()), pa.array(texts)], ["doc_id", "key", "text"])]
 
 
+def test_suffix_dedup_scans_its_levels(spark, monkeypatch):
+    """The operator itself: five batches leave a level of four and one of one, and repeats between both come from the notes of the scan."""
+    made = []
+
+    class Seen(suffix_dedup.SuffixIndex):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+        def repeated(self):
+            self.before = [(x[0], x[1]) for x in self.levels]
+            self.found = self.noted().count() if self.notes else 0
+            return super().repeated()
+
+    monkeypatch.setattr(suffix_dedup, "SuffixIndex", Seen)
+    rows = corpus(4, 80)
+    got = {r.doc_id: (r.n_removed, r.kept) for r in suffix_dedup.suffix_dedup(frame(spark, rows), length=60, key_bytes=20, texts=True).collect()}
+    index = made[0]
+    assert index.before == [(0, 3), (4, 4)] and len(index.notes) == 2 and index.found > 0
+    for i, t, _ in rows:
+        assert got[i][0] == len((t or "").encode()) - len(got[i][1])
+    # without the scan, what only the last batch repeats would be missed
+    monkeypatch.setattr(Seen, "noted", lambda self: spark.createDataFrame([], "suffix binary"))
+    less = suffix_dedup.suffix_dedup(frame(spark, rows), length=60, key_bytes=20).agg(F.sum("n_removed")).first()[0]
+    assert less < sum(n for n, _ in got.values())
+
+
 def test_suffix_index_is_kept_and_grows(spark):
     """Batches added in several calls, the index opened again between them; arrays in the order of the suffixes."""
     rows = corpus(11, 70)
