@@ -104,9 +104,11 @@ def differences(pairs: DataFrame, name: str = "sketches") -> DataFrame:
     and pairs that fail get fewer with each round; a table of them is written for each.
     """
     spark, sums, used = pairs.sparkSession, [], []
+    # few bytes, much work: dealt to a number of tasks of its own, not to as few as the bytes would take
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     todo = pairs.withColumn("level", F.lit(0))
     while True:
-        level = F.col("level")
+        level, todo = F.col("level"), todo.repartition(tasks, "row", "side")
         rest = subtract(sketch(F.col("a"), level), sketch(F.col("b"), level))
         used.append(scratch(spark, name))
         tried = stored(todo.withColumn("p", peel(rest, level)).select("row", "side", "level", "p", F.when(~F.col("p.done"), F.col("a")).alias("a"), F.when(~F.col("p.done"), F.col("b")).alias("b")), used[-1])
