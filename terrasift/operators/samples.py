@@ -105,12 +105,12 @@ def band_table(cells: DataFrame, bands: list[str]) -> DataFrame:
     return cells.select(*KEY, *[F.col(b).cast("double").alias(b) for b in bands]).unpivot(KEY, bands, "band", "value")
 
 
-def tin_surface(points: DataFrame, grids: DataFrame, cells: DataFrame, max_edge: float = 20.0, hole_area: int = 32, distance: float = 48.0, smoothing: int = 1, block: int = 32) -> DataFrame:
+def tin_surface(points: DataFrame, grids: DataFrame, cells: DataFrame, max_edge: float = 20.0, hole_area: int = 32, distance: float = 48.0, smoothing: int = 1) -> DataFrame:
     """The reference surface by triangles: their heights, small holes from the nearest cell, what is left by inverse distance.
 
     Adds tin, reference, valid (observed), support, confidence (1 observed, 0.7 under a triangle, else 0) and repair_weight (1 where no triangle is).
     """
-    c = cells.join(tin(points, grids, max_edge, block).select(*KEY, F.col("z").alias("tin")), KEY, "left")
+    c = cells.join(tin(points, grids, max_edge).select(*KEY, F.col("z").alias("tin")), KEY, "left")
     c = fill_small_holes(settled(c), "tin", hole_area, "_some")
     c = interpolate(c, "_some", "idw", radius=distance, out="reference", smoothing=smoothing).drop("_some")
     observed, covered = F.col("dem").isNotNull(), F.col("tin").isNotNull()

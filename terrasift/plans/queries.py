@@ -523,14 +523,14 @@ def predict_tiles(spark, sf_dir):
 def tin_surface(spark, sf_dir):
     c, g = _cells(spark, sf_dir), _grids(spark, sf_dir)
     p = lineitem_points(spark, sf_dir).where("cls = 2")
-    done = samples.tin_surface(p, g, c, max_edge=6.0, distance=12, block=16)
+    done = samples.tin_surface(p, g, c)
     return done.select(*KEY, _r("tin"), _r("reference"), "valid", "support", "confidence", "repair_weight")
 
 
 @query
 def tin_dem(spark, sf_dir):
     p = lineitem_points(spark, sf_dir).where("cls = 2")
-    return tin.tin(p, _grids(spark, sf_dir), max_edge=6.0, block=16).select(*KEY, _r("z"), "certified")
+    return tin.tin(p, _grids(spark, sf_dir)).select(*KEY, _r("z"))
 
 
 @query

@@ -96,10 +96,9 @@ def test_tin_is_exact_on_a_plane_over_blocks(spark):
     rng = np.random.default_rng(3)
     p = [("t", float(x), float(y), float(2 * x - y)) for x, y in rng.random((900, 2)) * 40]
     g = spark.createDataFrame([("t", 0.0, 40.0, 41, 41)], "tile string, center_min_x double, center_max_y double, width int, height int")
-    got = tin.tin(spark.createDataFrame(p, "tile string, x double, y double, z double"), g, max_edge=8.0, block=16).collect()
+    got = tin.tin(spark.createDataFrame(p, "tile string, x double, y double, z double"), g, max_edge=8.0, most_points=200).collect()
     assert len(got) > 1300 and len({(x.row, x.col) for x in got}) == len(got)
     assert max(abs(x.z - (2 * x.col - (40 - x.row))) for x in got) < 1e-6
-    assert sum(x.certified for x in got) > 0.9 * len(got)
 
 
 def test_repair_leaves_other_cells(spark):

@@ -139,7 +139,7 @@ def test_tin_surface_on_a_plane(spark):
     p = spark.createDataFrame([("a", float(x), float(y), float(2 * x - y), 2) for x, y in xy], "tile string, x double, y double, z double, cls int")
     g = grid.grid_specs(grid.tile_headers(p))
     c = grid.rasterize(p, g, "z", "mean").withColumnRenamed("v", "dem").withColumn("all_density", F.when(F.col("dem").isNotNull(), 1.0).otherwise(0.0))
-    got = samples.tin_surface(p, g, c, max_edge=4.0, hole_area=2, distance=12, block=8).collect()
+    got = samples.tin_surface(p, g, c, max_edge=4.0, hole_area=2, distance=12).collect()
     assert len(got) == c.count() and all(r.reference is not None for r in got)
     assert {r.confidence for r in got} <= {1.0, 0.7, 0.0} and any(r.tin is None for r in got)
     west, north = g.select("center_min_x", "center_max_y").first()
@@ -149,26 +149,6 @@ def test_tin_surface_on_a_plane(spark):
         assert r.repair_weight == (0.0 if r.tin is not None else 1.0)
 
 
-def test_tin_heights_equal_one_triangulation(spark):
-    rng = np.random.default_rng(9)
-    xy, z = rng.uniform(0, 24, (400, 2)), rng.uniform(0, 9, 400)
-    p = spark.createDataFrame([("a", float(x), float(y), float(h)) for (x, y), h in zip(xy, z, strict=True)], "tile string, x double, y double, z double")
-    g = grid.grid_specs(grid.tile_headers(p))
-    west, north = g.select("center_min_x", "center_max_y").first()
-    got = {(r.row, r.col): r for r in tin.tin(p, g, max_edge=6.0, block=8).collect()}
-    triangles = tin.delaunay(xy)
-    seen = 0
-    for (row, col), r in got.items():
-        at = np.array([west + col, north - row])
-        for t in triangles:
-            a, b, c = xy[t]
-            w = np.linalg.solve(np.column_stack([b - a, c - a]), at - a)
-            if r.certified and (w > 1e-6).all() and w.sum() < 1 - 1e-6:
-                assert r.z == pytest.approx(z[t[0]] + w @ (z[t[1:]] - z[t[0]]), abs=1e-6)
-                seen += 1
-    assert seen > 300
-
-
 def test_tin_on_a_lattice_and_a_line():
     """Four points of each square lie on one circle, and points on a line make no triangle: no overlap, nothing left out."""
     xy = np.array([(x, y) for x in range(7) for y in range(5)], float)
@@ -178,13 +158,6 @@ def test_tin_on_a_lattice_and_a_line():
     assert len(tin.delaunay(line)) == 0
 
 
-def test_tin_deals_blocks_out_once(spark):
-    p = spark.createDataFrame([("a", 0.5, 0.5, 1.0), ("a", 3.5, 2.5, 1.0)], "tile string, x double, y double, z double")
-    plan = tin.tin(p, grid.grid_specs(grid.tile_headers(p)))._jdf.queryExecution().executedPlan().toString()
-    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "br#" in line]
-    assert len(dealt) == 1 and "REPARTITION_BY_NUM" in dealt[0]
-
-
 def test_poisson_has_a_long_tail(spark):
     u = spark.range(20_000).select(((F.col("id") + 0.5) / 20_000).alias("u"))
     n = [r.n for r in u.select(poisson(F.col("u"), 30.0).alias("n")).collect()]
