@@ -243,3 +243,9 @@ ORACLE_SQL = {
         from v join felt f on f.tile = v.tile and f."row" = v."row" and f.col = v.col group by 1, 2, 3""",
 }
 ORACLE_SQL |= oracle_fill.sql(_RCELLS, _PATCH)
+ORACLE_SQL["stream_las_cells"] = ORACLE_SQL["stream_cell_stats"]
+ORACLE_SQL["las_headers"] = "with " + _POINTS + """ select tile, count(*) as point_count, min(x) as min_x, min(y) as min_y, min(z) as min_z,
+    max(x) as max_x, max(y) as max_y, max(z) as max_z from points group by tile"""
+ORACLE_SQL["las_round_trip"] = "with " + _POINTS + """ select tile, cls, count(*) as n, sum(x) as sum_x, sum(y) as sum_y, sum(z) as sum_z,
+    cast(sum(intensity) as bigint) as sum_intensity, cast(sum(return_num) as bigint) as sum_return_num, cast(sum(num_returns) as bigint) as sum_num_returns
+    from points group by tile, cls"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fx
 from ..operators import components, fill, grid, metrics, nearest, normalize, quality, repair, samples, stencil, tin, voids, windows
-from ..sources import tables
+from ..sources import las, tables
 from ..sources.views import embedding_patches, lineitem_points
 from ..streaming import cells as stream
 
@@ -542,6 +542,38 @@ def repair_regression(spark, sf_dir):
     return repair.repair(p, [r, r * 0.5]).select(*KEY, _r("stage1"), _r("stage2"), "mask")
 
 
+@query
+def las_headers(spark, sf_dir):
+    """The points written as LAS files and the headers read back, without reading points; coordinates in 64ths stay exact."""
+    path = f"{components.shared_dir(spark)}/las-{uuid.uuid4().hex}"
+    heads = las.write_las(lineitem_points(spark, sf_dir), path, file_points=20_000, scale=1 / 64)
+    ends = [F.min(f"min_{c}").alias(f"min_{c}") for c in "xyz"] + [F.max(f"max_{c}").alias(f"max_{c}") for c in "xyz"]
+    return heads.groupBy("tile").agg(F.sum("point_count").alias("point_count"), *ends)
+
+
+@query
+def las_round_trip(spark, sf_dir):
+    """The points written as LAS files and read back in ranges of records."""
+    path = f"{components.shared_dir(spark)}/las-{uuid.uuid4().hex}"
+    las.write_las(lineitem_points(spark, sf_dir), path, file_points=20_000, scale=1 / 64)
+    read = spark.read.format("las").option("chunk_size", 5000).load(path)
+    sums = [F.sum(c).cast("long" if c not in "xyz" else "double").alias(f"sum_{c}") for c in ("x", "y", "z", "intensity", "return_num", "num_returns")]
+    return read.groupBy("tile", "cls").agg(F.count("*").alias("n"), *sums)
+
+
+@query
+def stream_las_cells(spark, sf_dir):
+    """LAS files that arrive in two rounds; between these the stream is stopped and starts again where it was."""
+    path = f"{components.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    points, grids = lineitem_points(spark, sf_dir).where("cls in (2, 5, 6)"), _grids(spark, sf_dir)
+    for part in ("intensity < 30000", "intensity >= 30000"):
+        las.write_las(points.where(part), f"{path}/las", file_points=20_000, scale=1 / 64)
+        arriving = stream.las_stream(spark, f"{path}/las", chunk_size="5000", records_per_batch="30000")
+        stream.stream_cells(arriving, grids, f"{path}/partials", f"{path}/checkpoint").awaitTermination()
+    done = stream.merged_cells(spark.read.parquet(f"{path}/partials"))
+    return done.select(*KEY, "n", "n_ground", _r("dem"), "dsm")
+
+
 @query
 def stream_cell_stats(spark, sf_dir):
     """The points as a stream of files; the windowed return count isn't needed for these bands."""

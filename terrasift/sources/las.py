@@ -1,28 +1,39 @@
-"""LAS 1.2 point files (formats 0 to 3) as a Python data source, and point files written by tasks.
+"""LAS 1.2 point files (formats 0 to 3) as a Python data source: batch and stream reader, and writer.
 
 spark.read.format("las").load(path) reads ranges of records, so that one file is shared out over
-tasks; option headers=true gives one row per file without reading points. Compressed files (.laz)
-are refused.
+tasks; option headers=true gives one row per file without reading points. spark.readStream.format("las") takes files in
+the order in which they arrive, with offsets of a file and a record. df.write.format("las").mode("append").save(path)
+writes files that are listed only once all tasks are done. Compressed files (.laz) are refused.
+
+Options: chunk_size (records of a task), pattern (names of files, with commas between them), recursive, records_per_batch
+(of a stream, from its second batch on); scale and file_points for writing.
 """
 
 from __future__ import annotations
 
+import fnmatch
+import re
 import struct
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 SCHEMA = "tile string, x double, y double, z double, intensity int, return_num int, num_returns int, cls int"
-HEADERS = "tile string, point_count long, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double"
+HEADERS = "tile string, point_count long, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double, crs string"
 #: Bytes of a record of each point format; the first 20 bytes are alike in all. Fixed by the public LAS 1.2 specification.
 RECORD_BYTES = {0: 20, 1: 28, 2: 26, 3: 34}
 _HEAD = struct.Struct("<4sHH16sBB32s32sHHHIIBHI5I3d3d6d")
+#: A variable-length record: reserved, user, kind, bytes that follow its description of 32 bytes. Kinds, geo keys and the code for "user-defined", fixed by the public specifications of LAS and GeoTIFF.
+_RECORD = struct.Struct("<H16sHH")
+_WKT, _GEO_KEYS = 2112, 34735
+_CODE_KEYS, _OWN = (3072, 2048), 32767
 _POINT = [("xyz", "<i4", 3), ("intensity", "<u2"), ("flags", "u1"), ("cls", "u1"), ("angle", "i1"), ("user", "u1"), ("source", "<u2")]
 
 
@@ -30,14 +41,24 @@ def _open(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
 
 
-def _files(path: str) -> list[str]:
+def _infos(path: str, pattern: str = "*.las,*.laz", recursive: bool = False) -> list[pa.fs.FileInfo]:
+    """The files below path whose names fit one of the patterns, whatever their case; each once."""
     fs, inner = _open(path)
     info = fs.get_file_info(inner)
     if info.is_file:
-        return [path]
-    found = [f.path for f in fs.get_file_info(pa.fs.FileSelector(inner)) if f.is_file and f.extension.lower() in ("las", "laz")]
-    scheme = path.partition("://")[0] + "://" if "://" in path else ""
-    return [scheme + f for f in sorted(found)]
+        return [info]
+    fits = [re.compile(fnmatch.translate(x.strip().lower())).match for x in pattern.split(",")]
+    found = fs.get_file_info(pa.fs.FileSelector(inner, recursive=recursive, allow_not_found=True))
+    hidden = lambda f: any(x.startswith(("_", ".")) for x in f.path[len(inner) :].strip("/").split("/"))
+    return [f for f in found if f.is_file and not hidden(f) and any(fit(f.base_name.lower()) for fit in fits)]
+
+
+def _uri(path: str, inner: str) -> str:
+    return path.partition("://")[0] + "://" + inner if "://" in path else inner
+
+
+def _files(path: str, pattern: str = "*.las,*.laz", recursive: bool = False) -> list[str]:
+    return [_uri(path, f) for f in sorted(i.path for i in _infos(path, pattern, recursive))]
 
 
 def read_header(path: str) -> dict:
@@ -46,15 +67,43 @@ def read_header(path: str) -> dict:
         raise ValueError(f"{path}: compressed points need a LAZ codec")
     fs, inner = _open(path)
     with fs.open_input_file(inner) as f:
-        h = _HEAD.unpack(f.read_at(_HEAD.size, 0))
-    if h[0] != b"LASF" or h[13] not in RECORD_BYTES:
-        raise ValueError(f"{path}: not a LAS file of point format 0 to 3")
+        raw = f.read_at(_HEAD.size, 0)
+        h = _HEAD.unpack(raw) if len(raw) == _HEAD.size else (b"",) * 33
+        if h[0] != b"LASF" or h[13] not in RECORD_BYTES:
+            raise ValueError(f"{path}: not a LAS file of point format 0 to 3")
+        about = f.read_at(h[11] - h[10], h[10])
     x1, x0, y1, y0, z1, z0 = h[27:33]
-    return {"start": h[11], "bytes": h[14], "count": h[15], "scale": h[21:24], "offset": h[24:27], "min": (x0, y0, z0), "max": (x1, y1, z1)}
+    return {"crs": coordinate_system(about, h[12]), "start": h[11], "bytes": h[14], "count": h[15], "scale": h[21:24], "offset": h[24:27], "min": (x0, y0, z0), "max": (x1, y1, z1)}
+
+
+def coordinate_system(records: bytes, count: int) -> str | None:
+    """The coordinate system that the variable-length records between header and points name: the text of a WKT record, or the EPSG
+    code of the projected, else the geographic system of the geo keys. None if there is none, or if records are broken."""
+    wkt, codes, at = None, {}, 0
+    try:
+        for _ in range(count):
+            _, user, kind, size = _RECORD.unpack_from(records, at)
+            body = records[at + _RECORD.size + 32 :][:size]
+            if len(body) < size:
+                return None
+            at += _RECORD.size + 32 + size
+            if user.rstrip(b"\0") != b"LASF_Projection":
+                continue
+            if kind == _WKT:
+                wkt = body.rstrip(b"\0").decode()
+            elif kind == _GEO_KEYS:
+                n = struct.unpack_from("<4H", body)[3]
+                keys = np.frombuffer(body, "<u2", 4 * n, 8).reshape(n, 4).tolist()
+                codes |= {key: value for key, where, length, value in keys if where == 0 and length == 1}
+    except (struct.error, ValueError):  # UnicodeDecodeError is a ValueError
+        return None
+    code = next((codes[k] for k in _CODE_KEYS if codes.get(k, _OWN) != _OWN), None)
+    return wkt or (f"EPSG:{code}" if code else None)
 
 
 def _tile(path: str) -> str:
-    return path.rpartition("/")[2].rpartition(".")[0]
+    """The name of a file without its end, and without what the writer adds to keep files apart."""
+    return re.sub(r"__[0-9a-f]{32}$", "", path.rpartition("/")[2].rpartition(".")[0])
 
 
 class _Range(InputPartition):
@@ -62,21 +111,23 @@ class _Range(InputPartition):
         self.path, self.first, self.n = path, first, n
 
 
-class _Reader(DataSourceReader):
+def _ranges(path: str, first: int, end: int, chunk: int) -> list[_Range]:
+    return [_Range(path, a, min(chunk, end - a)) for a in range(first, end, chunk)]
+
+
+class _Points:
+    """What batch and stream reader have in common."""
+
     def __init__(self, options: dict):
         self.path, self.chunk = options["path"], max(1, int(options.get("chunk_size", 1_000_000)))
+        self.listing = options.get("pattern", "*.las,*.laz"), str(options.get("recursive", "false")).lower() == "true"
         self.headers = str(options.get("headers", "false")).lower() == "true"
-
-    def partitions(self) -> list[_Range]:
-        files = _files(self.path)
-        if self.headers:
-            return [_Range(f, 0, 0) for f in files]
-        return [_Range(f, a, min(self.chunk, n - a)) for f in files for n in [read_header(f)["count"]] for a in range(0, n, self.chunk)]
+        self.most = int(options.get("records_per_batch", 0))
 
     def read(self, part: _Range) -> Iterator:
         h, tile = read_header(part.path), _tile(part.path)
         if self.headers:
-            yield (tile, h["count"], *h["min"], *h["max"])
+            yield (tile, h["count"], *h["min"], *h["max"], h["crs"])
             return
         fs, inner = _open(part.path)
         with fs.open_input_file(inner) as f:
@@ -89,6 +140,127 @@ class _Reader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays(cols, ["tile", "x", "y", "z", "intensity", "return_num", "num_returns", "cls"])
 
 
+class _Reader(_Points, DataSourceReader):
+    def partitions(self) -> list[_Range]:
+        files = _files(self.path, *self.listing)
+        if self.headers:
+            return [_Range(f, 0, 0) for f in files]
+        return [x for f in files for x in _ranges(f, 0, read_header(f)["count"], self.chunk)]
+
+
+class _Stream(_Points, DataSourceStreamReader):
+    """Files in the order of their times, then names. An offset names a file and how many of its records are read, so it stays small
+    however many files there were; all before it are read. A file has to be complete when it appears (as the writer's are), and not
+    to be older than those that were read."""
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.at: dict | None = None  # where the last planned batch ends; Spark doesn't tell before it asks for the first end
+
+    def initialOffset(self) -> dict:
+        return {"time": 0, "file": "", "record": 0}
+
+    def _after(self, offset: dict) -> list[tuple[int, str]]:
+        """(time, file) from that of the offset on."""
+        found = sorted((f.mtime_ns, _uri(self.path, f.path)) for f in _infos(self.path, *self.listing))
+        return [x for x in found if x >= (offset["time"], offset["file"])]
+
+    def latestOffset(self) -> dict:
+        """As far as records_per_batch allows; without a limit, and in the first batch after a start, all that is there."""
+        begin = self.at or self.initialOffset()
+        files = self._after(begin)
+        if self.at is None or not self.most:
+            return {"time": files[-1][0], "file": files[-1][1], "record": read_header(files[-1][1])["count"]} if files else begin
+        end, left = begin, self.most
+        for time, file in files:
+            count = read_header(file)["count"]
+            first = begin["record"] if (time, file) == (begin["time"], begin["file"]) else 0
+            end = {"time": time, "file": file, "record": min(count, first + left)}
+            left -= end["record"] - first
+            if left <= 0:
+                break
+        return end
+
+    def partitions(self, start: dict, end: dict) -> list[_Range]:
+        self.at = end
+        out = []
+        for time, file in self._after(start):
+            if (time, file) > (end["time"], end["file"]):
+                break
+            last = end["record"] if (time, file) == (end["time"], end["file"]) else read_header(file)["count"]
+            out += _ranges(file, start["record"] if (time, file) == (start["time"], start["file"]) else 0, last, self.chunk)
+        return out
+
+    def commit(self, end: dict) -> None:
+        """Files stay where they are."""
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    files: list[str]
+
+
+class _Writer(DataSourceArrowWriter):
+    """Tasks write to a folder that no listing shows; the driver moves the files of those that count once all are done. What a lost or
+    repeated task leaves goes with that folder, and so does all of a job that fails."""
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
+        self.scale, self.most = float(options.get("scale", 0.001)), max(1, int(options.get("file_points", 1_000_000)))
+        self.staging = f"{self.path}/_staging-{uuid.uuid4().hex}"
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
+        held: dict[str, list[np.ndarray]] = {}
+        sizes: dict[str, int] = {}
+        written: list[str] = []
+
+        def flush(tile: str) -> None:
+            rows = np.concatenate(held.pop(tile))
+            del sizes[tile]
+            for lo in range(0, len(rows), self.most):
+                part = rows[lo : lo + self.most]
+                name = f"{tile}__{uuid.uuid4().hex}.las"
+                fs, inner = _open(f"{self.staging}/{name}")
+                fs.create_dir(inner.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(inner) as f:
+                    f.write(las_bytes(part[:, :3], *(part[:, k].astype(np.int64) for k in (3, 4, 5, 6)), scale=self.scale))
+                written.append(name)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            given = dict(zip(b.schema.names, b.columns, strict=True))
+            column = lambda c, default: given[c].to_numpy(zero_copy_only=False).astype(float) if c in given else np.full(b.num_rows, default)  # noqa: B023, E731
+            rows = np.column_stack([column(c, d) for c, d in (("x", 0), ("y", 0), ("z", 0), ("intensity", 0), ("return_num", 1), ("num_returns", 1), ("cls", 2))])
+            tiles = np.array([str(t) for t in given["tile"].to_pylist()], object)
+            for t in dict.fromkeys(tiles):
+                held.setdefault(t, []).append(rows[tiles == t])
+                sizes[t] = sizes.get(t, 0) + len(held[t][-1])
+            while sizes and sum(sizes.values()) >= 2 * self.most:
+                flush(max(sizes, key=sizes.get))
+        for t in list(held):
+            flush(t)
+        return _Written(written)
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        old = _files(self.path) if self.overwrite else []
+        for name in (n for m in messages if m for n in m.files):
+            fs, inner = _open(f"{self.staging}/{name}")
+            fs.move(inner, _open(f"{self.path}/{name}")[1])
+        for file in old:
+            fs, inner = _open(file)
+            fs.delete_file(inner)
+        self._clear()
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        fs, inner = _open(self.staging)
+        if fs.get_file_info(inner).type == pa.fs.FileType.Directory:
+            fs.delete_dir(inner)
+
+
 class LasSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -100,6 +272,15 @@ class LasSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _Stream(self.options)
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        missing = {"tile", "x", "y", "z"} - {f.name for f in schema.fields}
+        if missing:
+            raise ValueError(f"missing columns: {', '.join(sorted(missing))}")
+        return _Writer(self.options, overwrite)
+
 
 def las_bytes(xyz: np.ndarray, intensity=0, returns=1, returned=1, cls=2, scale: float = 0.001) -> bytes:
     """One file of point format 0: coordinates are rounded to the scale, offsets are the minima."""
@@ -112,36 +293,13 @@ def las_bytes(xyz: np.ndarray, intensity=0, returns=1, returned=1, cls=2, scale:
     return _HEAD.pack(b"LASF", 0, 0, b"", 1, 2, b"", b"terrasift", 1, 2026, _HEAD.size, _HEAD.size, 0, 0, 20, n, n, 0, 0, 0, 0, scale, scale, scale, *low, *bounds) + p.tobytes()
 
 
-def write_las(points: DataFrame, path: str, file_points: int = 1_000_000) -> DataFrame:
-    """Writes (tile, x, y, z) as LAS files of bounded size below path; returns the list (tile, file, n) of those that count.
-
-    A task's files have names of their own, so what a lost task leaves is in no list.
-    """
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {}
-
-        def flush(tile: str) -> pa.RecordBatch:
-            xyz = np.concatenate(held.pop(tile))
-            name = f"{tile}-{uuid.uuid4().hex}.las"
-            fs, inner = _open(f"{path}/{name}")
-            fs.create_dir(inner.rpartition("/")[0], recursive=True)
-            with fs.open_output_stream(inner) as f:
-                f.write(las_bytes(xyz))
-            return pa.RecordBatch.from_arrays([pa.array([tile]), pa.array([name]), pa.array([len(xyz)], pa.int64())], ["tile", "file", "n"])
-
-        for b in batches:
-            tiles, xyz = np.array(b["tile"].to_pylist(), object), np.column_stack([b[c].to_numpy() for c in "xyz"])
-            for t in dict.fromkeys(tiles):
-                for other in [x for x in held if x != t]:  # rows are sorted by tile
-                    yield flush(other)
-                held.setdefault(t, []).append(xyz[tiles == t])
-                if sum(map(len, held[t])) >= file_points:
-                    yield flush(t)
-        for t in list(held):
-            yield flush(t)
-
-    pieces = points.select("tile", *[F.col(c).cast("double").alias(c) for c in "xyz"]).repartition("tile", F.floor(F.col("x") / 256), F.floor(F.col("y") / 256)).sortWithinPartitions("tile")
-    written = pieces.mapInArrow(write, "tile string, file string, n long")
-    written.write.mode("errorifexists").parquet(f"{path}/list")
-    return points.sparkSession.read.parquet(f"{path}/list")
+def write_las(points: DataFrame, path: str, file_points: int = 1_000_000, scale: float = 0.001, mode: str = "append") -> DataFrame:
+    """Writes (tile, x, y, z, and intensity, return_num, num_returns, cls if they are there) as LAS files of bounded size below path; returns
+    the headers of all files there. mode: append, or overwrite, which removes the files there once the new ones are in place."""
+    spark = points.sparkSession
+    spark.dataSource.register(LasSource)
+    more = [c for c in ("intensity", "return_num", "num_returns", "cls") if c in points.columns]
+    rows = points.select(F.col("tile").cast("string").alias("tile"), *[F.col(c).cast("double").alias(c) for c in "xyz"], *[F.col(c).cast("int").alias(c) for c in more])
+    dealt = rows.repartition("tile", F.floor(F.col("x") / 256), F.floor(F.col("y") / 256))
+    dealt.write.format("las").option("file_points", file_points).option("scale", scale).mode(mode).save(path)
+    return spark.read.format("las").option("headers", "true").load(path)

@@ -9,15 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import settled
 from ..operators.grid import GROUND, KEY, to_cells
+from ..sources.las import LasSource
 
 
 def partial_cells(points: DataFrame, grids: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """Sums of one batch; grids is a table that is computed already."""
     g = F.col("cls") == GROUND
-    return to_cells(points, grids, resolution).groupBy(*KEY).agg(F.count("*").alias("n"), F.count_if(g).alias("n_ground"), F.sum(F.when(g, F.col("z"))).alias("sum_ground"), F.max("z").alias("dsm"))
+    return to_cells(points, grids, resolution, computed=True).groupBy(*KEY).agg(F.count("*").alias("n"), F.count_if(g).alias("n_ground"), F.sum(F.when(g, F.col("z"))).alias("sum_ground"), F.max("z").alias("dsm"))
 
 
 def merged_cells(partials: DataFrame) -> DataFrame:
@@ -28,12 +31,20 @@ def merged_cells(partials: DataFrame) -> DataFrame:
 def stream_cells(points: DataFrame, grids: DataFrame, out: str, checkpoint: str, resolution: float = 1.0, trigger: dict | None = None):
     """Starts the stream; out has one partial table per batch."""
 
+    specs = settled(grids)  # computed once, not again by each batch
+
     def save(batch: DataFrame, batch_id: int) -> None:
-        partial_cells(batch, grids, resolution).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        partial_cells(batch, specs, resolution).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return points.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def las_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """Points of LAS files as a stream, in the order in which the files arrive."""
+    spark.dataSource.register(LasSource)
+    return spark.readStream.format("las").options(**options).load(path)
+
+
 def stream_and_merge(points: DataFrame, grids: DataFrame, path: str, done: Callable[[DataFrame], DataFrame] = merged_cells, resolution: float = 1.0) -> DataFrame:
     """Runs over all files there are and returns the merged cells."""
     stream_cells(points, grids, f"{path}/partials", f"{path}/checkpoint", resolution).awaitTermination()

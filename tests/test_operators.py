@@ -119,7 +119,7 @@ def test_las_round_trip(spark, tmp_path):
     head = spark.read.format("las").option("headers", "true").load(str(tmp_path)).collect()
     assert head[0].tile == "a" and head[0].point_count == 5000
     points = spark.createDataFrame([("t", float(x), float(y), float(z)) for x, y, z in xyz[:50]], "tile string, x double, y double, z double")
-    assert sum(r.n for r in write_las(points, f"file://{tmp_path}/out").collect()) == 50
+    assert sum(r.point_count for r in write_las(points, f"file://{tmp_path}/out").collect()) == 50
     assert spark.read.format("las").load(f"file://{tmp_path}/out").count() == 50
 
 
