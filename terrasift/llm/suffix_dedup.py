@@ -133,7 +133,7 @@ class SuffixIndex:
 
     A batch comes as the sorted suffixes of each of its tasks. Together with all levels that it makes as
     large as itself, it is merged at once into the next level: their suffixes in one order, with what neighbours have in
-    common, which shows all repeats among them. With larger levels it is merge-joined, and the suffixes that both
+    common, which shows all repeats among them. With larger levels it is merge-joined by hashes of suffixes, and those that both
     have are noted. Levels are read in their order, so each task of a merge gets sorted runs, one for each file that its range
     lies in, and its sort only merges these. Merged levels are deleted. An index that was left can be opened again at its path; a table
     whose writing broke off doesn't count.
@@ -174,15 +174,19 @@ class SuffixIndex:
             like.append(self.levels.pop())
             count *= 2
         if self.levels:
-            suffixes = self._read("suffix binary", batch[2]).distinct()
-            both = [suffixes.join(self._read("suffix binary", x[2]), "suffix", "left_semi") for x in self.levels]
+            suffixes = self._hashes(batch[2]).distinct()
+            both = [suffixes.join(self._hashes(x[2]), "s", "left_semi") for x in self.levels]
             functools.reduce(DataFrame.union, both).distinct().write.parquet(f"{self.path}/notes-{n}")
             self.notes.append(f"notes-{n}")
         self.levels.append(self._merge(like) if len(like) > 1 else batch)
 
     def noted(self) -> DataFrame:
-        """The suffixes that scans of batches found in larger levels."""
-        return self._read("suffix binary", *self.notes).distinct()
+        """Hashes (s) of the suffixes that scans of batches found in larger levels."""
+        return self._read("s long", *self.notes).distinct()
+
+    def _hashes(self, level: str) -> DataFrame:
+        """The suffixes of a level as 64 bits, a fifth of their bytes: equal hashes of others only add candidates, whose bytes are compared later."""
+        return self._read("suffix binary", level).select(F.xxhash64("suffix").alias("s"))
 
     def repeated(self) -> DataFrame:
         """All entries whose suffix may occur more than once: all that do, and the ends of partitions."""
@@ -192,7 +196,7 @@ class SuffixIndex:
         entries = self._read(_ARRAY, *[x[2] for x in self.levels])
         found = entries.where("again")
         if self.notes:
-            found = found.unionByName(entries.where("not again").join(self.noted(), "suffix", "left_semi"))
+            found = found.unionByName(entries.where("not again").withColumn("s", F.xxhash64("suffix")).join(self.noted(), "s", "left_semi").drop("s"))
         return found.drop("lcp", "again")
 
 
