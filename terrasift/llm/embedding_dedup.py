@@ -1,9 +1,9 @@
 """Embedding near-dedup by spherical-cap filters.
 
 1. Each distinct vector is decoded to all filters that it passes, by two product codes with rotations of their own.
-2. Filters are joined on ids and sketches: half of the turned parts of a vector, a byte each. A sketch never
-   makes two vectors seem farther apart than they are by more than a known error, so vectors of one filter
-   that can reach the wanted cosine are put into one candidate group.
+2. Filters are joined on ids and sketches: the parts of a vector, a byte each. A sketch tells the distance of two vectors but for
+   a known small error, so vectors of one filter are connected only if they reach the wanted cosine or nearly so, and
+   a candidate group is little more than what links connect. A dense topic without links makes no group.
 3. Vectors go once to their group (a large one to pairs of blocks), where all pairs are verified in double precision.
 
 A filter with many vectors is dealt to blocks. There, leaders stand for all within a radius of them; only the leaders
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,8 @@ from .cluster import block_pairs, connected_components, roots, settled, whole_gr
 COSINE = 0.95
 #: Share of pairs at exactly the cosine that share a filter of one code; codes, each with a rotation of its own; blocks of a product code.
 RECALL, CODES, BLOCKS = 0.93, 2, 2
-#: Rows of a filter, and of a candidate group, that one block takes.
+#: Rows of a filter, and of a candidate group, that one block takes, whatever the table.
 FILTER_ROWS, GROUP_ROWS = 4096, 4096
-#: Filters and groups that are cut into blocks have more than that share of all rows, so a list of them is bounded by its inverse.
-HOT_SHARE = 1 / 65536
 #: Leaders of a block stand for sketches within this distance of them.
 RADIUS = 0.1
 _STRIP = 512
@@ -102,10 +101,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _sketch(turned: np.ndarray) -> np.ndarray:
-    """The first half of each row as signed bytes after their unit, a 4-byte float."""
-    part = turned[:, : (turned.shape[1] + 1) // 2]
-    unit = (np.abs(part).max(axis=1) / 127 + 1e-12).astype("<f4")
-    values = np.rint(part / unit[:, None].astype(float)).clip(-127, 127).astype(np.int8)
+    """Each row as signed bytes after their unit, a 4-byte float. Turned rows have no large part, so units and errors are small."""
+    unit = (np.abs(turned).max(axis=1) / 127 + 1e-12).astype("<f4")
+    values = np.rint(turned / unit[:, None].astype(float)).clip(-127, 127).astype(np.int8)
     return np.hstack([unit[:, None].view(np.uint8), values.view(np.uint8)])
 
 
@@ -117,18 +115,28 @@ def _unsketch(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return x, unit[:, 0] * (0.5 * math.sqrt(x.shape[1])) + 1e-9
 
 
-def _filter_rows(batches: Iterator[pa.RecordBatch], dim: int, codes: list[CapCode]) -> Iterator[pa.RecordBatch]:
+@lru_cache(maxsize=8)
+def _codes(dim: int, rows: int, cosine: float, recall: float) -> tuple[CapCode, ...]:
+    """The codes for vectors of a length, made once in each worker: they follow from these numbers alone."""
+    return tuple(CapCode(dim, rows, cosine, recall, seed=11 + i) for i in range(CODES))
+
+
+def _filter_rows(batches: Iterator[pa.RecordBatch], cosine: float, recall: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        step = max(1, min(128, (1 << 23) // codes[0].words ** 2))
-        for lo in range(0, batch.num_rows, step):
-            part = batch.slice(lo, step)
-            unit = _unit(_matrix(part["v"], dim))
-            passed = [(row, (key * len(codes) + i) % (2**31 - 1)) for i, code in enumerate(codes) for row, key in [code.decode(unit)]]
-            pairs = np.unique(np.concatenate([row << 31 | key for row, key in passed]))
-            bounds = np.searchsorted(pairs >> 31, np.arange(part.num_rows + 1)).astype(np.int32)
-            filters = pa.array((pairs & (2**31 - 1)).astype(np.int32))
-            sketch = pa.array([r.tobytes() for r in _sketch(unit @ codes[0].rotation.T)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part["id"], sketch, pa.ListArray.from_arrays(pa.array(bounds), filters)], ["id", "q", "filters"])
+        dims, rows = batch["dim"].to_numpy(), batch["rows"].to_numpy()
+        for dim in np.unique(dims).tolist():
+            own = batch.filter(pa.array(dims == dim))
+            codes = _codes(dim, int(rows[dims == dim][0]), cosine, recall)
+            step = max(1, min(128, (1 << 23) // codes[0].words ** 2))
+            for lo in range(0, own.num_rows, step):
+                part = own.slice(lo, step)
+                unit = _unit(_matrix(part["v"], dim))
+                passed = [(row, (key * len(codes) + i) % (2**31 - 1)) for i, code in enumerate(codes) for row, key in [code.decode(unit)]]
+                pairs = np.unique(np.concatenate([row << 31 | key for row, key in passed]))
+                bounds = np.searchsorted(pairs >> 31, np.arange(part.num_rows + 1)).astype(np.int32)
+                filters = pa.array((pairs & (2**31 - 1)).astype(np.int32))
+                sketch = pa.array([r.tobytes() for r in _sketch(unit @ codes[0].rotation.T)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part["id"], part["dim"], sketch, pa.ListArray.from_arrays(pa.array(bounds), filters)], ["id", "dim", "q", "filters"])
 
 
 def _groups(table: pa.Table, keys: list[str]) -> Iterator[tuple[int, int]]:
@@ -154,12 +162,11 @@ def _leaders(x: np.ndarray, off: np.ndarray, radius: float) -> np.ndarray:
 
 
 def _near(table: pa.Table, keys: list[str], reach: float, radius: float | None) -> Iterator[pa.RecordBatch]:
-    """(id, root, f, q): a connection of each row to the smallest index of those that it is near to in any filter of the table;
-    with a radius, also the leaders of the blocks of filters with several, which have their f and q."""
+    """(id, root, dim, f, q): a connection of each row to the smallest index of those that it is near to in any filter of the table;
+    with a radius, also the leaders of the blocks of filters with several, which have their dim, f and q."""
     table = table.combine_chunks()
-    ids, f = table["id"].to_numpy(), table["f"].to_numpy()
+    ids, dim, f = (table[c].to_numpy() for c in ("id", "dim", "f"))
     sketches = table["q"].combine_chunks() if isinstance(table["q"], pa.ChunkedArray) else table["q"]
-    x, off = _unsketch(sketches)
     blocks = table["blocks"].to_numpy()
     known, at = np.unique(ids, return_inverse=True)
     found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -167,7 +174,7 @@ def _near(table: pa.Table, keys: list[str], reach: float, radius: float | None)
     for s, e in _groups(table, keys):
         if e - s < 2 and blocks[s] < 2:
             continue
-        y, o = x[s:e], off[s:e]
+        y, o = _unsketch(sketches.slice(s, e - s))
         norm = (y * y).sum(1)
         for lo in range(0, e - s, _STRIP):
             z = slice(lo, lo + _STRIP)
@@ -177,65 +184,68 @@ def _near(table: pa.Table, keys: list[str], reach: float, radius: float | None)
             found.append((at[a[up] + s + lo], at[b[up] + s + lo]))
         if radius is not None and blocks[s] > 1:
             lead.append(_leaders(y, o, radius) + s)
+    names = ["id", "root", "dim", "f", "q"]
     if found:
         root = roots(len(known), *(np.concatenate(p) for p in zip(*found, strict=True)))
         i = np.flatnonzero(root != np.arange(len(known)))
-        yield pa.RecordBatch.from_arrays([pa.array(known[i]), pa.array(known[root[i]]), pa.nulls(len(i), pa.int32()), pa.nulls(len(i), pa.binary())], ["id", "root", "f", "q"])
+        yield pa.RecordBatch.from_arrays([pa.array(known[i]), pa.array(known[root[i]]), *(pa.nulls(len(i), t) for t in (pa.int32(), pa.int32(), pa.binary()))], names)
     if lead:
         i = np.concatenate(lead)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[i]), pa.array(f[i]), sketches.take(pa.array(i))], ["id", "root", "f", "q"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[i]), pa.array(dim[i]), pa.array(f[i]), sketches.take(pa.array(i))], names)
 
 
-def _links(table: pa.Table, dim: int, cosine: float) -> Iterator[pa.RecordBatch]:
+def _links(table: pa.Table, cosine: float) -> Iterator[pa.RecordBatch]:
     """(id, n, root): for each group and pair of blocks, how many vectors each row links to and the smallest index that it is connected with."""
     table = table.combine_chunks()
     ids, copies, own = (table[c].to_numpy() for c in ("id", "copies", "own"))
-    x = _unit(_matrix(table["v"].combine_chunks(), dim))
+    vectors = table["v"].combine_chunks() if isinstance(table["v"], pa.ChunkedArray) else table["v"]
     n, found = np.zeros(len(ids)), []
     for s, e in _groups(table, ["cluster", "lo", "hi"]):
-        one = two = np.arange(s, e)
+        part = vectors.slice(s, e - s)
+        x = _unit(_matrix(part, len(part[0])))
+        one = two = np.arange(e - s)
         crossed = table["lo"][s] != table["hi"][s]
         if crossed:
             one, two = one[own[s:e] == own[s]], two[own[s:e] != own[s]]
+        weight = copies[s:e].astype(np.float64)
         for lo in range(0, len(one), _STRIP):
             strip = one[lo : lo + _STRIP]
             close = x[strip] @ x[two].T >= cosine
             if not crossed:
                 close &= strip[:, None] != two[None]
-            n[strip] += close @ copies[two].astype(np.float64)
+            n[s + strip] += close @ weight[two]
             a, b = np.nonzero(close)
             if crossed:
-                n[two] += copies[strip].astype(np.float64) @ close
+                n[s + two] += weight[strip] @ close
             else:
                 up = a + lo < b
                 a, b = a[up], b[up]
-            found.append((strip[a], two[b]))
+            found.append((s + strip[a], s + two[b]))
     touched = np.flatnonzero(n)
     if len(touched):
         root = roots(len(ids), *(np.concatenate(p) for p in zip(*found, strict=True)))
         yield pa.RecordBatch.from_arrays([pa.array(ids[touched]), pa.array(n[touched].astype(np.int64)), pa.array(ids[root[touched]])], ["id", "n", "root"])
 
 
-def _in_blocks(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """Adds blocks: into how many a key's rows are cut, 1 for most. Those that are cut have over HOT_SHARE of all rows, so
-    there are fewer than 1 / HOT_SHARE of them, which bounds the broadcast."""
-    sizes = df.groupBy(key).count()
-    least = max(rows, int(df.count() * HOT_SHARE))
-    hot = sizes.where(F.col("count") > least).select(key, F.ceil(F.col("count") / rows).cast("int").alias("blocks"))
-    return df.join(F.broadcast(hot), key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+def _in_blocks(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Adds blocks: into how many a key's rows are cut, 1 for most. The numbers of those that are cut are joined; they are few, but nothing
+    says how few, so it is left to the adaptive planner to broadcast them or to split hot keys."""
+    hot = df.groupBy(*keys).count().where(F.col("count") > rows).select(*keys, F.ceil(F.col("count") / rows).cast("int").alias("blocks"))
+    return df.join(hot, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
 
 
 def _candidates(passed: DataFrame, cosine: float) -> DataFrame:
     """(node, component): groups of ids that hold all pairs which share a filter and have at least the cosine."""
     reach = math.sqrt(max(2 - 2 * cosine, 0.0)) + 1e-9
-    schema = "id long, root long, f int, q binary"
-    dealt = _in_blocks(passed.select("id", "q", F.explode("filters").alias("f")), "f", FILTER_ROWS)
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")).repartition("f", "own").sortWithinPartitions("f", "own")
-    near = settled(dealt.mapInArrow(lambda b: whole_groups(b, ["f", "own"], lambda t: _near(t, ["f", "own"], reach, RADIUS), 8192), schema))
+    schema, filters = "id long, root long, dim int, f int, q binary", ["dim", "f"]
+    dealt = _in_blocks(passed.select("id", "dim", "q", F.explode("filters").alias("f")), filters, FILTER_ROWS)
+    own = [*filters, "own"]
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")).repartition(*own).sortWithinPartitions(*own)
+    near = settled(dealt.mapInArrow(lambda b: whole_groups(b, own, lambda t: _near(t, own, reach, RADIUS), 8192), schema))
     edges = near.where("f is null").select("id", "root")
-    leaders = _in_blocks(near.where("f is not null").select("id", "q", "f"), "f", FILTER_ROWS)
-    dealt = block_pairs(leaders, "blocks", "id").withColumn("blocks", F.lit(1)).repartition("f", "lo", "hi").sortWithinPartitions("f", "lo", "hi")
-    keys, wide = ["f", "lo", "hi"], reach + 2 * RADIUS
+    leaders = _in_blocks(near.where("f is not null").select("id", "dim", "q", "f"), filters, FILTER_ROWS)
+    keys, wide = [*filters, "lo", "hi"], reach + 2 * RADIUS
+    dealt = block_pairs(leaders, "blocks", "id").withColumn("blocks", F.lit(1)).repartition(*keys).sortWithinPartitions(*keys)
     edges = edges.unionByName(dealt.mapInArrow(lambda b: whole_groups(b, keys, lambda t: _near(t, keys, wide, None), 8192), schema).select("id", "root"))
     return connected_components(edges.select(F.col("id").alias("a"), F.col("root").alias("b")))
 
@@ -249,8 +259,11 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     many of the rest are found there. Links below the cosine are never made. A task returns counts and one
     connection per row, never its pairs.
 
+    The vectors that links connect into one group are all compared, in blocks: that is the square of such a group, but of
+    nothing else. Vectors of any length, and any number of lengths, go the same way.
+
     Vectors that are null, empty, zero or hold null or non-finite parts link with nothing, nor do
-    vectors of different length. Rows with a null id are left out; rows that repeat an id link as copies do.
+    vectors of different length; a cosine of exactly the bound links, as far as doubles tell. Rows with a null id are left out; rows that repeat an id link as copies do.
     Other columns aren't looked at.
     """
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
@@ -259,15 +272,15 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     good = rows.where(fit)
     groups = settled(good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
     counts = groups.select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("root"))
-    for dim, n in sorted(tuple(r) for r in groups.groupBy(F.size("v")).count().collect()):  # one row per length of vector
-        own = groups.where(F.size("v") == dim)
-        codes = [CapCode(dim, n, cosine, recall, seed=11 + i) for i in range(CODES)]
-        passed = settled(own.select("id", "v").mapInArrow(lambda b, d=dim, c=codes: _filter_rows(b, d, c), "id long, q binary, filters array<int>"))
-        candidates = settled(_candidates(passed, cosine).select(F.col("node").alias("id"), F.col("component").alias("cluster")))
-        dealt = block_pairs(_in_blocks(candidates, "cluster", GROUP_ROWS), "blocks", "id").drop("blocks")
-        dealt = dealt.join(own, "id").repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
-        links = dealt.mapInArrow(lambda b, d=dim: whole_groups(b, ["cluster", "lo", "hi"], lambda t: _links(t, d, cosine), 4096), "id long, n long, root long")
-        counts = counts.unionByName(links)
+    # vectors of all lengths go the same way, each by the codes of its length, so the driver holds none of them
+    sized = groups.withColumn("dim", F.size("v"))
+    sized = sized.join(sized.groupBy("dim").agg(F.count("*").alias("rows")), "dim")
+    passed = settled(sized.select("id", "v", "dim", "rows").mapInArrow(lambda b: _filter_rows(b, cosine, recall), "id long, dim int, q binary, filters array<int>"))
+    candidates = settled(_candidates(passed, cosine).select(F.col("node").alias("id"), F.col("component").alias("cluster")))
+    dealt = block_pairs(_in_blocks(candidates, ["cluster"], GROUP_ROWS), "blocks", "id").drop("blocks").join(groups, "id")
+    dealt = dealt.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
+    links = dealt.mapInArrow(lambda b: whole_groups(b, ["cluster", "lo", "hi"], lambda t: _links(t, cosine), 4096), "id long, n long, root long")
+    counts = counts.unionByName(links)
     counts = settled(counts)
     component = connected_components(counts.select(F.col("id").alias("a"), F.col("root").alias("b")))
     summed = counts.groupBy("id").agg(F.sum("n").alias("n"))

@@ -62,3 +62,48 @@ def test_hot_cluster_in_blocks(spark, monkeypatch):
     assert [by[i].n_links for i in range(len(x))] == close.sum(1).tolist() and close.sum() > 50_000
     hot = np.flatnonzero(close.any(1))
     assert {by[i].component_id for i in hot.tolist()} == {int(hot[0])}
+
+
+@pytest.mark.parametrize("inner", [0.85, 0.9])
+def test_dense_topics_make_no_groups(spark, monkeypatch, inner):
+    """Topics whose vectors are near, but hardly any of them linked: what is verified stays next to what is linked."""
+    groups = []
+    keep = embedding_dedup._candidates
+    monkeypatch.setattr(embedding_dedup, "_candidates", lambda *a: groups.append(keep(*a)) or groups[-1])
+    rng = np.random.default_rng(11)
+    x = []
+    for _ in range(4):
+        centre = rng.standard_normal(64)
+        centre /= np.linalg.norm(centre)
+        off = rng.standard_normal((400, 64))
+        off -= np.outer(off @ centre, centre)
+        x.append(np.sqrt(inner) * centre + np.sqrt(1 - inner) * off / np.linalg.norm(off, axis=1, keepdims=True))
+    x = np.vstack(x)
+    close = (x @ x.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    nearly = ((x @ x.T >= 0.935) & ~np.eye(len(x), dtype=bool)).any(1).sum()
+    got = embedding_dedup.embedding_dedup(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    assert [r.n_links for r in got.orderBy("vec_id").collect()] == close.sum(1).tolist()
+    sizes = [r["count"] for r in groups[0].groupBy("component").count().collect()]
+    assert sum(sizes) <= nearly and max(sizes, default=0) <= 40
+    if inner < 0.9:
+        assert close.sum() == 0
+
+
+def test_filters_are_cut_by_rows_alone(spark):
+    """The rows of a block have one bound, however large the table is."""
+    df = spark.range(100_000).select((F.col("id") % 7).alias("k"))
+    blocks = {r.k: r.blocks for r in embedding_dedup._in_blocks(df, ["k"], 4096).distinct().collect()}
+    assert set(blocks.values()) == {4} and len(blocks) == 7
+
+
+def test_many_lengths_at_once(spark):
+    """Vectors of sixty lengths, three of each, two of which are linked; very long ones among them."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in [*range(1, 59), 2000, 5000]:
+        v = rng.standard_normal(k)
+        rows += [(3 * k, v.tolist()), (3 * k + 1, (v * 2 + 1e-3).tolist()), (3 * k + 2, (-v).tolist())]
+    got = {r.vec_id: r for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == len(rows)
+    for k in [*range(2, 59), 2000, 5000]:
+        assert [got[3 * k + i].n_links for i in range(3)] == [1, 1, 0] and got[3 * k + 1].component_id == 3 * k
