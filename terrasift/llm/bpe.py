@@ -19,6 +19,8 @@ from .pieces import PieceEncoder
 CHUNK, OVERLAP = 32768, 1024
 #: Of pieces and their ids in each worker, which keeps them while it lives, other stages included.
 CACHE_BYTES = 48 << 20
+#: Characters of chunks that a task hands on at once.
+_HELD = 1 << 20
 _encoders: dict[tuple[str, str], tuple] = {}
 
 
@@ -35,12 +37,18 @@ def encoder(rank_file: str, pattern: str):
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "h", "i", "chunk"]
+    names, types = ["doc_id", "h", "i", "chunk"], [pa.int64(), pa.string(), pa.int32(), pa.string()]
+    rows: list[tuple] = []
     for batch in batches:
         for doc, h, text in zip(batch["doc_id"], batch["h"], batch["text"], strict=True):
             text = text.as_py()
             for i, at in enumerate(range(0, len(text), chunk)):
-                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()], pa.int64()), pa.array([h.as_py()], pa.string()), pa.array([i], pa.int32()), pa.array([text[at : at + chunk + overlap]])], names)
+                rows.append((doc.as_py(), h.as_py(), i, text[at : at + chunk + overlap]))
+                if len(rows) * (chunk + overlap) >= _HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
 def _boundaries(batches: Iterator[pa.RecordBatch], pattern: str, chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
@@ -80,6 +88,35 @@ def _digest(batches: Iterator[pa.RecordBatch], rank_file: str, pattern: str) ->
         yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(hashes[0]), pa.array(hashes[1])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digest of each text whose pieces follow one another: hashes and counts go on from piece to piece, so neither ids nor bytes of a text are ever joined."""
+    names = ["doc_id", "h", "n_tokens", "ids_sha256", "decoded_sha256"]
+    key, n, hashes, out = None, 0, (), []
+
+    def done() -> None:
+        if key is not None:
+            out.append((*key, n, *(x.hexdigest() for x in hashes)))
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
+
+    for b in batches:
+        for doc, h, ids, back in zip(b["doc_id"].to_pylist(), b["h"].to_pylist(), b["ids"], b["decoded"], strict=True):
+            if (doc, h) != key:
+                done()
+                key, n, hashes = (doc, h), 0, (hashlib.sha256(), hashlib.sha256())
+            ids = ids.as_buffer()
+            n += ids.size // 4
+            hashes[0].update(ids)
+            hashes[1].update(back.as_buffer())
+        if out:
+            yield batch()
+            out.clear()
+    done()
+    if out:
+        yield batch()
+
+
 def long_pieces(long: DataFrame, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, h, piece, text): texts longer than a chunk, cut where the pre-tokens of neighbouring chunks meet.
 
@@ -104,7 +141,8 @@ def long_pieces(long: DataFrame, pattern: str, chunk: int = CHUNK, overlap: int
 def bpe_digest(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row with an id; null text counts as empty.
 
-    Texts of one chunk are encoded where they are. Longer ones, of any length, go in chunks to several tasks; of these, equal
+    Texts of one chunk are encoded where they are. Longer ones, of any length, go in chunks to several tasks, and their pieces,
+    in order, through running hashes, in time linear in their number; of these, equal
     rows are encoded once and returned as often as they are there. Empty tables give none. Other columns aren't looked at.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -114,8 +152,7 @@ def bpe_digest(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
     copies = long.groupBy("doc_id", "h").agg(F.count("*").alias("copies"))
     parts = long_pieces(long.groupBy("doc_id", "h").agg(F.first("text").alias("text")), pattern, chunk, overlap)
     coded = parts.repartition("doc_id", "h", "piece").mapInArrow(lambda b: _encode(b, rank_file, pattern, ["doc_id", "h", "piece"]), "doc_id long, h string, piece long, ids binary, decoded binary")
-    whole = coded.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("piece", "ids", "decoded"))).alias("p"))
-    joined = lambda name: F.aggregate(F.transform("p", lambda x: x[name]), F.lit(b""), lambda a, x: F.concat(a, x))
-    whole = whole.select("doc_id", "h", joined("ids").alias("ids"), joined("decoded").alias("decoded"))
+    order = ["doc_id", "h", "piece"]
+    whole = coded.repartition("doc_id", "h").sortWithinPartitions(*order).mapInArrow(_joined, "doc_id long, h string, n_tokens long, ids_sha256 string, decoded_sha256 string")
     whole = whole.join(copies, ["doc_id", "h"]).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return short.unionByName(whole.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")))
+    return short.unionByName(whole.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"))
