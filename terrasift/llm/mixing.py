@@ -58,17 +58,21 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     whole number of words below its target, the last block in part; the few slots by which
     the schedule misses a source's blocks are appended at its end.
 
-    documents: doc_id, size, source_size, target, taken, one row per input row with an id.
+    documents: doc_id, size, source_size, target, taken, and where the schedule has it: first_slot, last_slot (null if nothing is
+    taken) and n_blocks, the number of blocks that hold some of it; one row per input row with an id. Rows that repeat an id each
+    have a stretch of their own on the line, but for equal ones at one place, which are alike.
     pieces: slot, doc_id, first (word of the document), words.
     Null text has no words, a null source is a source of its own (the last), rows with a null
     id are left out. Runs over the same rows agree. Running sums and ranks are taken within
-    hashed or numbered bands, so no task holds a whole source.
+    hashed or numbered bands, so no task holds a whole source; there are about as many bands as a band has rows, so neither grows
+    faster than the root of the table.
     """
     sized = settled(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(_WORD)), F.lit(0)).cast("long").alias("size")))
     t = settled(targets(sized, weights, share, most))
     sources = t.withColumn("take", F.floor("target").cast("long"))
     # documents on the line of their source
-    lined = sized.join(sources, sized.source.eqNullSafe(sources.source)).select("doc_id", "s", "size", "source_size", "target", "take", F.xxhash64(F.lit(seed), "doc_id").alias("h")).withColumn("band", F.shiftrightunsigned("h", 52))
+    bits = max(12, math.ceil(math.log2(max(sized.count(), 1)) / 2))
+    lined = sized.join(sources, sized.source.eqNullSafe(sources.source)).select("doc_id", "s", "size", "source_size", "target", "take", F.xxhash64(F.lit(seed), "doc_id").alias("h")).withColumn("band", F.shiftrightunsigned("h", 64 - bits))
     before = Window.unboundedPreceding, -1
     bands = lined.groupBy("s", "band").agg(F.sum("size").alias("n"))
     bands = bands.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("band").rowsBetween(*before)), F.lit(0))).drop("n")
@@ -80,9 +84,9 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     up_to = F.sum("target").over(Window.orderBy("s"))
     stretch = t.withColumn("hi", up_to / F.lit(total or 1.0)).withColumn("lo", (up_to - F.col("target")) / F.lit(total or 1.0)).where("target > 0")
     stretch = stretch.select("s", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * _BINS), F.least(F.floor(F.col("hi") * _BINS), F.lit(_BINS - 1)))).alias("bin"))
-    session = docs.sparkSession
+    session, wide = docs.sparkSession, 1 << max(16, math.ceil(math.log2(max(n_slots, 1)) / 2))
     slots = session.range(n_slots).withColumnRenamed("id", "k").withColumn("u", _golden_point(F.col("k"))).withColumn("bin", F.floor(F.col("u") * _BINS))
-    slots = slots.join(stretch, "bin").where("lo <= u and u < hi").select("k", "s", F.floor(F.col("k") / 65536).alias("kb"))
+    slots = slots.join(stretch, "bin").where("lo <= u and u < hi").select("k", "s", F.floor(F.col("k") / wide).alias("kb"))
     kbs = slots.groupBy("s", "kb").agg(F.count("*").alias("n"))
     kbs = kbs.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("kb").rowsBetween(*before)), F.lit(0)))
     ranked = slots.withColumn("i", F.row_number().over(Window.partitionBy("s", "kb").orderBy("k"))).join(kbs.select("s", "kb", "base"), ["s", "kb"]).select("k", "s", (F.col("base") + F.col("i") - 1).alias("r"))
@@ -96,9 +100,9 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     blocks = passes.withColumn("r", F.explode(F.expr(f"sequence(cast(floor(from / {block}) as long), cast(floor((to - 1) / {block}) as long))")))
     first, last = F.greatest(F.col("from"), F.col("r") * block), F.least(F.col("to"), (F.col("r") + 1) * block)
     pieces = blocks.select("s", "r", "doc_id", "start", "size", (first - F.col("from")).alias("first"), (last - first).alias("words")).join(ranked, ["s", "r"])
-    taken = pieces.groupBy("s", "start", "doc_id").agg(F.sum("words").alias("got"))
+    taken = pieces.groupBy("s", "start", "doc_id").agg(F.sum("words").alias("got"), F.min("k").alias("first_slot"), F.max("k").alias("last_slot"), F.count_distinct("r").alias("n_blocks"))
     # rows without words share their start with others, and take nothing
-    out = lined.join(taken, ["s", "start", "doc_id"], "left").select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("got", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("taken"))
+    out = lined.join(taken, ["s", "start", "doc_id"], "left").select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("got", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("taken"), *[F.when(F.col("size") > 0, F.col(c)).alias(c) for c in ("first_slot", "last_slot")], F.when(F.col("size") > 0, F.coalesce("n_blocks", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_blocks"))
     return out, pieces.select(F.col("k").alias("slot"), "doc_id", "first", "words")
 
 
