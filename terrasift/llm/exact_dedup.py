@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cluster import unused
+
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """Marks one row of each group of byte-identical texts as the one that stays.
@@ -29,6 +31,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
-    gone = exact_dedup(docs, id_col, text_col, keep).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """The rows of docs that exact_dedup keeps, with all their columns; rows without an id stay. A row goes by its id and text, so other
+    texts of the same id aren't touched."""
+    gone_id, gone_text = unused(docs, "gone_id", "gone_text")
+    gone = exact_dedup(docs, id_col, text_col, keep).where("not kept").select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_text)).distinct()
+    same = (F.col(f"`{id_col}`") == F.col(gone_id)) & (F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256) == F.col(gone_text))
+    return docs.join(gone, same, "left_anti")

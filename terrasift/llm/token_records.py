@@ -84,10 +84,10 @@ def write_token_records(docs: DataFrame, out: str, tokenizer_file: str, end_id:
     Each task writes one file under a name of its own and only then reports its records, so a task
     that is lost or repeated leaves at most a file to which no index row points. Null text counts
     as empty, rows with a null id are left out, and empty input makes an empty index. A record holds a whole text, however
-    long; rows that repeat an id have a record each, next to each other. Other columns aren't written.
+    long; rows that repeat an id have a record each, next to each other, in the order of their texts. Other columns aren't written.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, width = _encoder(tokenizer_file, end_id)

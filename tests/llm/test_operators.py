@@ -166,7 +166,7 @@ def test_suffix_dedup_scans_its_levels(spark, monkeypatch):
     for i, t, _ in rows:
         assert got[i][0] == len((t or "").encode()) - len(got[i][1])
     # without the scan, what only the last batch repeats would be missed
-    monkeypatch.setattr(Seen, "noted", lambda self: spark.createDataFrame([], "suffix binary"))
+    monkeypatch.setattr(Seen, "noted", lambda self: spark.createDataFrame([], "s long"))
     less = suffix_dedup.suffix_dedup(frame(spark, rows), length=60, key_bytes=20).agg(F.sum("n_removed")).first()[0]
     assert less < sum(n for n, _ in got.values())
 
@@ -215,6 +215,8 @@ def test_exact_dedup(spark):
         got = exact_dedup.exact_dedup(frame(spark, rows), keep=keep).collect()
         assert {r.doc_id: tuple(r)[1:] for r in got} == want and len(got) == len(want)
     assert exact_dedup.drop_exact_copies(frame(spark, rows)).where("doc_id is not null").count() == len(groups)
+    repeated = exact_dedup.drop_exact_copies(frame(spark, [(1, "a", "x"), (1, "b", "x"), (2, "a", "x"), (None, "a", "x")]))
+    assert sorted((r.doc_id or 0, r.text) for r in repeated.collect()) == [(0, "a"), (1, "b"), (2, "a")]
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
     twice = exact_dedup.exact_dedup(frame(spark, [(1, "a", "s"), (1, "a", "s")])).collect()
     assert [(r.group_size, r.kept) for r in twice] == [(2, True), (2, True)]
@@ -458,3 +460,64 @@ def test_random_texts_have_the_ids_of_both_libraries():
     pieces, enc = encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     assert list(pieces.encode(texts)) == [np.array(enc.encode_ordinary(t), "<u4").tobytes() for t in texts]
     assert list(pieces.encode([])) == [] and list(pieces.encode(["", ""])) == [b"", b""]
+
+
+def test_bpe_of_a_text_of_many_chunks(spark):
+    """20,000 chunks in one text, and their digest in about four times the time of 5,000: hashes go on from piece to piece."""
+    import time
+
+    said = corpus(9, 40)
+    long = " ".join(t for _, t, _ in said if t)
+    long = (long * (20_000 * 48 // len(long) + 1))[: 20_000 * 48]
+    took = []
+    for n in (5_000, 20_000):
+        text, start = long[: n * 48], time.time()
+        got = bpe.bpe_digest(frame(spark, [(1, text, None)]), RANKS, public_tokenizers.PATTERN, chunk=48, overlap=24).first()
+        took.append(time.time() - start)
+        assert got.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    want = bpe.bpe_digest(frame(spark, [(1, long, None)]), RANKS, public_tokenizers.PATTERN).first()
+    assert tuple(got) == tuple(want)
+    assert took[1] < 8 * took[0] + 5
+
+
+def test_mixing_slots_against_a_plain_schedule(spark):
+    """Each source's blocks lie at the slots whose golden points fall into its stretch, in order, those beyond at the end."""
+    rng = random.Random(13)
+    rows = [(i, " ".join("w" for _ in range(rng.randint(0, 40))), rng.choice(["a", "b", "c", None])) for i in range(120)]
+    got = {r.doc_id: r for r in mixing.mixture(frame(spark, rows), block=16)[0].collect()}
+    pieces = [tuple(r) for r in mixing.mixture(frame(spark, rows), block=16)[1].collect()]
+    target = {}
+    for i, _, s in rows:
+        target[s] = got[i].target
+    names = sorted([s for s in target if s is not None]) + [None]
+    total = sum(target.values())
+    n_slots, up, stretch = -(-int(np.ceil(total)) // 16) if total == int(total) else int(-(-total // 16)), 0.0, []
+    for s in names:
+        stretch.append((up / total, (up + target[s]) / total))
+        up += target[s]
+    golden = (5**0.5 - 1) / 2
+    slots = {s: [] for s in names}
+    for k in range(n_slots):
+        u = k * golden % 1.0
+        for s, (lo, hi) in zip(names, stretch, strict=True):
+            if lo <= u < hi:
+                slots[s].append(k)
+    source = {i: s for i, _, s in rows}
+    used = {s: sorted({p[0] for p in pieces if source[p[1]] == s}) for s in names}
+    for place, s in enumerate(names):
+        need = -(-int(target[s]) // 16)
+        own = slots[s][:need]
+        assert used[s][: len(own)] == own and all(k >= n_slots for k in used[s][len(own) :]) and len(used[s]) == (need if need <= len(own) else len(used[s])), place
+    for i, _, _ in rows:
+        own = [p for p in pieces if p[1] == i]
+        at = sorted({p[0] for p in own})
+        assert (got[i].first_slot, got[i].last_slot, got[i].n_blocks) == ((at[0], at[-1], len(at)) if at else (None, None, 0))
+        assert got[i].taken == sum(p[3] for p in own)
+
+
+def test_another_schedule_changes_the_result(spark, monkeypatch):
+    rows = [(i, "w " * (5 + i % 7), "ab"[i % 2]) for i in range(60)]
+    slots = lambda: sorted((r.doc_id, r.first_slot, r.last_slot) for r in mixing.mixture(frame(spark, rows), block=16)[0].collect())
+    before = slots()
+    monkeypatch.setattr(mixing, "_GOLDEN", 0.123456)
+    assert slots() != before
