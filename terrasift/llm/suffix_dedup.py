@@ -174,7 +174,7 @@ class SuffixIndex:
             like.append(self.levels.pop())
             count *= 2
         if self.levels:
-            suffixes = self._hashes(batch[2]).distinct()
+            suffixes = self._hashes(batch[2])
             both = [suffixes.join(self._hashes(x[2]), "s", "left_semi") for x in self.levels]
             functools.reduce(DataFrame.union, both).distinct().write.parquet(f"{self.path}/notes-{n}")
             self.notes.append(f"notes-{n}")
@@ -185,8 +185,12 @@ class SuffixIndex:
         return self._read("s long", *self.notes).distinct()
 
     def _hashes(self, level: str) -> DataFrame:
-        """The suffixes of a level as 64 bits, a fifth of their bytes: equal hashes of others only add candidates, whose bytes are compared later."""
-        return self._read("suffix binary", level).select(F.xxhash64("suffix").alias("s"))
+        """The distinct suffixes of a level as 64 bits, a fifth of their bytes: equal hashes of others only add candidates, whose bytes are
+        compared later. An array has a suffix again where it has all bytes in common with the one before, so it needs no grouping."""
+        if level.endswith("array"):
+            entries = self._read("suffix binary, lcp int", level).where(F.coalesce(F.col("lcp") < self.key_bytes, F.lit(True)))
+            return entries.select(F.xxhash64("suffix").alias("s"))
+        return self._read("suffix binary", level).select(F.xxhash64("suffix").alias("s")).distinct()
 
     def repeated(self) -> DataFrame:
         """All entries whose suffix may occur more than once: all that do, and the ends of partitions."""
