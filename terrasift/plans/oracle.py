@@ -249,3 +249,7 @@ ORACLE_SQL["las_headers"] = "with " + _POINTS + """ select tile, count(*) as poi
 ORACLE_SQL["las_round_trip"] = "with " + _POINTS + """ select tile, cls, count(*) as n, sum(x) as sum_x, sum(y) as sum_y, sum(z) as sum_z,
     cast(sum(intensity) as bigint) as sum_intensity, cast(sum(return_num) as bigint) as sum_return_num, cast(sum(num_returns) as bigint) as sum_num_returns
     from points group by tile, cls"""
+ORACLE_SQL["raster_round_trip"] = _CELLS + " " + " union all ".join(
+    f"""select tile, '{b}' as band, "row", col, round(cast({b} as float)::double, 3) + 0.0 as v from cells""" for b in ("dsm", "all_density", "mean_return_num")
+)
+ORACLE_SQL["raster_headers"] = "with " + _GRID + " select tile, height, width, 1.0::double as resolution, west, north, -9999.0::double as nodata, 'f4' as dtype from grids"

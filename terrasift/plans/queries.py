@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fx
 from ..operators import components, fill, grid, metrics, nearest, normalize, quality, repair, samples, stencil, tin, voids, windows
-from ..sources import las, tables
+from ..sources import las, raster, tables
 from ..sources.views import embedding_patches, lineitem_points
 from ..streaming import cells as stream
 
@@ -561,6 +561,23 @@ def las_round_trip(spark, sf_dir):
     return read.groupBy("tile", "cls").agg(F.count("*").alias("n"), *sums)
 
 
+@query
+def raster_round_trip(spark, sf_dir):
+    """Bands of the cells written as raster files and read back in ranges of strips."""
+    path = f"{components.shared_dir(spark)}/rasters-{uuid.uuid4().hex}"
+    bands = ["dsm", "all_density", "mean_return_num"]
+    raster.write_rasters(_cells(spark, sf_dir), _grids(spark, sf_dir), path, bands, strip="16")
+    read = [raster.read_rasters(spark, path, b, blocks="2").select("tile", F.lit(b).alias("band"), "row", "col", _r("v", digits=3)) for b in bands]
+    return read[0].unionByName(read[1]).unionByName(read[2])
+
+
+@query
+def raster_headers(spark, sf_dir):
+    path = f"{components.shared_dir(spark)}/rasters-{uuid.uuid4().hex}"
+    raster.write_rasters(_cells(spark, sf_dir), _grids(spark, sf_dir), path, ["dsm"])
+    return raster.read_rasters(spark, path, "dsm", headers=True).select("tile", "height", "width", "resolution", "west", "north", "nodata", "dtype")
+
+
 @query
 def stream_las_cells(spark, sf_dir):
     """LAS files that arrive in two rounds; between these the stream is stopped and starts again where it was."""

@@ -11,19 +11,18 @@ Options: chunk_size (records of a task), pattern (names of files, with commas be
 
 from __future__ import annotations
 
-import fnmatch
 import re
 import struct
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition
+
+from .files import Staged, Written, files_below, infos, open_uri, same_store
 
 SCHEMA = "tile string, x double, y double, z double, intensity int, return_num int, num_returns int, cls int"
 HEADERS = "tile string, point_count long, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double, crs string"
@@ -37,35 +36,11 @@ _CODE_KEYS, _OWN = (3072, 2048), 32767
 _POINT = [("xyz", "<i4", 3), ("intensity", "<u2"), ("flags", "u1"), ("cls", "u1"), ("angle", "i1"), ("user", "u1"), ("source", "<u2")]
 
 
-def _open(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
-
-
-def _infos(path: str, pattern: str = "*.las,*.laz", recursive: bool = False) -> list[pa.fs.FileInfo]:
-    """The files below path whose names fit one of the patterns, whatever their case; each once."""
-    fs, inner = _open(path)
-    info = fs.get_file_info(inner)
-    if info.is_file:
-        return [info]
-    fits = [re.compile(fnmatch.translate(x.strip().lower())).match for x in pattern.split(",")]
-    found = fs.get_file_info(pa.fs.FileSelector(inner, recursive=recursive, allow_not_found=True))
-    hidden = lambda f: any(x.startswith(("_", ".")) for x in f.path[len(inner) :].strip("/").split("/"))
-    return [f for f in found if f.is_file and not hidden(f) and any(fit(f.base_name.lower()) for fit in fits)]
-
-
-def _uri(path: str, inner: str) -> str:
-    return path.partition("://")[0] + "://" + inner if "://" in path else inner
-
-
-def _files(path: str, pattern: str = "*.las,*.laz", recursive: bool = False) -> list[str]:
-    return [_uri(path, f) for f in sorted(i.path for i in _infos(path, pattern, recursive))]
-
-
 def read_header(path: str) -> dict:
     """Number of points, where they start, scales, offsets and bounds."""
     if path.lower().endswith(".laz"):
         raise ValueError(f"{path}: compressed points need a LAZ codec")
-    fs, inner = _open(path)
+    fs, inner = open_uri(path)
     with fs.open_input_file(inner) as f:
         raw = f.read_at(_HEAD.size, 0)
         h = _HEAD.unpack(raw) if len(raw) == _HEAD.size else (b"",) * 33
@@ -129,7 +104,7 @@ class _Points:
         if self.headers:
             yield (tile, h["count"], *h["min"], *h["max"], h["crs"])
             return
-        fs, inner = _open(part.path)
+        fs, inner = open_uri(part.path)
         with fs.open_input_file(inner) as f:
             for lo in range(part.first, part.first + part.n, 65536):
                 n = min(65536, part.first + part.n - lo)
@@ -142,7 +117,7 @@ class _Points:
 
 class _Reader(_Points, DataSourceReader):
     def partitions(self) -> list[_Range]:
-        files = _files(self.path, *self.listing)
+        files = files_below(self.path, *self.listing)
         if self.headers:
             return [_Range(f, 0, 0) for f in files]
         return [x for f in files for x in _ranges(f, 0, read_header(f)["count"], self.chunk)]
@@ -162,7 +137,7 @@ class _Stream(_Points, DataSourceStreamReader):
 
     def _after(self, offset: dict) -> list[tuple[int, str]]:
         """(time, file) from that of the offset on."""
-        found = sorted((f.mtime_ns, _uri(self.path, f.path)) for f in _infos(self.path, *self.listing))
+        found = sorted((f.mtime_ns, same_store(self.path, f.path)) for f in infos(self.path, *self.listing))
         return [x for x in found if x >= (offset["time"], offset["file"])]
 
     def latestOffset(self) -> dict:
@@ -195,21 +170,12 @@ class _Stream(_Points, DataSourceStreamReader):
         """Files stay where they are."""
 
 
-@dataclass
-class _Written(WriterCommitMessage):
-    files: list[str]
-
-
-class _Writer(DataSourceArrowWriter):
-    """Tasks write to a folder that no listing shows; the driver moves the files of those that count once all are done. What a lost or
-    repeated task leaves goes with that folder, and so does all of a job that fails."""
-
+class _Writer(Staged, DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
+        super().__init__(options["path"], overwrite, "*.las")
         self.scale, self.most = float(options.get("scale", 0.001)), max(1, int(options.get("file_points", 1_000_000)))
-        self.staging = f"{self.path}/_staging-{uuid.uuid4().hex}"
 
-    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         held: dict[str, list[np.ndarray]] = {}
         sizes: dict[str, int] = {}
         written: list[str] = []
@@ -220,9 +186,7 @@ class _Writer(DataSourceArrowWriter):
             for lo in range(0, len(rows), self.most):
                 part = rows[lo : lo + self.most]
                 name = f"{tile}__{uuid.uuid4().hex}.las"
-                fs, inner = _open(f"{self.staging}/{name}")
-                fs.create_dir(inner.rpartition("/")[0], recursive=True)
-                with fs.open_output_stream(inner) as f:
+                with self.staged(name) as f:
                     f.write(las_bytes(part[:, :3], *(part[:, k].astype(np.int64) for k in (3, 4, 5, 6)), scale=self.scale))
                 written.append(name)
 
@@ -240,25 +204,7 @@ class _Writer(DataSourceArrowWriter):
                 flush(max(sizes, key=sizes.get))
         for t in list(held):
             flush(t)
-        return _Written(written)
-
-    def commit(self, messages: list[_Written | None]) -> None:
-        old = _files(self.path) if self.overwrite else []
-        for name in (n for m in messages if m for n in m.files):
-            fs, inner = _open(f"{self.staging}/{name}")
-            fs.move(inner, _open(f"{self.path}/{name}")[1])
-        for file in old:
-            fs, inner = _open(file)
-            fs.delete_file(inner)
-        self._clear()
-
-    def abort(self, messages: list[_Written | None]) -> None:
-        self._clear()
-
-    def _clear(self) -> None:
-        fs, inner = _open(self.staging)
-        if fs.get_file_info(inner).type == pa.fs.FileType.Directory:
-            fs.delete_dir(inner)
+        return Written(written)
 
 
 class LasSource(DataSource):

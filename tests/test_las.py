@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrasift.sources import las
+from terrasift.sources import files, las
 
 
 def points(spark, n, seed=1, tiles=3):
@@ -55,14 +55,14 @@ def test_what_a_lost_task_leaves_does_not_count(tmp_path):
     w = las._Writer({"path": f"file://{tmp_path}"}, False)
     batch = pa.RecordBatch.from_pydict({"tile": ["a", "b", "a"], "x": [1.0, 2.0, 3.0], "y": [0.0] * 3, "z": [5.0] * 3})
     lost, kept = w.write(iter([batch])), w.write(iter([batch]))
-    assert las._files(f"file://{tmp_path}") == [] and not set(lost.files) & set(kept.files)
+    assert files.files_below(f"file://{tmp_path}") == [] and not set(lost.files) & set(kept.files)
     w.commit([kept, None])
-    assert sorted(f.rpartition("/")[2] for f in las._files(f"file://{tmp_path}")) == sorted(kept.files)
-    assert sorted(las.read_header(f)["count"] for f in las._files(f"file://{tmp_path}")) == [1, 2]
+    assert sorted(f.rpartition("/")[2] for f in files.files_below(f"file://{tmp_path}")) == sorted(kept.files)
+    assert sorted(las.read_header(f)["count"] for f in files.files_below(f"file://{tmp_path}")) == [1, 2]
     again = las._Writer({"path": f"file://{tmp_path}"}, False)
     again.write(iter([batch]))
     again.abort([None])
-    assert len(las._files(f"file://{tmp_path}")) == 2 and len(os.listdir(tmp_path)) == 2
+    assert len(files.files_below(f"file://{tmp_path}")) == 2 and len(os.listdir(tmp_path)) == 2
 
 
 def test_stream_of_files_in_two_rounds(spark, tmp_path):
