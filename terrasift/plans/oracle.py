@@ -242,7 +242,7 @@ ORACLE_SQL = {
         select t as tile, r as "row", c as col, {_r("avg(case when v.v is null then f.z + sqrt(gx * gx + gy * gy) * 0.0625 else v.v end)", "predicted")}, count(*) as covers
         from v join felt f on f.tile = v.tile and f."row" = v."row" and f.col = v.col group by 1, 2, 3""",
 }
-ORACLE_SQL |= oracle_fill.sql(_RCELLS, _PATCH)
+ORACLE_SQL |= oracle_fill.sql(_RCELLS, _PATCH, _STARTS)
 ORACLE_SQL["stream_las_cells"] = ORACLE_SQL["stream_cell_stats"]
 ORACLE_SQL["las_headers"] = "with " + _POINTS + """ select tile, count(*) as point_count, min(x) as min_x, min(y) as min_y, min(z) as min_z,
     max(x) as max_x, max(y) as max_y, max(z) as max_z from points group by tile"""

@@ -87,8 +87,25 @@ def reference(cells: str, support: str) -> str:
     return sql + f""", done as (select a.*, coalesce(z, case when tiny_hole then f end) as reference from r8 a join plug b on {_SAME})"""
 
 
-def sql(cells: str, patches: str) -> dict[str, str]:
-    """cells and patches: recursive CTEs that end with a table cells and patch."""
+def repaired(cells: str) -> str:
+    """The tiles of cells, repaired in windows of 32 cells every 24; cells ends with tables cells and starts."""
+    own = 'select s.tile || \'/\' || top || \'/\' || "left" as tile, c."row" - top as "row", c.col - "left" as col, c.tile as t, c."row" as r, c.col as c'
+    near = 'c."row" >= top and c."row" < top + 32 and c.col >= "left" and c.col < "left" + 32'
+    sql = cells + f""", w as ({own}, coalesce(dem, dsm) as z, dem is not null as valid, dsm, ground_density as g, ground_penetration_ratio as p from starts s join cells c on c.tile = s.tile and {near}),
+      src as (select {K}, case when valid then z end as v from w)""" + search("src", 64, 1, "s") + nearest("src", "nr")
+    line, column = 'partition by tile, "row" order by col', 'partition by tile, col order by "row"'
+    step = lambda w: f"case when lag(f) over ({w}) is null and lead(f) over ({w}) is null then 0 when lag(f) over ({w}) is null then lead(f) over ({w}) - f when lead(f) over ({w}) is null then f - lag(f) over ({w}) else (lead(f) over ({w}) - lag(f) over ({w})) / 2 end"
+    sql += f""", felt as (select {K}, f, {step(line)} as gx, {step(column)} as gy from s),
+      all_of as (select w.*, f, sqrt(gx * gx + gy * gy) as slope, d2, abs(dsm - f) as h from w join felt a using (tile, "row", col) join nr b using (tile, "row", col)),
+      spans as (select tile, min(h) as lo, max(h) as hi, coalesce(avg(z), 0) as mean, greatest(coalesce(stddev_pop(z), 1), 1e-6) as std from all_of group by tile),
+      known as (select *, case when valid then 1 else least(greatest(0.5 * exp(-sqrt(d2) / 24) + 0.35 * least(greatest(p, 0), 1)
+        + 0.15 * (1 - coalesce((h - lo) / nullif(hi - lo, 0), 0)), 0), 1) end as conf from all_of join spans using (tile))"""
+    guess = "(f - mean) / std + 0.0625 * slope + 0.125 * conf - 0.25 * ln(1 + g) / 3.5"
+    return sql + f""" select t as tile, r as "row", c as col, {_r(f"avg(case when valid then z else ({guess}) * std + mean end)", "predicted")}, count(*) as covers from known group by 1, 2, 3"""
+
+
+def sql(cells: str, patches: str, starts: str) -> dict[str, str]:
+    """cells and patches: recursive CTEs that end with a table cells and patch. starts: a CTE with the corners of windows."""
     holes = around("cells", "flagged", near="b.dem is not null", supported="b.all_density > 1")
     gappy = patches + f', v as (select {K}, case when z <= 0 then z end as v from patch)'
     found = {
@@ -100,6 +117,12 @@ def sql(cells: str, patches: str) -> dict[str, str]:
         "reference_dem": reference(cells, "all_density > 0")
         + f" select {K}, {_r('reference', 'reference')}, valid, support, low_confidence, filled, tiny_hole, {_r('weight', 'repair_weight')}, {_r('confidence', 'confidence')} from done",
     }
+    found["repair_tiles"] = repaired(cells + starts)
+    same = ["all_density", "ground_density", "vegetation_density", "building_density"]
+    rounded = [_r(c, c) for c in ("mean_intensity", "mean_return_num", "last_return_ratio", "ground_penetration_ratio")]
+    found["raster_build"] = reference(cells, "all_density > 0") + f", top as (select {K}, dsm as v from cells)" + nearest("top", "high") + f"""
+      select a.tile, a."row", a.col, {_r('dem', 'dem_raw')}, {_r('reference', 'dem_reference')}, b.v as dsm, {', '.join(same + rounded)}, valid as dem_valid_mask, support as dem_support_mask,
+      low_confidence as dem_lowconf_mask, tiny_hole as dem_tinyhole_mask, {_r('weight', 'dem_repair_weight')}, {_r('confidence', 'dem_confidence')} from done a join high b on {_SAME}"""
     for size in (5, 7):
         found[f"median_filter_{size}"] = gappy + median("v", size, "m") + f" select {K}, {_r('v', 'median')} from m"
     return found

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
-from ..operators import components, fill, grid, metrics, nearest, normalize, quality, repair, samples, stencil, tin, voids, windows
+from ..operators import components, composites, fill, grid, metrics, nearest, normalize, quality, repair, samples, stencil, tin, voids, windows
 from ..sources import las, raster, tables
 from ..sources.views import embedding_patches, lineitem_points
 from ..streaming import cells as stream
@@ -516,9 +516,36 @@ def predict_tiles(spark, sf_dir):
     return done.select(*KEY, _r("predicted"), "covers")
 
 
+@query
+def raster_build(spark, sf_dir):
+    """Points to all bands in one plan, with the repaired mean elevation."""
+    c = composites.raster_build(lineitem_points(spark, sf_dir), "mean")
+    same = ["dsm", *composites.DENSITIES, "dem_valid_mask", "dem_support_mask", "dem_lowconf_mask", "dem_tinyhole_mask"]
+    rounded = ["dem_raw", "dem_reference", "mean_intensity", "mean_return_num", "last_return_ratio", "ground_penetration_ratio", "dem_repair_weight", "dem_confidence"]
+    return c.select(*KEY, *same, *[_r(b) for b in rounded])
+
+
+@query
+def repair_tiles(spark, sf_dir):
+    """Cells without ground, whether the surface is there or not, by an expression over normalised channels, in windows of 32 cells."""
+    c = _cells(spark, sf_dir).withColumn("z", F.coalesce("dem", "dsm")).withColumn("valid", F.col("dem").isNotNull()).drop("dem")
+    predictor = F.col("coarse_n") + F.col("c.slope") * 0.0625 + F.col("c.confidence_map") * 0.125 - F.col("c.ground_density") * 0.25
+    return composites.repair_tiles(c, _grids(spark, sf_dir), predictor, size=32, stride=24).select(*KEY, _r("predicted"), "covers")
+
+
 # without SQL: tested against brute force
 
 
+@query
+def build_samples(spark, sf_dir):
+    """Samples of 32 cells with simulated voids: one row each, with sums over its cells."""
+    c = _cells(spark, sf_dir).withColumn("dem", F.coalesce("dem", "dsm")).drop("dem_valid_mask")
+    cells, kept = composites.build_samples(c, _grids(spark, sf_dir), 32, 16, least_valid=0.8, radius=(3, 7))
+    sums = [F.sum(c).alias(c) for c in ("gt", "partial", "coarse", "confidence_map", "slope")]
+    per = cells.groupBy("sample_id").agg(F.count("*").alias("n"), F.count_if("mask").alias("masked"), *sums)
+    return per.join(kept, "sample_id").select("sample_id", "strategy", "meta", "n", "masked", _r("mask_ratio"), *[_r(c, digits=3) for c in ("gt", "partial", "coarse", "confidence_map", "slope")])
+
+
 @query
 def tin_surface(spark, sf_dir):
     c, g = _cells(spark, sf_dir), _grids(spark, sf_dir)
