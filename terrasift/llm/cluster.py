@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,17 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import discard, settled, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where it is unset, a local one is set, but only on one machine; elsewhere that is an error."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
+__all__ = ["block_pairs", "connected_components", "discard", "roots", "scratch", "settled", "shared_dir", "stored", "unused", "whole_groups", "written"]
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
@@ -41,12 +31,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a table that was written below the shared folder and that no plan reads any more."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def written(spark: SparkSession, path: str) -> list[str]:
     """The names of the tables right below path whose writing is complete."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -58,13 +42,7 @@ def written(spark: SparkSession, path: str) -> list[str]:
 def stored(df: DataFrame, path: str) -> DataFrame:
     """The rows, written as a table below the shared folder and read from there."""
     df.write.parquet(path, compression="zstd")
-    return df.sparkSession.read.parquet(path)
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared folder, without their lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
