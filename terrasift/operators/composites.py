@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,12 +113,12 @@ def repair_tiles(cells: DataFrame, grids: DataFrame, predictor: Column, channels
     return blend(done.unionByName(whole), "v", out)
 
 
-def build_samples(cells: DataFrame, grids: DataFrame, size: int = 256, stride: int = 128, least_valid: float = 0.95, mask_ratio=(0.03, 0.35), coverage=(0.05, 0.22), method: str = "idw", sigma: float = 0.0, distance: float = 64.0, smoothing: int = 1, radii=(3, 7, 15, 31), distance_scale: float = 24.0, radius=(6, 24), seed: int = 0, **meta: Column) -> tuple[DataFrame, DataFrame]:
+def build_samples(cells: DataFrame, grids: DataFrame, size: int = 256, stride: int = 128, least_valid: float = 0.95, mask_ratio=(0.03, 0.35), coverage=(0.05, 0.22), method: str = "idw", sigma: float = 0.0, distance: float = 64.0, smoothing: int = 1, radii=(3, 7, 15, 31), distance_scale: float = 24.0, seed: int = 0, **meta: Column) -> tuple[DataFrame, DataFrame]:
     """(cells of samples, samples) of rasters with bands dem, dsm and auxiliary ones.
 
     Windows are padded; those with too few valid cells go, the gaps of the others are filled. Each draws a strategy and gets simulated voids on what
-    was valid; those with too few or too many masked cells go. Cells have sample_id, row and col in it, gt, partial, coarse, dsm, mask, confidence_map,
-    features and the auxiliary bands; samples have sample_id, strategy, mask_ratio and meta, a JSON text. Draws follow from the sample's id and the seed.
+    was valid; those with too few or too many masked cells go. Cells have sample_id, row and col in it, gt, partial, coarse, dsm, mask, reached (whether
+    the voids met their target), confidence_map, features and the auxiliary bands; samples have sample_id, strategy, mask_ratio and meta, a JSON text. Draws follow from the sample's id and the seed.
     """
     full = nearest_fill(cells, "dsm", "_dsm").withColumn("dsm", F.col("_dsm")).drop("_dsm")
     w = settled(sample_ids(padded_windows(full, grids, size, stride)))
@@ -130,9 +128,8 @@ def build_samples(cells: DataFrame, grids: DataFrame, size: int = 256, stride: i
     part = nearest_fill(nearest_fill(part.withColumn("_ok", F.col("dem").isNotNull()), "dem", "gt"), "dsm", "_dsm").withColumn("dsm", F.col("_dsm")).drop("dem", "_dsm")
     part = settled(part.withColumn("_weight", F.when(F.col("_ok"), F.coalesce("vegetation_density", F.lit(0.0))).otherwise(0.0) if "vegetation_density" in bands else F.lit(0.0)))
     drawn = settled(voids.choose_strategy(enough.select(F.col("sample_id").alias("tile")), seed))
-    some = [part.join(drawn.where(F.col("strategy") == s).select("tile"), "tile", "left_semi") for s in voids.STRATEGIES]
-    some = [voids.simulate_voids(c, s, coverage, None, radius, "_ok", "_weight", seed, "mask") for c, s in zip(some, voids.STRATEGIES, strict=True)]
-    part = settled(reduce(DataFrame.unionByName, some).drop("_weight", "_ok"))
+    part = voids.voids_in_sequence(part.join(drawn, "tile"), None, coverage, "_ok", "_weight", seed, "mask")
+    part = settled(part.drop("_weight", "_ok", "strategy"))
     ratio = part.groupBy("tile").agg(F.avg(F.col("mask").cast("double")).alias("mask_ratio")).where(F.col("mask_ratio").between(*mask_ratio))
     part = part.join(ratio.select("tile"), "tile", "left_semi").withColumn("partial", F.when(~F.col("mask"), F.col("gt")))
     part = _looked_at(part, method, sigma, distance, smoothing, radii, distance_scale)

@@ -1,18 +1,26 @@
 """Simulated voids, and points made from void cells.
 
 Shapes are candidates numbered 1, 2, ...; a cell belongs to the first that covers it. How many shapes a
-sample needs to reach its target follows from a running count over them, so nothing is drawn in a loop.
+sample needs to reach its target follows from a running count over them, so nothing is drawn in a loop (simulate_voids). Where
+each shape depends on the mask so far, windows are folded one by one (voids_in_sequence).
 All draws are md5 of their keys: reruns and other engines agree.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import poisson, uniform
+from .lines import whole_groups
 
 STRATEGIES = ("irregular", "block", "vegetation_priority")
 
@@ -91,3 +99,95 @@ def void_points(cells: DataFrame, band: str, void: str = "void", mean: float = 4
     c = c.withColumn("i", F.explode(F.expr("sequence(1, n)")))
     jitter = lambda name: uniform(F.lit(seed), F.lit(name), F.col("tile"), F.col("row"), F.col("col"), F.col("i"))
     return c.select("tile", "row", "col", "i", ((F.col("col") + jitter("x")) * resolution).alias("x"), (-(F.col("row") + jitter("y")) * resolution).alias("y"), F.col(band).alias("z"))
+
+
+#: Of a window in sequence: shapes at the most, radii of disks, the share of shapes after which the mask is widened and by how many steps.
+DISKS, RECTANGLES = 200, 64
+RADII, WEIGHTED_RADII = (6, 24), (8, 28)
+WIDENED, STEPS, WEIGHTED_STEPS = 0.75, (1, 4), (1, 3)
+
+
+def draw(seed: int, name: str, *keys) -> float:
+    """The number in [0, 1) of columns.uniform for the same keys."""
+    text = "|".join(str(k) for k in (seed, name, *keys))
+    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16) / (1 << 32)
+
+
+def widen(mask: np.ndarray, steps: int) -> np.ndarray:
+    """The mask with all cells within so many steps along rows and columns."""
+    for _ in range(steps):
+        wide = mask.copy()
+        wide[1:] |= mask[:-1]
+        wide[:-1] |= mask[1:]
+        wide[:, 1:] |= mask[:, :-1]
+        wide[:, :-1] |= mask[:, 1:]
+        mask = wide
+    return mask
+
+
+def voids_of_window(valid: np.ndarray, weight: np.ndarray | None, strategy: str, coverage: tuple[float, float], seed: int, name: str) -> tuple[np.ndarray, bool]:
+    """The mask of one window, shape after shape until the target is reached, and whether it was.
+
+    irregular: disks around valid cells, after most of which the whole mask so far is widened; block: rectangles; vegetation_priority:
+    widened disks around cells drawn by weight, or irregular where there is no weight. The mask is cut to valid cells after each.
+    """
+    u = lambda what, k, low=0, high=1: low + int(draw(seed, what, name, k) * (high - low))
+    height, width = valid.shape
+    mask, places = np.zeros(valid.shape, bool), np.flatnonzero(valid)
+    if not len(places):
+        return mask, True
+    low, high = max(coverage[0], 0.0), min(coverage[1], 0.9)
+    target = max(1, int(len(places) * (low + (high - low) * draw(seed, "target", name))))
+    rows, cols = np.ogrid[:height, :width]
+    heavy = np.cumsum(np.where(valid, weight, 0.0).ravel()) if strategy == "vegetation_priority" and weight is not None else np.zeros(1)
+    if strategy == "vegetation_priority" and heavy[-1] <= 0:
+        strategy = "irregular"
+    for k in range(RECTANGLES if strategy == "block" else DISKS):
+        if strategy == "block":
+            tall, wide = (u(what, k, max(8, n // 12), max(12, n // 4)) for what, n in (("high", height), ("wide", width)))
+            top, left = u("row", k, 0, max(1, height - tall)), u("col", k, 0, max(1, width - wide))
+            mask[top : top + tall, left : left + wide] = True
+        elif strategy == "irregular":
+            row, col = divmod(int(places[u("place", k, 0, len(places))]), width)
+            mask |= (rows - row) ** 2 + (cols - col) ** 2 <= u("radius", k, *RADII) ** 2
+            if draw(seed, "widened", name, k) < WIDENED:
+                mask = widen(mask, u("steps", k, *STEPS))
+        else:
+            row, col = divmod(int(np.searchsorted(heavy, draw(seed, "weight", name, k) * heavy[-1], "right")), width)
+            disk = (rows - row) ** 2 + (cols - col) ** 2 <= u("radius", k, *WEIGHTED_RADII) ** 2
+            mask |= widen(disk, u("steps", k, *WEIGHTED_STEPS))
+        mask &= valid
+        if mask.sum() >= target:
+            return mask, True
+    return mask, False
+
+
+def voids_in_sequence(windows: DataFrame, strategy: str | None = None, coverage=(0.05, 0.22), valid: str | None = None, weight: str | None = None, seed: int = 0, out: str = "void") -> DataFrame:
+    """Adds a boolean, and reached: whether the window's target was met before its shapes ran out (200 disks, 64 rectangles).
+
+    windows: cells of windows that are tiles of their own, and so of a bounded size; each is one task's, which folds its shapes over a mask. Without a
+    strategy each window has that of its row in column strategy. All draws are md5 of the window's name: reruns and other engines agree.
+    """
+    if strategy is not None and strategy not in STRATEGIES:
+        raise ValueError(f"strategy is one of {STRATEGIES}")
+    schema = T.StructType([*(f for f in windows.schema.fields if f.name not in (out, "reached")), T.StructField(out, T.BooleanType()), T.StructField("reached", T.BooleanType())])
+    dealt = windows.drop(out, "reached").repartition("tile").sortWithinPartitions("tile")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, ["tile"]):
+            void, reached = np.zeros((2, table.num_rows), bool)
+            for lo, hi in zip(starts, np.r_[starts[1:], table.num_rows], strict=True):
+                part = table.slice(lo, hi - lo)
+                row, col = (part[c].to_numpy().astype(np.int64) for c in ("row", "col"))
+                shape = (int(row.max()) + 1, int(col.max()) + 1)
+                ok, heavy = np.zeros(shape, bool), np.zeros(shape)
+                ok[row, col] = pc.fill_null(part[valid], False).to_numpy() if valid else True
+                if weight:
+                    heavy[row, col] = np.nan_to_num(part[weight].to_numpy().astype(float), nan=0.0, posinf=0.0, neginf=0.0)
+                how = strategy or part["strategy"][0].as_py()
+                mask, met = voids_of_window(ok, heavy if weight else None, how, coverage, seed, str(part["tile"][0].as_py()))
+                void[lo:hi], reached[lo:hi] = mask[row, col], met
+            full = pa.Table.from_arrays([*table.columns, pa.array(void), pa.array(reached)], [*table.column_names, out, "reached"])
+            yield from full.select(schema.names).to_batches(max_chunksize=1 << 14)
+
+    return dealt.mapInArrow(run, schema)

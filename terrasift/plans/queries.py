@@ -309,6 +309,15 @@ for _s in voids.STRATEGIES:
     QUERIES[f"void_{_s}"] = _void(_s)
 
 
+@query
+def voids_in_sequence(spark, sf_dir):
+    """Windows of 32 cells, voids with the shipped radii, the strategy drawn for each; one row each."""
+    w = windows.sample_ids(windows.cut_windows(_cells(spark, sf_dir), _grids(spark, sf_dir), 32, 16))
+    w = w.select(F.col("sample_id").alias("tile"), F.col("i").alias("row"), F.col("j").alias("col"), F.col("dsm").isNotNull().alias("ok"), "vegetation_density")
+    w = voids.voids_in_sequence(voids.choose_strategy(w), None, valid="ok", weight="vegetation_density")
+    return w.groupBy("tile", "strategy", "reached").agg(F.count_if("ok").alias("valid"), F.count_if("void").alias("void"), F.sum(F.when(F.col("void"), F.col("row") * 32 + F.col("col"))).alias("places"))
+
+
 @query
 def void_points_poisson(spark, sf_dir):
     return voids.void_points(embedding_patches(spark, sf_dir), "z", "mask", 2.0).select(*KEY, "i", _r("x"), _r("y"), _r("z"))
@@ -540,7 +549,7 @@ def repair_tiles(spark, sf_dir):
 def build_samples(spark, sf_dir):
     """Samples of 32 cells with simulated voids: one row each, with sums over its cells."""
     c = _cells(spark, sf_dir).withColumn("dem", F.coalesce("dem", "dsm")).drop("dem_valid_mask")
-    cells, kept = composites.build_samples(c, _grids(spark, sf_dir), 32, 16, least_valid=0.8, radius=(3, 7))
+    cells, kept = composites.build_samples(c, _grids(spark, sf_dir), 32, 16, least_valid=0.8)
     sums = [F.sum(c).alias(c) for c in ("gt", "partial", "coarse", "confidence_map", "slope")]
     per = cells.groupBy("sample_id").agg(F.count("*").alias("n"), F.count_if("mask").alias("masked"), *sums)
     return per.join(kept, "sample_id").select("sample_id", "strategy", "meta", "n", "masked", _r("mask_ratio"), *[_r(c, digits=3) for c in ("gt", "partial", "coarse", "confidence_map", "slope")])
