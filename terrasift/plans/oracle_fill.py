@@ -117,6 +117,12 @@ def sql(cells: str, patches: str, starts: str) -> dict[str, str]:
         "reference_dem": reference(cells, "all_density > 0")
         + f" select {K}, {_r('reference', 'reference')}, valid, support, low_confidence, filled, tiny_hole, {_r('weight', 'repair_weight')}, {_r('confidence', 'confidence')} from done",
     }
+    found["patch_in_place"] = (
+        cells + f", a1 as (select {K}, dsm as v from cells), b1 as (select {K}, mean_intensity as v from cells)" + nearest("a1", "a2") + nearest("b1", "b2")
+        + f' select a.tile, a."row", a.col, a.v as dsm, {_r("b.v", "mean_intensity")} from a2 a join b2 b on {_SAME}'
+    )
+    counted = ", ".join(f"count({b}) as {b}_there, count(*) - count({b}) as {b}_missing" for b in ("dem", "dsm", "mean_return_num"))
+    found["written_counters"] = cells + f" select count(*) as cells, {counted} from cells"
     found["repair_tiles"] = repaired(cells + starts)
     same = ["all_density", "ground_density", "vegetation_density", "building_density"]
     rounded = [_r(c, c) for c in ("mean_intensity", "mean_return_num", "last_return_ratio", "ground_penetration_ratio")]

@@ -427,6 +427,24 @@ def patch_missing(spark, sf_dir):
     return report.join(sums.unpivot(["tile"], ["dsm", "mean_intensity"], "band", "total"), ["tile", "band"]).select("tile", "band", "filled", _r("total", digits=3))
 
 
+@query
+def patch_in_place(spark, sf_dir):
+    """A table of cells by tile whose gaps are filled in it; what is there afterwards."""
+    path = f"{components.shared_dir(spark)}/cells-{uuid.uuid4().hex}"
+    tables.write_cells(_cells(spark, sf_dir), path, ["dsm", "mean_intensity"])
+    tables.patch_in_place(spark, path, ["dsm", "mean_intensity"])
+    done = spark.read.schema("row int, col int, dsm double, mean_intensity double, tile string").parquet(path)
+    return done.select(*KEY, "dsm", _r("mean_intensity"))
+
+
+@query
+def written_counters(spark, sf_dir):
+    """Counters of the pass that writes the cells; one row."""
+    path, bands = f"{components.shared_dir(spark)}/cells-{uuid.uuid4().hex}", ["dem", "dsm", "mean_return_num"]
+    seen = tables.write_observed(_cells(spark, sf_dir), path, tables.cell_counters(bands))
+    return spark.read.parquet(path).limit(1).select(*[F.lit(v).cast("long").alias(n) for n, v in seen.items()])
+
+
 @query
 def band_table(spark, sf_dir):
     return samples.band_table(embedding_patches(spark, sf_dir).withColumn("m", F.col("mask").cast("double")), ["z", "m"]).select(*KEY, "band", _r("value"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import to_nodata
+from ..operators.components import discard, settled, shared_dir
+from ..operators.nearest import nearest_fill
 
 
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -50,3 +55,40 @@ def read_samples(spark: SparkSession, path: str, split: str) -> DataFrame:
 def read_cells(spark: SparkSession, path: str, bands: list[str] | None = None) -> DataFrame:
     df = spark.read.option("basePath", path).parquet(path)
     return df if bands is None else require(df, ["tile", "row", "col", *bands])
+
+
+def write_observed(df: DataFrame, path: str, counters: dict[str, Column], mode: str = "errorifexists", by: list[str] | None = None) -> dict[str, int]:
+    """Writes a table as Parquet and returns counters, which are aggregates over all its rows, from the same pass."""
+    seen = Observation()
+    writer = df.observe(seen, *[c.alias(n) for n, c in counters.items()]).write.mode(mode).option("compression", "zstd")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
+    return seen.get
+
+
+def cell_counters(bands: list[str]) -> dict[str, Column]:
+    """Counters of cells: all, and for each band those that have it and those that miss it."""
+    each = {f"{b}_{n}": c for b in bands for n, c in (("there", F.count(b)), ("missing", F.count_if(F.col(b).isNull())))}
+    return {"cells": F.count(F.lit(1)), **each}
+
+
+def patch_in_place(spark: SparkSession, path: str, bands: list[str]) -> DataFrame:
+    """Fills missing cells of bands of a table that write_cells made from the nearest cell, and rewrites only the tiles that have some.
+
+    Returns (tile, band, filled). The new tiles are written beside the table first; then their partitions, and no others, are replaced when
+    that job commits, so a job that fails before leaves the old ones. Tiles are texts, as their folders are named.
+    """
+    found = spark.read.parquet(path).schema
+    schema = T.StructType([T.StructField("tile", T.StringType()) if f.name == "tile" else f for f in found.fields])
+    cells = spark.read.schema(schema).parquet(path)
+    gaps = cells.groupBy("tile").agg(*[F.count_if(F.col(b).isNull()).alias(b) for b in bands])
+    gaps = settled(gaps.where(F.greatest(*[F.col(b) for b in bands], F.lit(0)) > 0))
+    # partitions without gaps aren't read again: the tiles' names prune them
+    out = cells.join(gaps.select("tile"), "tile", "left_semi")
+    for b in bands:
+        out = nearest_fill(out, b, "_full").withColumn(b, F.col("_full").cast(schema[b].dataType)).drop("_full")
+    beside = f"{shared_dir(spark)}/patched-{uuid.uuid4().hex}"
+    out.select(*[f.name for f in schema.fields]).write.parquet(beside, compression="zstd")
+    new = spark.read.schema(schema).parquet(beside).repartition("tile", F.floor(F.col("row") / 256)).sortWithinPartitions("tile", "row", "col")
+    new.write.partitionBy("tile").mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").parquet(path)
+    discard(spark, beside)
+    return gaps.unpivot(["tile"], bands, "band", "filled")
