@@ -29,6 +29,8 @@ COSINE = 0.95
 RECALL, CODES, BLOCKS = 0.93, 2, 2
 #: Rows of a filter, and of a candidate group, that one block takes, whatever the table.
 FILTER_ROWS, GROUP_ROWS = 4096, 4096
+#: So many numbers of blocks, of some tens of bytes each, are broadcast.
+BROADCAST_KEYS = 100_000
 #: Leaders of a block stand for sketches within this distance of them.
 RADIUS = 0.1
 _STRIP = 512
@@ -228,10 +230,12 @@ def _links(table: pa.Table, cosine: float) -> Iterator[pa.RecordBatch]:
 
 
 def _in_blocks(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    """Adds blocks: into how many a key's rows are cut, 1 for most. The numbers of those that are cut are joined; they are few, but nothing
-    says how few, so it is left to the adaptive planner to broadcast them or to split hot keys."""
+    """Adds blocks: into how many a key's rows are cut, 1 for most. Those that are cut are counted; up to BROADCAST_KEYS numbers are broadcast, so
+    that the rows needn't be shuffled for them; more are joined by a shuffle that the adaptive planner may split."""
     hot = df.groupBy(*keys).count().where(F.col("count") > rows).select(*keys, F.ceil(F.col("count") / rows).cast("int").alias("blocks"))
-    return df.join(hot, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    hot = settled(hot)
+    few = hot.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(hot) if few else hot, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
 
 
 def _candidates(passed: DataFrame, cosine: float) -> DataFrame:

@@ -89,8 +89,10 @@ def test_dense_topics_make_no_groups(spark, monkeypatch, inner):
         assert close.sum() == 0
 
 
-def test_filters_are_cut_by_rows_alone(spark):
-    """The rows of a block have one bound, however large the table is."""
+@pytest.mark.parametrize("keys", [2, 100])
+def test_filters_are_cut_by_rows_alone(spark, monkeypatch, keys):
+    """The rows of a block have one bound, however large the table is and however many keys are cut."""
+    monkeypatch.setattr(embedding_dedup, "BROADCAST_KEYS", keys)
     df = spark.range(100_000).select((F.col("id") % 7).alias("k"))
     blocks = {r.k: r.blocks for r in embedding_dedup._in_blocks(df, ["k"], 4096).distinct().collect()}
     assert set(blocks.values()) == {4} and len(blocks) == 7
