@@ -92,3 +92,16 @@ def patch_in_place(spark: SparkSession, path: str, bands: list[str]) -> DataFram
     new.write.partitionBy("tile").mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").parquet(path)
     discard(spark, beside)
     return gaps.unpivot(["tile"], bands, "band", "filled")
+
+
+#: What with_meta writes about a sample, besides its id and path.
+META = "tile_id string, row int, col int, split string, resolution double, mask_strategy string, mask_ratio double"
+
+
+def parsed_meta(samples: DataFrame, fields: str = META, path: Column | None = None) -> DataFrame:
+    """samples (sample_id, meta) with meta as a struct of sample_id, path and fields. A text that is missing or isn't JSON gives the row's own
+    id and path alone, as does one without an id for these two; fields that a text lacks are NULL."""
+    own = {"sample_id": F.col("sample_id"), "path": path if path is not None else F.lit(None).cast("string")}
+    read = samples.withColumn("_meta", F.from_json("meta", f"sample_id string, path string, {fields}"))
+    names = [f.name for f in read.schema["_meta"].dataType.fields]
+    return read.withColumn("meta", F.struct(*[F.coalesce(F.col(f"_meta.{n}"), own[n]).alias(n) if n in own else F.col(f"_meta.{n}").alias(n) for n in names])).drop("_meta")

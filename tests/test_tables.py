@@ -64,3 +64,11 @@ def test_counters_come_from_the_writing_pass(spark, tmp_path):
     seen = tables.write_observed(cells.mapInArrow(counted, cells.schema), f"file://{tmp_path}/out", tables.cell_counters(["z", "w"]), by=["tile"])
     assert seen == {"cells": 90, "z_there": 85, "z_missing": 5, "w_there": 60, "w_missing": 30} and read.value == 90
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 90
+
+
+def test_meta_is_parsed_with_a_default(spark):
+    rows = [("a", '{"sample_id": "x", "tile_id": "t", "row": 3, "mask_ratio": 0.25, "more": [1]}'), ("b", None), ("c", "no json"), ("d", "{}"), ("e", '{"row": "wide"}')]
+    got = {r.sample_id: r.meta for r in tables.parsed_meta(spark.createDataFrame(rows, "sample_id string, meta string"), path=F.lit("p")).collect()}
+    assert (got["a"].sample_id, got["a"].path, got["a"].tile_id, got["a"].row, got["a"].mask_ratio, got["a"].split) == ("x", "p", "t", 3, 0.25, None)
+    for k in "bcde":
+        assert (got[k].sample_id, got[k].path, got[k].row) == (k, "p", None)
