@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
-from ..operators import components, composites, fill, grid, metrics, nearest, normalize, quality, repair, samples, stencil, tin, voids, windows
+from ..operators import components, composites, fill, grid, metrics, nearest, normalize, quality, repair, samples, stencil, tin, training, voids, windows
 from ..sources import las, raster, tables
 from ..sources.views import embedding_patches, lineitem_points
 from ..streaming import cells as stream
@@ -596,6 +596,21 @@ def repair_regression(spark, sf_dir):
     return repair.repair(p, [r, r * 0.5]).select(*KEY, _r("stage1"), _r("stage2"), "mask")
 
 
+@query
+def train_epochs(spark, sf_dir):
+    """Six epochs over the patches with simulated voids, every tenth held out: one row per epoch. Every second state is saved."""
+    p = embedding_patches(spark, sf_dir).withColumn("gt", F.col("z")).withColumn("partial", F.when(~F.col("mask"), F.col("z")))
+    p = stencil.slope(nearest.nearest_fill(p, "partial", "coarse"), "coarse")
+    p = composites.normalized_channels(p, ["coarse_dem", "slope"], z="partial")
+    normal = (F.col("gt") - F.col("mean")) / F.col("std")
+    p = p.select(*KEY, normal.alias("gt"), F.col("coarse_n").alias("coarse"), "mask", "std", "c.coarse_dem", "c.slope")
+    how = training.Training(epochs=6, learning_rate=0.05, save_every=2)
+    path = f"{components.shared_dir(spark)}/training-{uuid.uuid4().hex}"
+    held = F.col("tile") % 10 == 0
+    done = training.train(p.where(~held), p.where(held), path, ["coarse_dem", "slope"], how, scale=F.col("std"))
+    return done.select("epoch", *[_r(c) for c in ("train_loss", "lr", "mask_rmse", "best_before")], "improved")
+
+
 @query
 def las_headers(spark, sf_dir):
     """The points written as LAS files and the headers read back, without reading points; coordinates in 64ths stay exact."""
