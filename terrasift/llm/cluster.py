@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.components import discard, settled, shared_dir
+from ..operators.components import discard, settled, shared_dir, written
 
 __all__ = ["block_pairs", "connected_components", "discard", "roots", "scratch", "settled", "shared_dir", "stored", "unused", "whole_groups", "written"]
 
@@ -31,14 +31,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(spark: SparkSession, path: str) -> list[str]:
-    """The names of the tables right below path whose writing is complete."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
-    return sorted(n for n in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
-
-
 def stored(df: DataFrame, path: str) -> DataFrame:
     """The rows, written as a table below the shared folder and read from there."""
     df.write.parquet(path, compression="zstd")
