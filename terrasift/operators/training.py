@@ -103,8 +103,8 @@ def _dot(theta: np.ndarray) -> Column:
 
 
 def _totals(terms: DataFrame, sums: dict[str, Column]) -> dict[int, dict[str, float]]:
-    """By kind, the sums in whole units: per tile as long, and those as decimal."""
-    per = terms.groupBy("tile", "kind").agg(*[_whole(c).alias(n) for n, c in sums.items()])
+    """By kind, the sums in whole units: per partition as long, and those as decimal, so that a partition passes on a row of each kind."""
+    per = terms.withColumn("_part", F.spark_partition_id()).groupBy("_part", "kind").agg(*[_whole(c).alias(n) for n, c in sums.items()])
     rows = per.groupBy("kind").agg(*[F.sum(F.col(n).cast("decimal(28,0)")).alias(n) for n in sums]).collect()
     return {r["kind"]: {n: float(r[n]) / _UNIT for n in sums} for r in rows}
 
