@@ -131,6 +131,7 @@ class _Stream(_Points, DataSourceStreamReader):
     def __init__(self, options: dict):
         super().__init__(options)
         self.at: dict | None = None  # where the last planned batch ends; Spark doesn't tell before it asks for the first end
+        self.asked = False  # what is planned before that is an old batch once more, and a run over all that is available asks only once
 
     def initialOffset(self) -> dict:
         return {"time": 0, "file": "", "record": 0}
@@ -142,7 +143,7 @@ class _Stream(_Points, DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         """As far as records_per_batch allows; without a limit, and in the first batch after a start, all that is there."""
-        begin = self.at or self.initialOffset()
+        begin, self.asked = self.at or self.initialOffset(), True
         files = self._after(begin)
         if self.at is None or not self.most:
             return {"time": files[-1][0], "file": files[-1][1], "record": read_header(files[-1][1])["count"]} if files else begin
@@ -157,7 +158,7 @@ class _Stream(_Points, DataSourceStreamReader):
         return end
 
     def partitions(self, start: dict, end: dict) -> list[_Range]:
-        self.at = end
+        self.at = end if self.asked else None
         out = []
         for time, file in self._after(start):
             if (time, file) > (end["time"], end["file"]):
