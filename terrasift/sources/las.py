@@ -247,6 +247,8 @@ def write_las(points: DataFrame, path: str, file_points: int = 1_000_000, scale:
     spark.dataSource.register(LasSource)
     more = [c for c in ("intensity", "return_num", "num_returns", "cls") if c in points.columns]
     rows = points.select(F.col("tile").cast("string").alias("tile"), *[F.col(c).cast("double").alias(c) for c in "xyz"], *[F.col(c).cast("int").alias(c) for c in more])
-    dealt = rows.repartition("tile", F.floor(F.col("x") / 256), F.floor(F.col("y") / 256))
+    # a place with more points than Spark gives one task is shared out, so that no task has all points of a tile
+    placed = rows.select("*", F.floor(F.col("x") / 256).alias("_bx"), F.floor(F.col("y") / 256).alias("_by"))
+    dealt = placed.hint("rebalance", "tile", "_bx", "_by").drop("_bx", "_by")
     dealt.write.format("las").option("file_points", file_points).option("scale", scale).mode(mode).save(path)
     return spark.read.format("las").option("headers", "true").load(path)
