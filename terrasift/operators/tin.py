@@ -1,7 +1,7 @@
 """Triangulated elevation: a quadtree of blocks by point counts, each triangulated on its own, and rounds for what a block can't know.
 
-A block has its cells and the points in and around it, MOST_POINTS at the most, so a tile is never one task, however dense
-its points are. A cell's height is right if no point of the tile lies in the circle through its triangle's corners. Where
+A block has its cells and the points in and around it, MOST_POINTS at the most and FEW for each of its cells, so a tile is never one
+task, and the work follows the cells, however dense the points are: a cell with more takes the nearest ones. A cell's height is right if no point of the tile lies in the circle through its triangle's corners. Where
 that circle stays where the block knows all points, nothing more is needed. Other circles (and the sides of lines, for cells
 beyond a block's points) are searched for points of the tile; blocks for which some are found get these few and
 are triangulated again for the cells in question, until no circle holds a point. So all heights are those of
@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import discard, settled, shared_dir
-from .tiles import with_tiles
+from .tiles import BROADCAST_TILES, with_tiles
 
 #: Points that a block starts with at the most; cells along the side of the largest block, a power of two.
 MOST_POINTS, LARGEST = 2048, 64
+#: Points that a block starts with for each of its cells at the most; a few times those that a triangle and its circle need.
+FEW = 64
 #: Cells along the side of a bin in which circles are searched; points that a circle adds to a block in one round.
 BIN, ADDED = 32, 8
 _ROUNDS = 60
@@ -197,7 +199,7 @@ def _windows(c: Column, size: int) -> Column:
 
 
 def _leaves(places: DataFrame, grids: DataFrame, most: int) -> DataFrame:
-    """(tile, side, br, bc, n): blocks of side x side cells that cover each tile once; n points lie in or near one. Those with over most points are cut in four, down to one cell."""
+    """(tile, side, br, bc, n): blocks of side x side cells that cover each tile once; n points lie in or near one. Those with over most points, or over FEW for each cell, are cut in four, down to one cell."""
     size, out = LARGEST, []
     blocks = grids.select("tile", F.explode(F.expr(f"sequence(0, cast(floor((height - 1) / {size}) as int))")).alias("br"), F.expr(f"cast(floor((width - 1) / {size}) as int)").alias("_last"))
     blocks = blocks.select("tile", "br", F.explode(F.expr("sequence(0, _last)")).alias("bc"))
@@ -205,8 +207,9 @@ def _leaves(places: DataFrame, grids: DataFrame, most: int) -> DataFrame:
         counts = places.select("tile", F.explode(_windows(F.col("row"), size)).alias("br"), "col", "n").select("tile", "br", F.explode(_windows(F.col("col"), size)).alias("bc"), "n")
         counts = counts.groupBy("tile", "br", "bc").agg(F.sum("n").alias("n"))
         blocks = settled(blocks.join(counts, ["tile", "br", "bc"], "left").select("tile", F.lit(size).alias("side"), "br", "bc", F.coalesce("n", F.lit(0)).alias("n")))
-        out.append(blocks if size == 1 else blocks.where(F.col("n") <= most))
-        full = blocks.where(F.col("n") > most)
+        enough = min(most, FEW * size * size)
+        out.append(blocks if size == 1 else blocks.where(F.col("n") <= enough))
+        full = blocks.where(F.col("n") > enough)
         if size == 1 or full.isEmpty():
             break
         size //= 2
@@ -238,7 +241,7 @@ def _triangulate(cells: DataFrame, points: DataFrame, max_edge: float, most: int
     def block(key: tuple, own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         if own.empty:
             return pd.DataFrame({c: pd.Series(dtype="object") for c in [*_LEAF, "row", "col", "z", "kind", "a", "b", "c"]})
-        if own["n"].iloc[0] > most:  # one cell, and of its points only the nearest: all within their distance are known
+        if own["side"].iloc[0] == 1 and own["n"].iloc[0] > min(most, FEW):  # one cell, and of its points only the nearest: all within their distance are known
             first = near[~near["extra"]]
             half = np.sqrt(((first["x"] - own["x"].iloc[0]) ** 2 + (first["y"] - own["y"].iloc[0]) ** 2).max() / 2)
             for c, v in (("known_x0", own["x"] - half), ("known_x1", own["x"] + half), ("known_y0", own["y"] - half), ("known_y1", own["y"] + half)):
@@ -252,10 +255,25 @@ def _triangulate(cells: DataFrame, points: DataFrame, max_edge: float, most: int
     return cells.groupBy(*_LEAF).cogroup(points.groupBy(*_LEAF)).applyInPandas(block, schema)
 
 
-def _witnesses(asked: DataFrame, points: DataFrame, bins: DataFrame, specs: DataFrame, resolution: float) -> DataFrame:
+def _nearest(dealt: DataFrame, most: int, resolution: float) -> DataFrame:
+    """The most points that are nearest to the only cell of each block. Points beyond the ring in which the last of these lies are left
+    out by counts of rings, so dense points are counted and not sorted."""
+    dx, dy = F.col("x") - (F.col("_west") + F.col("bc") * resolution), F.col("y") - (F.col("_north") - F.col("br") * resolution)
+    d = dealt.withColumn("_d", dx * dx + dy * dy)
+    d = d.withColumn("_ring", F.floor(4 * F.log2(F.greatest(F.col("_d") / (resolution * resolution), F.lit(1e-12)))).cast("int"))
+    rings = d.groupBy(*_LEAF, "_ring").agg(F.count("*").alias("_n"))
+    upto = rings.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*_LEAF).orderBy("_ring")))
+    # the ring in which the last one lies is the first one with so many up to it
+    ends = upto.groupBy(*_LEAF).agg(F.coalesce(F.min(F.when(F.col("_upto") >= most, F.col("_ring"))), F.max("_ring")).alias("_end"))
+    d = d.join(ends, _LEAF).where("_ring <= _end")
+    return d.withColumn("_k", F.row_number().over(Window.partitionBy(*_LEAF).orderBy("_d", "x", "y"))).where(F.col("_k") <= most)
+
+
+def _witnesses(asked: DataFrame, points: DataFrame, places: DataFrame, bins: DataFrame, specs: DataFrame, resolution: float) -> DataFrame:
     """(_LEAF, kind, a, b, c, x, y, z): of each circle or side that is asked for the points in it, few of them and the nearest to its middle.
 
-    A circle looks at the bins that it meets, the bounds of whose points are known, so most are left alone."""
+    A circle looks at the bins that it meets, then at the cells of these, the bounds of whose points are known. Where all points of some
+    lie in it, the nearest few and one of those are enough to find points, else all that it meets are looked at: those that its rim crosses."""
     asked = asked.withColumnsRenamed({"a": "qa", "b": "qb", "c": "qc"})
     asks = ["kind", "qa", "qb", "qc"]
     q = with_tiles(asked.select(*_LEAF, *asks).distinct(), specs, computed=True)
@@ -268,28 +286,33 @@ def _witnesses(asked: DataFrame, points: DataFrame, bins: DataFrame, specs: Data
         F.when(round_, F.greatest(lo, F.least(F.floor((m - r) / BIN) - 1, hi))).otherwise(lo).cast("int"), F.when(round_, F.least(hi, F.greatest(F.floor((m + r) / BIN) + 1, lo))).otherwise(hi).cast("int")
     )
     q = q.select(*_LEAF, *asks, F.explode(span(middle_r, low, high)).alias("bin_r"), span(middle_c, left, right).alias("_c")).select(*_LEAF, *asks, "bin_r", F.explode("_c").alias("bin_c"))
-    a, b, c = F.col("qa"), F.col("qb"), F.col("qc")
-
-    def inside(x, y, corner_x, corner_y):
-        """x and y: the nearest place of a bin (or a point) to (a, b); corners: the farthest along the line's normal, on either side."""
-        near = (x - a) * (x - a) + (y - b) * (y - b)
-        slack = 1e-9 * F.greatest(F.abs(c), F.lit(1.0))
-        over = [a * u + b * v - c for u, v in zip(corner_x, corner_y, strict=True)]
-        beyond = F.greatest(*over) if len(over) > 1 else over[0]
-        beside = F.greatest(*[F.abs(o) for o in over]) if len(over) > 1 else F.abs(over[0])
-        apart = F.when(c > 0, near > 1e-18 if len(over) == 1 else F.lit(True)).otherwise(True)
-        return F.when(round_, near < c * (1 - 1e-11)).when(F.col("kind") == 1, beyond > slack).when(F.col("kind") == 2, beside > slack).otherwise(apart)
-
-    hit = q.join(bins, ["tile", "bin_r", "bin_c"])
-    clamp = lambda v, lo, hi: F.least(F.greatest(v, F.col(lo)), F.col(hi))
-    corners = [[F.col(f"_x{i}") for i in (0, 0, 1, 1)], [F.col(f"_y{i}") for i in (0, 1, 0, 1)]]
-    hit = hit.where(inside(clamp(a, "_x0", "_x1"), clamp(b, "_y0", "_y1"), *corners)).select(*_LEAF, *asks, "bin_r", "bin_c")
-    binned = points.select("tile", F.floor(F.col("row") / BIN).cast("int").alias("bin_r"), F.floor(F.col("col") / BIN).cast("int").alias("bin_c"), "x", "y", "z")
-    x, y = F.col("x"), F.col("y")
-    found = hit.join(binned, ["tile", "bin_r", "bin_c"]).where(inside(x, y, [x], [y]))
-    score = F.when(F.col("kind") == 1, -(a * x + b * y)).when(F.col("kind") == 2, -F.abs(a * x + b * y - c)).otherwise((x - a) * (x - a) + (y - b) * (y - b))
-    # the best of each bin, then of those the best few: a circle's points never meet in one task
-    best = found.groupBy(*_LEAF, *asks, "bin_r", "bin_c").agg(F.min(F.struct(score.alias("s"), x.alias("x"), y.alias("y"), F.col("z").alias("z"))).alias("w"))
+    a, b, c, x, y = (F.col(n) for n in ("qa", "qb", "qc", "x", "y"))
+    slack, within = 1e-9 * F.greatest(F.abs(c), F.lit(1.0)), c * (1 - 1e-11)
+
+    def looked_at(hit: DataFrame) -> DataFrame:
+        """Those of the boxes joined to what is asked that have to be looked at."""
+        clamp = lambda v, lo, hi: F.least(F.greatest(v, F.col(lo)), F.col(hi))
+        square = lambda u, v: (u - a) * (u - a) + (v - b) * (v - b)
+        near = square(clamp(a, "_x0", "_x1"), clamp(b, "_y0", "_y1"))
+        corners = [(F.col(f"_x{i}"), F.col(f"_y{j}")) for i in (0, 1) for j in (0, 1)]
+        far, over = F.greatest(*[square(*p) for p in corners]), [a * u + b * v - c for u, v in corners]
+        most, least, beside = F.greatest(*over), F.least(*over), F.greatest(*[F.abs(o) for o in over])
+        kinds = {"_meets": (near < within, most > slack, beside > slack, F.lit(True)), "_whole": (far < within, least > slack, (least > slack) | (most < -slack), (c <= 0) | (near > 1e-18)), "_score": (near, -most, -beside, near)}
+        hit = hit.select("*", *[F.when(round_, v[0]).when(F.col("kind") == 1, v[1]).when(F.col("kind") == 2, v[2]).otherwise(v[3]).alias(n) for n, v in kinds.items()]).where("_meets")
+        of = Window.partitionBy(*_LEAF, *asks)
+        hit = hit.withColumn("_k", F.row_number().over(of.orderBy("_score"))).withColumn("_first", F.row_number().over(of.orderBy(F.desc("_whole"), "_score"))).withColumn("_any", F.max("_whole").over(of))
+        return hit.where(~F.col("_any") | (F.col("_k") <= ADDED) | (F.col("_first") == 1))
+
+    hit = looked_at(q.join(bins, ["tile", "bin_r", "bin_c"])).select(*_LEAF, *asks, "bin_r", "bin_c")
+    hit = settled(looked_at(hit.join(places, ["tile", "bin_r", "bin_c"])).select(*_LEAF, *asks, "row", "col"))
+    if hit.limit(BROADCAST_TILES + 1).count() <= BROADCAST_TILES:
+        hit = F.broadcast(hit)  # so that points aren't shuffled for a few cells
+    square, over = (x - a) * (x - a) + (y - b) * (y - b), a * x + b * y - c
+    inside = F.when(round_, square < within).when(F.col("kind") == 1, over > slack).when(F.col("kind") == 2, F.abs(over) > slack).otherwise((c <= 0) | (square > 1e-18))
+    found = points.join(hit, ["tile", "row", "col"]).where(inside)
+    score = F.when(F.col("kind") == 1, -(a * x + b * y)).when(F.col("kind") == 2, -F.abs(over)).otherwise(square)
+    # the best of each cell, then of those the best few: a circle's points never meet in one task
+    best = found.groupBy(*_LEAF, *asks, "row", "col").agg(F.min(F.struct(score.alias("s"), x.alias("x"), y.alias("y"), F.col("z").alias("z"))).alias("w"))
     few = best.groupBy(*_LEAF, *asks).agg(F.slice(F.array_sort(F.collect_list("w")), 1, ADDED).alias("w"))
     few = few.select(*_LEAF, *asks, F.explode("w").alias("w")).select(*_LEAF, *asks, "w.x", "w.y", "w.z")
     return few.withColumnsRenamed({"qa": "a", "qb": "b", "qc": "c"})
@@ -311,21 +334,21 @@ def tin(points: DataFrame, grids: DataFrame, max_edge: float = 20.0, resolution:
     row = F.floor((F.col("_north") + resolution / 2 - F.col("y")) / resolution).cast("int")
     col = F.floor((F.col("x") - F.col("_west") + resolution / 2) / resolution).cast("int")
     p = stored(p.select("tile", row.alias("row"), col.alias("col"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "z"), "points")
-    bins = p.groupBy("tile", F.floor(F.col("row") / BIN).cast("int").alias("bin_r"), F.floor(F.col("col") / BIN).cast("int").alias("bin_c"))
-    bins = settled(bins.agg(*[f(c).alias(f"_{c}{i}") for c in "xy" for i, f in ((0, F.min), (1, F.max))]))
-    ends = p.groupBy("tile").agg(*[f(c).alias(f"_{n}_{c}") for c in ("x", "y", "row", "col") for n, f in (("least", F.min), ("most", F.max))])
+    bounds = lambda low, high: [f(v).alias(f"_{c}{i}") for c in "xy" for i, f, v in ((0, F.min, low(c)), (1, F.max, high(c)))]
+    places = p.groupBy("tile", "row", "col").agg(F.count("*").alias("n"), *bounds(F.col, F.col))
+    places = settled(places.select("*", *[F.floor(F.col(c) / BIN).cast("int").alias(n) for c, n in (("row", "bin_r"), ("col", "bin_c"))]))
+    bins = settled(places.groupBy("tile", "bin_r", "bin_c").agg(*bounds(lambda c: F.col(f"_{c}0"), lambda c: F.col(f"_{c}1"))))
+    ends = places.groupBy("tile").agg(*[f(f"_{c}{i}").alias(f"_{n}_{c}") for c in "xy" for n, i, f in (("least", 0, F.min), ("most", 1, F.max))], *[f(c).alias(f"_{n}_{c}") for c in ("row", "col") for n, f in (("least", F.min), ("most", F.max))])
     specs = settled(specs.join(ends, "tile", "left"))
-    places = settled(p.groupBy("tile", "row", "col").agg(F.count("*").alias("n")))
     leaves = settled(_known(_leaves(places, specs, most_points), specs, resolution))
     # which blocks the points of a cell go to, found for cells and not for points
     sides = [r.side for r in leaves.select("side").distinct().collect()]
     near = [places.select("tile", "row", "col", F.lit(s).alias("side"), F.explode(_windows(F.col("row"), s)).alias("br")).withColumn("bc", F.explode(_windows(F.col("col"), s))) for s in sides]
     to = reduce(DataFrame.unionByName, near, places.select("tile", "row", "col", F.lit(0).alias("side"), F.lit(0).alias("br"), F.lit(0).alias("bc")).limit(0))
     dealt = p.join(to.join(leaves.select(*_LEAF, "n", "_west", "_north"), _LEAF), ["tile", "row", "col"]).withColumn("extra", F.lit(False))
-    whole = dealt.where(F.col("n") <= most_points).select(*_LEAF, "x", "y", "z", "extra")
-    dx, dy = F.col("x") - (F.col("_west") + F.col("bc") * resolution), F.col("y") - (F.col("_north") - F.col("br") * resolution)
-    nearest = Window.partitionBy(*_LEAF).orderBy(dx * dx + dy * dy, "x", "y")
-    capped = dealt.where(F.col("n") > most_points).withColumn("_k", F.row_number().over(nearest)).where(F.col("_k") <= most_points).select(*_LEAF, "x", "y", "z", "extra")
+    few, full = min(most_points, FEW), (F.col("side") == 1) & (F.col("n") > min(most_points, FEW))
+    whole = dealt.where(~full).select(*_LEAF, "x", "y", "z", "extra")
+    capped = _nearest(dealt.where(full), few, resolution).select(*_LEAF, "x", "y", "z", "extra")
     dealt = stored(whole.unionByName(capped), "dealt")
     rows = F.expr("sequence(br * side, least((br + 1) * side, height) - 1)")
     cols = F.expr("sequence(bc * side, least((bc + 1) * side, width) - 1)")
@@ -340,7 +363,7 @@ def tin(points: DataFrame, grids: DataFrame, max_edge: float = 20.0, resolution:
         known = own.unionByName(extras.select(*_LEAF, "x", "y", "z", F.lit(True).alias("extra")))
         tried = stored(_triangulate(pending.repartition(tasks, *_LEAF), known.repartition(tasks, *_LEAF), max_edge, most_points), f"tried-{i}")
         asked = tried.where("kind >= 0")
-        found = _witnesses(asked, p, bins, specs, resolution)
+        found = _witnesses(asked, p, places, bins, specs, resolution)
         new = stored(found.join(extras.select(*_LEAF, "x", "y"), [*_LEAF, "x", "y"], "left_anti"), f"new-{i}")
         ask = [*_LEAF, "kind", "a", "b", "c"]
         open_ = asked.join(new.select(*ask).distinct(), ask, "left_semi").select(*_LEAF, "row", "col")
